@@ -17,8 +17,9 @@ REFS_SQL = f", ps AS (SELECT 'y' AS ax, least(range, {HEIGHT - B}) AS p FROM ran
 
 def _match_sql(lo: int, hi: int, k: int, guide: str = "px", channels: bool = False) -> str:
     return f""", g AS (SELECT * FROM {guide}), pr AS (SELECT refs.n, ref_id, ry, rx, c.y AS my, c.x AS mx FROM refs JOIN (SELECT DISTINCT n, y, x FROM px WHERE y <= {HEIGHT - B} AND x <= {WIDTH - B}) c ON c.n = refs.n AND c.y BETWEEN ry - {lo} AND ry + {hi} AND c.x BETWEEN rx - {lo} AND rx + {hi}),
-ds AS (SELECT pr.n, ref_id, ry, rx, my, mx, CAST(sum((a.c - b.c) * (a.c - b.c)) AS BIGINT) AS dist FROM pr, range({B}) py, range({B}) qx, g a, g b
- WHERE a.n = {'b.n' if channels else 'pr.n'} AND a.y = ry + py.range AND a.x = rx + qx.range {'' if channels else 'AND b.n = pr.n'} AND b.y = my + py.range AND b.x = mx + qx.range GROUP BY 1, 2, 3, 4, 5, 6),
+bl AS (SELECT n, CAST(y - i.range // {B} AS INT) AS y, CAST(x - i.range % {B} AS INT) AS x, i.range AS i, c FROM g, range({B * B}) i),
+ra AS (SELECT {'pr.n, a.n AS m' if channels else 'pr.n, pr.n AS m'}, ref_id, ry, rx, my, mx, i, c FROM pr JOIN bl a ON {'' if channels else 'a.n = pr.n AND '}a.y = ry AND a.x = rx),
+ds AS (SELECT ra.n, ref_id, ry, rx, my, mx, CAST(sum((ra.c - b.c) * (ra.c - b.c)) AS BIGINT) AS dist FROM ra JOIN bl b ON b.n = m AND b.y = my AND b.x = mx AND b.i = ra.i GROUP BY 1, 2, 3, 4, 5, 6),
 mt AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY n, ref_id ORDER BY CASE WHEN my = ry AND mx = rx THEN 0 ELSE 1 END, dist, my, mx) - 1 AS INT) AS k FROM ds) WHERE k < {k})"""
 
 
@@ -128,7 +129,7 @@ def patch_center(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_patches(spark, sf_dir).select("vec_id", "i", F.round(F.col("v") - F.avg("v").over(Window.partitionBy("vec_id")), 6).alias("v"))
 
 
-_D2 = "h AS (SELECT {k}, i // 8 AS y, b.k AS u, sum(b.b * v) AS v FROM {src} s JOIN {t} b ON b.i = s.i % 8 GROUP BY ALL), c2 AS (SELECT {k}, CAST(b.k * 8 + u AS INT) AS i, sum(b.b * v) AS v FROM h JOIN {t} b ON b.i = y GROUP BY ALL)"
+_D2 = "h AS (SELECT {k}, s.i // 8 AS y, b.k AS u, sum(b.b * s.v) AS v FROM {src} s JOIN {t} b ON b.i = s.i % 8 GROUP BY ALL), c2 AS (SELECT {k}, CAST(b.k * 8 + u AS INT) AS i, sum(b.b * h.v) AS v FROM h JOIN {t} b ON b.i = y GROUP BY ALL)"
 
 
 @query("dct2", PATCH_SQL + ", " + transforms.basis_sql("d8", transforms.dct(8)) + ", " + _D2.format(k="vec_id", src="pt", t="d8") + " SELECT vec_id, i, round(v, 6) + 0.0 AS v FROM c2")
@@ -143,7 +144,7 @@ def haar2d_mallat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transforms.apply_2d(embedding_patches(spark, sf_dir), transforms.haar(8), ["vec_id"], 8).select("vec_id", "i", (F.round("v", 6) + 0.0).alias("v"))
 
 
-_G8 = GROUPS_SQL + ", " + transforms.basis_sql("d8", transforms.dct(8)) + ", " + transforms.basis_sql("h8", transforms.interleaved(8)) + ", " + _D2.format(k="label, s.k", src="gr", t="d8").replace("SELECT label, s.k, CAST", "SELECT label, h.k, CAST") + ", c3 AS (SELECT label, CAST(b.k AS INT) AS k, c2.i, sum(b.b * v) AS v FROM c2 JOIN h8 b ON b.i = c2.k GROUP BY ALL)"
+_G8 = GROUPS_SQL + ", " + transforms.basis_sql("d8", transforms.dct(8)) + ", " + transforms.basis_sql("h8", transforms.interleaved(8)) + ", " + _D2.format(k="label, s.k", src="gr", t="d8").replace("SELECT label, s.k, CAST", "SELECT label, h.k, CAST") + ", c3 AS (SELECT label, CAST(b.k AS INT) AS k, c2.i, sum(b.b * c2.v) AS v FROM c2 JOIN h8 b ON b.i = c2.k GROUP BY ALL)"
 
 
 def _coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,8 +291,8 @@ def _nlm_sql(a: int, s: int, h: float, mode: int, d: int) -> str:
     return CLIP_SQL + f""", z AS (SELECT n, y, x, c / 65536.0 AS v FROM px),
 o AS (SELECT od.range AS od, oy.range AS oy, ox.range AS ox FROM range({-d}, {d + 1}) od, range({-a}, {a + 1}) oy, range({-a}, {a + 1}) ox WHERE od.range <> 0 OR oy.range <> 0 OR ox.range <> 0),
 e AS (SELECT p.n, od, oy, ox, p.y, p.x, 3 * (p.v - q.v) * (p.v - q.v) AS e, q.v AS q FROM z p, o, z q WHERE q.n = greatest(0, least(4, p.n + od)) AND q.y = greatest(0, least({HEIGHT - 1}, p.y + oy)) AND q.x = greatest(0, least({WIDTH - 1}, p.x + ox))),
-b AS (SELECT p.n, p.od, p.oy, p.ox, p.y, p.x, any_value(p.q) AS q, sum(r.e) * {255.0 * 255.0 / (3 * h * h * (2 * s + 1) ** 2)!r} AS u FROM e p, range({-s}, {s + 1}) sy, range({-s}, {s + 1}) sx, e r
- WHERE r.n = p.n AND r.od = p.od AND r.oy = p.oy AND r.ox = p.ox AND r.y = greatest(0, least({HEIGHT - 1}, p.y + sy.range)) AND r.x = greatest(0, least({WIDTH - 1}, p.x + sx.range)) GROUP BY 1, 2, 3, 4, 5, 6),
+f AS (SELECT n, od, oy, ox, y, x, q, greatest(0, least({HEIGHT - 1}, y + sy.range)) AS by, greatest(0, least({WIDTH - 1}, x + sx.range)) AS bx FROM e, range({-s}, {s + 1}) sy, range({-s}, {s + 1}) sx),
+b AS (SELECT f.n, f.od, f.oy, f.ox, f.y, f.x, any_value(f.q) AS q, sum(r.e) * {255.0 * 255.0 / (3 * h * h * (2 * s + 1) ** 2)!r} AS u FROM f JOIN e r ON r.n = f.n AND r.od = f.od AND r.oy = f.oy AND r.ox = f.ox AND r.y = f.by AND r.x = f.bx GROUP BY 1, 2, 3, 4, 5, 6),
 w AS (SELECT n, y, x, q, {w} AS w FROM b),
 t AS (SELECT n, y, x, sum(w * q) AS num, sum(w) AS den, greatest(max(w), {S.EPSILON!r}) AS m FROM w GROUP BY 1, 2, 3)
 SELECT n, y, x, round((m * v + num) / (m + den), 6) AS v FROM t JOIN z USING (n, y, x)"""
