@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: texts may be long, so a batch is kept small.
-BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 4096, 6 << 20
 #: The contract's word separators: the ASCII white space U+0020 and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -65,6 +65,7 @@ def pieces_of(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Ite
         end = max(start + 1, int(np.searchsorted(cum, base + limit, "right")))
         # a copy: some string kernels misread the offsets of a slice
         yield batch.take(pa.array(np.arange(start, end)))
+        pa.default_memory_pool().release_unused()
         start = end
 
 

@@ -187,7 +187,7 @@ def code(docs: DataFrame, bench: Benchmark) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces_of(batch, "text", 16_000_000):
+            for part in pieces_of(batch, "text", 6_000_000):
                 offsets, ids = coded(part.column("text"), terms, names)
                 bounds = pa.py_buffer((offsets * kind.itemsize).astype(np.int32).tobytes())
                 words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, bounds, pa.py_buffer(ids.astype(kind).tobytes())])
@@ -369,7 +369,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 hits = candidates(offsets, ids)
                 starts = np.flatnonzero(np.r_[True, (hits[:2, 1:] != hits[:2, :-1]).any(0)]) if hits.shape[1] else []
                 doc_ids, rows = part.column("doc_id").to_pylist(), []
-                for s, e in zip(starts, [*starts[1:], hits.shape[1]], strict=True):
+                for s, e in zip(starts, np.append(starts[1:], hits.shape[1]), strict=True) if len(starts) else ():
                     text, item = hits[:2, s]
                     best = verdicts(ids[offsets[text] : offsets[text + 1]], int(item), hits[2, s:e])
                     if best:

@@ -210,7 +210,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces_of(batch, "text", 16_000_000):
+            for part in pieces_of(batch, "text", 6_000_000):
                 texts = part.column("text")
                 offsets, words, codes = ragged(texts)
                 lettered = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False)
@@ -246,7 +246,7 @@ def reject(docs: DataFrame, model: Model, least: float = 0.25) -> DataFrame:
 
     def kept(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         at = 0
-        for part in pieces_of(pa.RecordBatch.from_arrays([texts], ["text"]), "text", 16_000_000):
+        for part in pieces_of(pa.RecordBatch.from_arrays([texts], ["text"]), "text", 6_000_000):
             some = part.column("text")
             offsets, words, codes = ragged(some)
             good = pc.fill_null(pc.match_substring_regex(some, r"\pL"), False).to_numpy(zero_copy_only=False).copy()

@@ -300,7 +300,7 @@ def encode(docs: DataFrame, model: bytes, rules: tuple[tuple[str, str], ...] = (
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = compiled(shipped.value, rules)
         for batch in batches:
-            for part in pieces_of(batch, "text", 12_000_000):
+            for part in pieces_of(batch, "text", 6_000_000):
                 offsets, ids = fst.encode_batch(part.column("text"))
                 values, bounds = ids.tolist(), offsets.tolist()
                 same = [fst.decode(values[a:b]) == fst.normalise(t or "").replace(MARK, " ") for t, a, b in zip(part.column("text").to_pylist(), bounds, bounds[1:], strict=False)]
