@@ -1 +1,62 @@
-"""The denoising filters as queries."""
+"""The denoising filters as queries over the events clip: frames as a grey clip, or three of them as colour planes.
+
+Samples are scaled to about one; sigmas are in 8-bit units. They are solved with linear
+algebra in grouped maps, so SQL cannot express them; tests hold their properties.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from selfsim.filters import numeric as N
+from selfsim.operators import framewise
+from selfsim.plans.registry import query
+from selfsim.sources.clips import events_clip
+
+UNIT = 1048576.0
+
+
+def grey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_clip(spark, sf_dir).select("n", F.lit(0).alias("channel"), "y", "x", (F.col("c") / UNIT).alias("v"))
+
+
+def colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_clip(spark, sf_dir).where("n < 3").select(F.lit(0).alias("n"), F.col("n").alias("channel"), "y", "x", (F.col("c") / UNIT).alias("v"))
+
+
+def _filter(name: str, work: Callable, source: Callable = grey, radius: int = 0, run: Callable = framewise.apply) -> None:
+    @query(name)
+    def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+        px = source(spark, sf_dir)
+        return run(px, work, radius) if radius else run(px, work)
+
+
+_filter("bm3d", partial(N.bm3d, sigma=8.0))
+_filter("bm3d_final", partial(N.bm3d, sigma=8.0, final=1))
+_filter("bm3d_temporal", partial(N.bm3d, sigma=8.0, radius=1), radius=1)
+_filter("wnnm", partial(N.wnnm, sigma=8.0, residual=1))
+_filter("wnnm_temporal", partial(N.wnnm, sigma=8.0, radius=1), radius=1)
+_filter("mcwnnm", partial(N.mcwnnm, sigma=(8.0, 10.0, 12.0)), colour)
+_filter("ncsr", partial(N.ncsr, sigma=8.0))
+_filter("twsc", partial(N.twsc, sigma=8.0, search_window=16), colour)
+_filter("nlh", partial(N.nlh, sigma=8.0, search_window=8, basic_iters=2))
+_filter("pnlm", partial(N.pnlm, sigma=8.0), radius=1)
+_filter("lssc", partial(N.lssc, sigma=8.0))
+_filter("bm4d", partial(N.bm4d, sigma=8.0), run=framewise.volumes)
+
+
+@query("da3d")
+def da3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the guide is the output of bm3d."""
+    px = grey(spark, sf_dir)
+    return framewise.apply(px, lambda win, t, ref: N.da3d(win, t, ref, 8.0), guide=framewise.apply(px, partial(N.bm3d, sigma=8.0)))
+
+
+@query("capabilities", "SELECT 12 AS filters, 'dataframe' AS backend")
+def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F13."""
+    return spark.range(1).select(F.lit(12).alias("filters"), F.lit("dataframe").alias("backend"))
