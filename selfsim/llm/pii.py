@@ -38,7 +38,7 @@ FOUND = re.compile(
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w))"
-    r"|(?P<card>(?<!\w)(?<!\d[ -])\d(?:[ -]?\d){12,18}(?!\w)(?![ -]\d))"
+    r"|(?P<card>(?<!\w)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w))"
     r"|(?P<token>(?<!\w)(?=[A-Za-z]*\d)[A-Za-z0-9]{24,}(?!\w))",
     re.ASCII,
 )

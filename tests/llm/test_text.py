@@ -1,0 +1,179 @@
+"""The text operators against brute force, and on nulls, empty and long texts, ties, repeats and empty tables."""
+
+import hashlib
+
+import duckdb
+import numpy as np
+import pytest
+import sentencepiece
+import xxhash
+from pyspark.sql import functions as F
+
+from selfsim.llm import chat, decontaminate, languageid, licenses, pii, quality, queries, sentencepiece_fst, sharding, simhash, urls
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, words string, t string, id long"
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empties, repeats, a long text, columns whose names clash."""
+    rows = [(1, None), (2, ""), (3, "   \n\t"), (4, "One two three four."), (4, "One two three four."), (None, "No id here."), (5, "x" * 50_000), (6, "a b c " * 20_000), (7, "é 日本 𝄞\x00 |&<[")]
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "w", "t", 9) for i, t in rows], DOCS)
+
+
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op2_license_scans", "op5_chat_formatting", "op8_sharding", "op9_url_filters"])
+def test_same_rows_as_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    got, want = queries.queries()[name](spark, DATA).toPandas(), con.sql(queries.oracle_sql()[name]).df()
+    order = sorted(want.columns)
+    text = lambda df: sorted(df[order].astype(object).where(df[order].notna(), None).astype(str).itertuples(index=False, name=None))
+    assert text(got) == text(want)
+
+
+def test_quality(spark, odd):
+    rows = {r.doc_id: r for r in quality.judge(odd).collect() if r.doc_id}
+    assert quality.judge(odd).count() == 9 and quality.judge(odd.limit(0)).count() == 0
+    assert (rows[1].n_words, rows[1].base_failed, rows[1].kept) == (0, True, False)
+    assert rows[6].n_repeat_words == rows[6].n_words == 60_000
+    few = spark.createDataFrame([(1, "a b c a b c d\n\nz\nz\nz")], "doc_id long, text string")
+    assert quality.judge(few).first()[4:6] == (2, 6)
+
+
+def test_licenses(spark, odd):
+    assert licenses.scan(odd).where("license is not null").count() == 0 and licenses.scan(odd.limit(0)).count() == 0
+    one = spark.createDataFrame([(1, "Some prose.\nReleased under the MIT license\nmore")], "doc_id long, text string")
+    assert tuple(licenses.scan(one).first()) == (1, "MIT", 1.0, "line", 1)
+
+
+def test_tokens_equal_the_library(spark, odd):
+    model = queries.model_file()
+    lib = sentencepiece.SentencePieceProcessor(model_proto=model)
+    for r, e in zip(odd.collect(), sentencepiece_fst.encode(odd.coalesce(1), model).collect(), strict=True):
+        assert list(e.ids) == lib.encode(r.text or "") and e.round_trip
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(40)
+    own = {r.doc_id: r.ids for r in sentencepiece_fst.encode(docs, model).collect()}
+    assert all(own[r.doc_id] == lib.encode(r.text) for r in docs.collect())
+    back = sentencepiece_fst.decode(sentencepiece_fst.encode(docs, model), model)
+    assert {r.doc_id: r.text for r in back.collect()} == {r.doc_id: r.text for r in docs.collect()}
+
+
+def test_normaliser_rules():
+    fst = sentencepiece_fst.Tokenizer(queries.model_file(), {"ﬁ": "fi"})
+    assert fst.encode("ﬁne") == fst.encode("fine")
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 100, 1001])
+def test_feistel_permutes(n):
+    image = [pii.feistel(x, n, b"k", "t") for x in range(n)]
+    assert sorted(image) == list(range(n)) and [pii.feistel(y, n, b"k", "t", True) for y in image] == list(range(n))
+
+
+def test_pii(spark, odd):
+    text = "bob@mail.example.com +1 (736) 555-2678 4111 1111 1111 1111 4111111111111112 10.2.3.4 999.1.1.1 2024-02-29 2023-02-30 123-45-6789 GB82 WEST 1234 5698 7654 32"
+    new, spans = pii.pseudonymise(text)
+    assert [s[0] for s in spans] == ["email", "phone", "card", "ip", "date", "ssn", "iban"]
+    assert "4111111111111112" in new and "999.1.1.1" in new and "2023-02-30" in new and "bob@" not in new
+    assert pii.pseudonymise(new, undo=True)[0] == text and pii.pseudonymise(text)[0] == new
+    out = pii.pseudonyms(odd)
+    assert out.columns == [*odd.columns, "pii_count", "pii_kinds"] and out.where("pii_count > 0").count() == 0 and out.count() == 9
+
+
+def test_chat_reads_back_controls(spark):
+    rows = [(1, 0, "user", "<|end|>&lt;[image:0]\n<|start|>x"), (1, 1, "assistant", "a&amp;\n"), (1, None, None, None), (1, 1, "assistant", "a&amp;\n"), (2, 5, "we<ird\nrole", "t")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.digests(turns).collect()}
+    told = "\n\nuser\n<|end|>&lt;[image:0]\n<|start|>x\n" + "assistant\na&amp;\n\n" * 2
+    assert got[1].n_turns == 4 and got[1].turns_sha256 == hashlib.sha256(told.encode()).hexdigest()
+    assert got[1].loss_chars == 14 and got[1].loss_sha256 == hashlib.sha256(b"a&amp;\na&amp;\n").hexdigest()
+    assert got[2].turns_sha256 == hashlib.sha256("we<ird\nrole\nt\n".encode()).hexdigest()
+    assert chat.digests(turns.limit(0)).count() == 0
+
+
+def test_chat_parts(spark):
+    parts = [{"type": "text", "text": "see "}, {"type": "image", "ref": "i.png", "width": 56, "height": 30}, {"type": "audio", "ref": "a.wav", "duration_ms": 161}, {"type": "document", "ref": "d.pdf", "bytes": 9}]
+    turns = spark.createDataFrame([(1, 0, "user", [{k: p.get(k) for k in ("type", "text", "ref", "width", "height", "duration_ms", "bytes")} for p in parts])], f"conv_id long, turn long, role string, content array<{chat.PART}>")
+    r = chat.format_conversations(turns).first()
+    assert "see [image:1][audio:2][document:3]" in r.formatted and [(a.ref, a.tokens) for a in r.attachments] == [("i.png", 4), ("a.wav", 3), ("d.pdf", 3)] and r.attachment_tokens == 10
+
+
+def brute_fingerprint(text):
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    s = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints(spark, odd):
+    for t in (None, "", "A b", "one Two three four", "x y z " * 300, "é\x85 b c d"):
+        assert simhash.fingerprint(t) == brute_fingerprint(t)
+    got = {r.doc_id: r for r in simhash.near_duplicates(odd).collect() if r.doc_id}
+    assert got[1].component_id == got[2].component_id == got[3].component_id == 1 and got[1].fingerprint == "0" * 16
+    assert simhash.near_duplicates(odd).count() == 9 and simhash.near_duplicates(odd.limit(0)).count() == 0
+    assert sorted(r.doc_id or 0 for r in simhash.keep_one(odd).collect()) == [0, 1, 4, 5, 6, 7]
+
+
+def test_tree_finds_every_pair(spark):
+    rng = np.random.default_rng(3)
+    seeds = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    fp = np.unique(np.concatenate([seeds, *[seeds ^ (np.uint64(1) << rng.integers(0, 63, 300, dtype=np.uint64)) for _ in range(4)]]))
+    nodes = spark.createDataFrame([(int(i), int(f)) for i, f in enumerate(fp.view(np.int64))], "id long, fp long")
+    got = {r.node: r.label for r in simhash.components(simhash.links(nodes, 3, leaf_rows=16)).collect()}
+    i, j = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3)
+    want = simhash.join_labels(np.arange(len(fp)), i[i != j], j[i != j])
+    assert all(got.get(k, k) == want[k] for k in range(len(fp)))
+
+
+def test_language(spark, odd):
+    words = ["the", "and", "thing", "of"] * 60, ["que", "leur", "aux", "est"] * 60
+    model = languageid.train([*words[0], *words[1]], ["en"] * 240 + ["fr"] * 240)
+    docs = spark.createDataFrame([(1, "the thing and"), (2, "que leur est"), (3, "12 34"), (4, None)], "doc_id long, text string")
+    assert [r.lang_pred for r in languageid.predict(docs.coalesce(1), model).collect()] == ["en", "fr", "und", "und"]
+    assert languageid.predict(odd, model).count() == 9 and languageid.predict(odd.limit(0), model).count() == 0
+    assert languageid.reject(odd, model).columns == odd.columns
+    assert languageid.predict(odd, languageid.fit(odd.limit(0))).where("lang_pred <> 'und'").count() == 0
+
+
+def test_gradients():
+    rng = np.random.default_rng(0)
+    gru = languageid.Gru(rng.standard_normal((256, 12)).astype(np.float32), rng.standard_normal((4, 12)).astype(np.float32))
+    x, up = rng.integers(0, 256, (5, 3)), rng.standard_normal((5, 3, 4)).astype(np.float32)
+    _, du = gru.backward(x, gru.forward(x, True)[1], up)
+    loss = lambda: float((gru.forward(x)[0].astype(float) * up).sum())
+    for i, j in ((0, 0), (1, 5), (3, 11)):
+        gru.u[i, j] += 1e-2
+        high = loss()
+        gru.u[i, j] -= 2e-2
+        low = loss()
+        gru.u[i, j] += 1e-2
+        assert abs((high - low) / 2e-2 - du[i, j]) < 2e-2 * max(1, abs(du[i, j]))
+
+
+def test_decontamination(spark, odd):
+    bench = spark.createDataFrame([(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa."), (2, None), (3, "...")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x y z " * 40 + "alpha beta gamma delta epsilon zeta eta theta iota kappa, " + "u v w " * 30), (2, "alpha kappa " * 30), (3, None), (4, "Alpha beta gamma delta epsilon zeta eta theta iota")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.contaminated(docs, bench).collect()) == [1, 4]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [2, 3]
+    assert decontaminate.contaminated(odd, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+    assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_sharding(spark, tmp_path):
+    store = sharding.Store(spark, str(tmp_path))
+    for k in range(3):
+        store.append(spark.range(k * 10, k * 10 + 10, 1, 2))
+    assert store.version() == 3 and store.manifest().count() == 6
+    assert store.compact() == 4 and store.manifest().count() == 1 and store.compact() == 4
+    assert sorted(r.id for r in store.read(2).collect()) == list(range(20))
+    store.vacuum()
+    assert sorted(r.id for r in store.read().collect()) == list(range(30))
+    with pytest.raises(sharding.Conflict):
+        store.commit(store.manifest(), 3)
+
+
+def test_urls(spark):
+    rows = [(1, "http://a.b.net/x"), (2, "http://example.net/en/1"), (3, None), (4, "no scheme"), (5, "http://X.ORG/fr/"), (6, "http://z.org/?utm_source=feed"), (7, "http://notnet/x"), (8, "http://net")]
+    got = {r.page_id: (r.host, r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {1: ("a.b.net", "net/", "block"), 2: ("example.net", "example.net/en/", "allow"), 3: ("", None, "allow"), 4: ("", None, "allow"), 5: ("x.org", "org/fr/", "allow"), 6: ("z.org", None, "block"), 7: ("notnet", None, "allow"), 8: ("net", None, "allow")}
