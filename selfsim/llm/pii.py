@@ -28,11 +28,13 @@ from selfsim.llm.common import pieces_of, small_batches
 #: For tests and measurements; a production run passes its own.
 SAMPLE_KEY = b"selfsim sample key"
 ROUNDS = 8
+#: Characters of a long value that are permuted together.
+MOST = 256
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 _CLASSES = ((48, 10), (65, 26), (97, 26))
 
 FOUND = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9_][\w.+%-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-]))"
+    r"(?P<email>(?<![\w.+%-])[\w.+%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d))"
     r"|(?P<date>(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/]|[.-]\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
@@ -70,7 +72,11 @@ def feistel(x: int, n: int, key: bytes, tweak: str, undo: bool = False) -> int:
 
 
 def _alike(s: str, key: bytes, kind: str, undo: bool) -> str:
-    """s with its ASCII digits and letters permuted, each within its class."""
+    """s with its ASCII digits and letters permuted, each within its class; stretches of MOST characters each have a permutation of their own."""
+    return "".join(_stretch(s[k : k + MOST], key, f"{kind}{k or ''}", undo) for k in range(0, len(s), MOST))
+
+
+def _stretch(s: str, key: bytes, kind: str, undo: bool) -> str:
     x, n, places = 0, 1, []
     for k, c in enumerate(map(ord, s)):
         for first, radix in _CLASSES:

@@ -77,16 +77,19 @@ class Store:
         if not sizes:
             return self.spark.createDataFrame([], SCHEMA)
         listed = self.spark.createDataFrame(sizes, "shard string, bytes long")
-        rows = self.scan([s for s, _ in sizes]).groupBy("shard").agg(F.count("*").alias("rows"))
+        rows = self.scan([s for s, _ in sizes])
+        rows = rows.groupBy(F.col(rows.columns[-1]).alias("shard")).agg(F.count("*").alias("rows"))
         return listed.join(rows, "shard").select("shard", "bytes", "rows", tier_of(F.col("bytes"), target).alias("tier"), F.lit(added).cast("long").alias("added"))
 
     def scan(self, shards: list[str]) -> DataFrame:
-        """The rows of shards, with their shard."""
-        name = F.concat(F.lit("data/"), F.element_at(F.split(F.input_file_name(), "/data/"), -1))
-        return self.spark.read.parquet(*[f"{self.root}/{s}" for s in shards]).withColumn("shard", name)
+        """The rows of shards; the last column is their shard, called ``shard`` with underscores before it if the rows have such a column."""
+        file = F.concat(F.lit("data/"), F.element_at(F.split(F.input_file_name(), "/data/"), -1))
+        rows = self.spark.read.parquet(*[f"{self.root}/{s}" for s in shards])
+        return rows.withColumn(free("shard", rows.columns), file)
 
     def append(self, df: DataFrame, target: int = TARGET) -> int:
-        """Writes df as new shards, one for each partition with rows, and commits the next version."""
+        """Writes df as new shards, one for each partition with rows, and commits the next version. Rows stay as they are,
+        with nulls, repeats and columns of any name; a frame without rows adds a version but no shard."""
         base = self.version()
         folder = f"data/{base + 1:09d}-{uuid.uuid4().hex[:12]}"
         df.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
@@ -109,8 +112,10 @@ class Store:
             return base
         folder = f"data/{base + 1:09d}-{uuid.uuid4().hex[:12]}"
         plan = self.spark.createDataFrame(moved, "shard string, run string")
-        rows = self.scan([s for s, _ in moved]).join(plan, "shard").drop("shard")
-        rows.repartition(len({r for _, r in moved}), "run").write.partitionBy("run").option("compression", "zstd").parquet(f"{self.root}/{folder}")
+        rows = self.scan([s for s, _ in moved])
+        shard, run = rows.columns[-1], free("run", rows.columns)
+        rows = rows.join(plan.select(F.col("shard").alias(shard), F.col("run").alias(run)), shard).drop(shard)
+        rows.repartition(len({r for _, r in moved}), run).write.partitionBy(run).option("compression", "zstd").parquet(f"{self.root}/{folder}")
         live = self.manifest(base).join(plan, "shard", "left_anti")
         return self.commit(live.unionByName(self.written(folder, base + 1, target)), base)
 
@@ -128,6 +133,14 @@ class Store:
         return self.scan(shards) if shards else self.spark.createDataFrame([], schema)
 
 
+def free(name: str, columns: list[str]) -> str:
+    """name, with underscores put before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def tier_of(size: Column, target: int) -> Column:
     """0 for full shards (over half the target), then one more for each factor TIER that they are smaller."""
     return F.greatest(F.lit(0), F.floor(F.log(float(TIER), F.lit(float(target)) / F.greatest(size, F.lit(1)) / 2)) + 1).cast("int")

@@ -81,6 +81,16 @@ def test_pii(spark, odd):
     assert out.columns == [*odd.columns, "pii_count", "pii_kinds"] and out.where("pii_count > 0").count() == 0 and out.count() == 9
 
 
+@pytest.mark.parametrize("text", ["-ann@a.example.org", ".ann@a.example.org", "x%ann@a.example.org", "éann@a.example.org", "_ann+b@a-b.example.org."])
+def test_emails_with_odd_starts(text):
+    assert [s[0] for s in pii.pseudonymise(text)[1]] == ["email"] and "ann" not in pii.pseudonymise(text)[0]
+
+
+def test_pii_on_long_words():
+    for text in ("a%" * 200_000, "1" * 200_000, "a." * 200_000, "A1" * 20_000, "@a" * 200_000):
+        assert pii.pseudonymise(pii.pseudonymise(text)[0], undo=True)[0] == text
+
+
 def test_chat_reads_back_controls(spark):
     rows = [(1, 0, "user", "<|end|>&lt;[image:0]\n<|start|>x"), (1, 1, "assistant", "a&amp;\n"), (1, None, None, None), (1, 1, "assistant", "a&amp;\n"), (2, 5, "we<ird\nrole", "t")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -173,6 +183,17 @@ def test_sharding(spark, tmp_path):
         store.commit(store.manifest(), 3)
 
 
+def test_sharding_odd_rows(spark, odd, tmp_path):
+    store, rows = sharding.Store(spark, str(tmp_path)), odd.withColumn("Shard", F.lit("s")).withColumn("run", F.lit("r"))
+    for df in (rows.limit(0), rows, rows):
+        store.append(df)
+    before = store.read()
+    assert before.columns == [*rows.columns, "_shard"] and store.manifest(1).count() == 0
+    store.compact()
+    key = lambda df: sorted(map(str, df.select(*rows.columns).collect()))
+    assert store.manifest().count() == 1 and key(store.read()) == key(rows.union(rows))
+
+
 def test_urls(spark):
     rows = [(1, "http://a.b.net/x"), (2, "http://example.net/en/1"), (3, None), (4, "no scheme"), (5, "http://X.ORG/fr/"), (6, "http://z.org/?utm_source=feed"), (7, "http://notnet/x"), (8, "http://net")]
     got = {r.page_id: (r.host, r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
