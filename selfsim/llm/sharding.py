@@ -8,7 +8,9 @@ Readers take a version and see its shards only; a failed task or writer leaves n
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -96,29 +98,44 @@ class Store:
         return self.commit(self.manifest(base).unionByName(self.written(folder, base + 1, target)), base)
 
     def plan(self, version: int, target: int = TARGET, fewest: int = FEWEST) -> DataFrame:
-        """(shard, run): the shards to merge. In each tier below the full one, shards in the order of
-        their names are dealt to runs of about target bytes; runs of fewer than fewest shards wait."""
+        """(shard, tier): the shards to merge. In each tier below the full one, shards in the order of
+        their names fill stretches of about target bytes; stretches of fewer than fewest shards wait."""
         small = self.manifest(version).where("tier > 0")
         order = Window.partitionBy("tier").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         runs = small.withColumn("run", F.concat_ws("-", "tier", F.floor((F.sum("bytes").over(order) - F.col("bytes")) / F.lit(target)).cast("string")))
-        return runs.withColumn("n", F.count("*").over(Window.partitionBy("run"))).where(F.col("n") >= fewest).select("shard", "run")
+        return runs.withColumn("n", F.count("*").over(Window.partitionBy("run"))).where(F.col("n") >= fewest).select("shard", "tier")
 
     def compact(self, target: int = TARGET, fewest: int = FEWEST) -> int:
-        """Merges the planned runs, each into one file, and commits the next version; the same version where nothing is to merge."""
+        """Merges the planned shards of each tier into files of about target bytes and commits the next version; the same version where nothing is to merge."""
         base = self.version()
         plan = self.plan(base, target, fewest)
-        moved = [(r.shard, r.run) for r in plan.collect()]
-        if not moved:
+        tiers: dict[int, list[str]] = {}
+        for r in plan.sort("tier", "shard").collect():
+            tiers.setdefault(r.tier, []).append(r.shard)
+        if not tiers:
             return base
         folder = f"data/{base + 1:09d}-{uuid.uuid4().hex[:12]}"
-        plan = self.spark.createDataFrame(moved, "shard string, run string")
-        rows = self.scan([s for s, _ in moved])
-        shard, run = rows.columns[-1], free("run", rows.columns)
-        rows = rows.join(plan.select(F.col("shard").alias(shard), F.col("run").alias(run)), shard).drop(shard)
-        rows.repartition(len({r for _, r in moved}), run).write.partitionBy(run).option("compression", "zstd").parquet(f"{self.root}/{folder}")
-        live = self.manifest(base).join(plan, "shard", "left_anti")
+        with self.packed(target):
+            for tier, shards in tiers.items():
+                rows = self.spark.read.parquet(*[f"{self.root}/{x}" for x in shards])
+                rows.write.option("compression", "zstd").parquet(f"{self.root}/{folder}/{tier}")
+        moved = self.spark.createDataFrame([(x,) for shards in tiers.values() for x in shards], "shard string")
+        live = self.manifest(base).join(moved, "shard", "left_anti")
         return self.commit(live.unionByName(self.written(folder, base + 1, target)), base)
 
+    @contextlib.contextmanager
+    def packed(self, target: int) -> Iterator[None]:
+        """Meanwhile a scan packs whole files to tasks of target bytes at most, so that each run is read and written by one task, without a shuffle."""
+        wanted = {"maxPartitionBytes": target, "openCostInBytes": 0, "minPartitionNum": 1}
+        before = {k: self.spark.conf.get(f"spark.sql.files.{k}", None) for k in wanted}
+        try:
+            for k, v in wanted.items():
+                self.spark.conf.set(f"spark.sql.files.{k}", str(v))
+            yield
+        finally:
+            for k, v in before.items():
+                self.spark.conf.unset(f"spark.sql.files.{k}") if v is None else self.spark.conf.set(f"spark.sql.files.{k}", v)
+
     def vacuum(self) -> None:
         """Deletes the files that the last version doesn't list; readers of older versions must be done."""
         fs, path = self._fs()
