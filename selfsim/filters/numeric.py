@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -11,6 +12,11 @@ from selfsim.kernels import patches as K
 from selfsim.operators.grid import positions
 from selfsim.operators.transforms import dct
 
+#: The opponent transform, BT.601 full range with chroma around zero, and sqrt(2) E[sqrt(chi2_16 / 16)].
+OPPONENT = np.array([[3**-0.5, 3**-0.5, 3**-0.5], [2**-0.5, 0, -(2**-0.5)], [6**-0.5, -2 * 6**-0.5, 6**-0.5]])
+YUV = np.array([[0.299, 0.587, 0.114], [-0.299 / 1.772, -0.587 / 1.772, 0.5], [0.5, -0.587 / 1.402, -0.114 / 1.402]])
+UNGUIDED = 1.3923023108614498
+
 
 def identity(win: np.ndarray, centre: int) -> tuple[np.ndarray, np.ndarray]:
     """sigma = 0: the centre frame with weight one."""
@@ -19,16 +25,35 @@ def identity(win: np.ndarray, centre: int) -> tuple[np.ndarray, np.ndarray]:
     return win * den, den
 
 
-def bm3d(win, centre, sigma=3.0, block_size=8, group_size=8, block_step=None, bm_range=9, radius=0, ps_num=2, ps_range=4, ref=None, final=0):  # noqa: ANN001, ANN201
-    if sigma == 0:
+def per_channel(sigma, channels: int) -> np.ndarray:  # noqa: ANN001
+    """Sigmas of the channels, as a fraction of full scale."""
+    return np.broadcast_to(np.asarray(sigma, float) / 255, (channels,))
+
+
+def bm3d(win, centre, ref=None, sigma=3.0, block_size=8, group_size=8, block_step=None, bm_range=9, radius=0, ps_num=2, ps_range=4, final=0):  # noqa: ANN001, ANN201
+    """Groups are found once, on channel 0 (of ref where it is given), and serve every channel; channels with sigma 0 are copied."""
+    s, step = 0.75 * per_channel(sigma, win.shape[1]), block_step or min(8, block_size)
+    if not (s > 0).any():
         return identity(win, centre)
-    s, step = 0.75 * sigma / 255, block_step or min(8, block_size)
     if final and ref is None:
-        parts = [K.divide(*bm3d(win, t, sigma, block_size, group_size, step, bm_range, 0), win)[t] for t in range(len(win))]
-        ref = np.stack(parts)
-    guide = win if ref is None else ref
-    work = lambda found: K.bm3d_group(K.group_of(win, found, block_size)[:, 0], None if ref is None else K.group_of(ref, found, block_size)[:, 0], s, group_size)
-    return K.collect(win, centre, K.spots_of(guide, block_size, step, bm_range, bm_range, group_size, radius, ps_num, ps_range), lambda f: (lambda r: (r[0][:, None], r[1]))(work(f)), block_size)
+        ref = np.stack([K.divide(*bm3d(win, t, None, sigma, block_size, group_size, step, bm_range, 0), win)[t] for t in range(len(win))])
+    guide = (win if ref is None else ref)[:, :1]
+    spots = K.spots_of(guide, block_size, step, bm_range, bm_range, group_size, radius, ps_num, ps_range)
+
+    def work(found):  # noqa: ANN001, ANN202
+        own, theirs = K.group_of(win, found, block_size), None if ref is None else K.group_of(ref, found, block_size)
+        est, weight = own.copy(), np.zeros((1, win.shape[1], 1, 1))
+        for c in np.flatnonzero(s > 0):
+            est[:, c], weight[:, c] = K.bm3d_group(own[:, c], None if theirs is None else theirs[:, c], s[c], group_size)
+        return est, weight
+
+    return _copied(win, centre, s, K.collect(win, centre, spots, work, block_size))
+
+
+def _copied(win: np.ndarray, centre: int, sigmas: np.ndarray, parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The contributions, with identity slices for the channels whose sigma is 0."""
+    keep = (sigmas > 0)[None, :, None, None]
+    return tuple(np.where(keep, p, q) for p, q in zip(parts, identity(win, centre), strict=True))
 
 
 def _flat(win: np.ndarray, found: list, b: int) -> np.ndarray:
@@ -40,7 +65,7 @@ def _back(z: np.ndarray, channels: int, b: int) -> np.ndarray:
     return z.T.reshape(-1, channels, b, b)
 
 
-def wnnm(win, centre, sigma=3.0, block_size=8, block_step=8, group_size=8, bm_range=7, radius=0, ps_num=2, ps_range=4, residual=0, adaptive_aggregation=1, rclip=None):  # noqa: ANN001, ANN201
+def wnnm(win, centre, rclip=None, sigma=3.0, block_size=8, block_step=8, group_size=8, bm_range=7, radius=0, ps_num=2, ps_range=4, residual=0, adaptive_aggregation=1):  # noqa: ANN001, ANN201
     if sigma == 0:
         return identity(win, centre)
 
@@ -51,8 +76,9 @@ def wnnm(win, centre, sigma=3.0, block_size=8, block_step=8, group_size=8, bm_ra
     return K.collect(win, centre, K.spots_of(win if rclip is None else rclip, block_size, block_step, bm_range, bm_range, group_size, radius, ps_num, ps_range), work, block_size)
 
 
-def mcwnnm(win, centre, sigma=3.0, block_size=8, block_step=8, group_size=8, bm_range=7, radius=0, iters=2, delta=0.1, admm_iter=10, rho=3.0, mu=1.001):  # noqa: ANN001, ANN201
-    sigmas = np.broadcast_to(np.asarray(sigma, float) / 255, (win.shape[1],))
+def mcwnnm(win, centre, rclip=None, sigma=3.0, block_size=8, block_step=8, group_size=8, bm_range=7, radius=0, ps_num=2, ps_range=4, residual=1, adaptive_aggregation=0, iters=2, delta=0.1, admm_iter=10, rho=3.0, mu=1.001):  # noqa: ANN001, ANN201
+    """rclip guides the first round only."""
+    sigmas = per_channel(sigma, win.shape[1])
     if not (sigmas > 0).any():
         return identity(win, centre)
     est = win
@@ -60,68 +86,164 @@ def mcwnnm(win, centre, sigma=3.0, block_size=8, block_step=8, group_size=8, bm_
         est = est + delta * (win - est) if i else est
 
         def work(found, est=est):  # noqa: ANN001, ANN202
-            z, _ = K.mcwnnm_group(_flat(est, found, block_size), sigmas, True, admm_iter, rho, mu)
-            return _back(z, win.shape[1], block_size), 1.0
+            z, rank = K.mcwnnm_group(_flat(est, found, block_size), sigmas, bool(residual), admm_iter, rho, mu)
+            return _back(z, win.shape[1], block_size), 1 / max(rank, 1) if adaptive_aggregation else 1.0
 
-        num, den = K.collect(est, centre, K.spots_of(est, block_size, block_step, bm_range, bm_range, group_size, radius), work, block_size, every=i + 1 < iters)
+        guide = est if i or rclip is None else rclip
+        num, den = K.collect(est, centre, K.spots_of(guide, block_size, block_step, bm_range, bm_range, group_size, radius, ps_num, ps_range), work, block_size, every=i + 1 < iters)
         est = K.divide(num, den, est)
-    keep = (sigmas > 0)[None, :, None, None]
-    same = identity(win, centre)
-    return np.where(keep, num, same[0]), np.where(keep, den, same[1])
+    return _copied(win, centre, sigmas, (num, den))
 
 
-def ncsr(win, centre, sigma=3.0, block_size=8, block_step=8, group_size=8, bm_range=7, radius=0, iters=2, delta=0.1):  # noqa: ANN001, ANN201
+def ncsr(win, centre, rclip=None, sigma=3.0, block_size=8, block_step=8, group_size=8, bm_range=7, radius=0, ps_num=2, ps_range=4, iters=2, delta=0.1):  # noqa: ANN001, ANN201
+    """rclip guides the first round only; one channel."""
     if sigma == 0:
         return identity(win, centre)
     est = win
     for i in range(iters):
         est = est + delta * (win - est) if i else est
         work = lambda found, est=est: (_back(K.ncsr_group(_flat(est, found, block_size), np.array([f[0] for f in found]), sigma / 255), win.shape[1], block_size), 1.0)
-        num, den = K.collect(est, centre, K.spots_of(est, block_size, block_step, bm_range, bm_range, group_size, radius), work, block_size, every=i + 1 < iters)
+        guide = est if i or rclip is None else rclip
+        num, den = K.collect(est, centre, K.spots_of(guide, block_size, block_step, bm_range, bm_range, group_size, radius, ps_num, ps_range), work, block_size, every=i + 1 < iters)
         est = K.divide(num, den, est)
     return num, den
 
 
-def twsc(win, centre, sigma=3.0, block_size=8, block_step=8, group_size=8, search_window=60, radius=0, lambda2=1.0, iters=2, delta=0.0, admm_iter=10, rho=0.5, mu=1.1, tol=1e-6):  # noqa: ANN001, ANN201
-    s = np.broadcast_to(np.asarray(sigma, float) / 255, (win.shape[1],))
-    if not (s > 0).all():
+def noise(plane: np.ndarray, guide: np.ndarray) -> float:
+    """Blind noise of a plane: 8 x 8 references every 4 pixels, 16 matches in a window of 40 on the guide, root mean square gaps of each row to its three nearest."""
+    total, groups, m, q = 0.0, 0, 64, 4
+    both = np.stack([guide, plane])[None]
+    for found in K.spots_of(both[:, :1], 8, 4, 20, 19, 16)(0):
+        g, v = _flat(both[:, :1], found, 8), _flat(both[:, 1:], found, 8)
+        near = K.nearest_rows(g, q)[:, 1:]
+        total += np.sqrt(((v[:, None, :] - v[near]) ** 2).mean(2)).sum() / (m * (q - 1))
+        groups += 1
+    if not math.isfinite(total):
+        raise ArithmeticError("the blind noise estimate is not finite")
+    return total / groups
+
+
+def blind(win: np.ndarray, rclip: np.ndarray | None, luma: bool) -> np.ndarray:
+    """(frames, channels) of noise, as a fraction of full scale. With luma, channel 0 guides all, and what a plane did not select itself on is divided by the chi constant."""
+    g = win if rclip is None else rclip
+    out = np.array([[noise(f[c], k[0 if luma else c]) for c in range(len(f))] for f, k in zip(win, g, strict=True)])
+    if luma:
+        out[:, (0 if rclip is not None else 1) :] /= UNGUIDED
+    return out
+
+
+def twsc(win, centre, rclip=None, sigma=3.0, block_size=8, block_step=None, group_size=8, search_window=60, radius=0, ps_num=2, ps_range=4, lambda2=1.0, iters=2, delta=0.0, estimate_sigma=0, admm_iter=10, rho=0.5, mu=1.1, tol=1e-6, cfast=0):  # noqa: ANN001, ANN201
+    """Channels with a positive sigma jointly; with cfast, three of equal sigma go plane by plane through the opponent transform. rclip guides every round."""
+    step, lo = block_step or min(8, block_size), search_window // 2
+    s = blind(win, rclip, False) if estimate_sigma else np.tile(per_channel(sigma, win.shape[1]), (len(win), 1))
+    used = np.flatnonzero((s > 0).all(0))
+    more = dict(block_size=block_size, block_step=step, group_size=group_size, search_window=search_window, radius=radius, ps_num=ps_num, ps_range=ps_range, lambda2=lambda2, iters=iters, delta=delta, admm_iter=admm_iter, rho=rho, mu=mu, tol=tol)
+    if not len(used):
         return identity(win, centre)
-    est, lo = win, search_window // 2
+    if cfast and len(used) == 3 and not estimate_sigma and radius == 0 and np.ptp(s) == 0:
+        forward = lambda v: np.einsum("oc,tchw->tohw", OPPONENT, v)
+        turned, guide, out = forward(win), None if rclip is None else forward(rclip), np.empty(win.shape)
+        for c in range(3):
+            out[:, c : c + 1] = K.divide(*twsc(turned[:, c : c + 1], centre, None if guide is None else guide[:, c : c + 1], s[0, 0] * 255, **more), turned[:, c : c + 1])
+        return identity(np.einsum("oc,tohw->tchw", OPPONENT, out), centre)
+    src, guide = win[:, used], None if rclip is None else rclip[:, used]
+    est = src
     for i in range(iters):
-        est = est + delta * (win - est) if i else est
+        est = est + delta * (src - est) if i else est
 
         def work(found, est=est, i=i):  # noqa: ANN001, ANN202
-            y, original = _flat(est, found, block_size), _flat(win, found, block_size)
+            y, original, own = _flat(est, found, block_size), _flat(src, found, block_size), s[found[0][1], used]
             gap = ((original - y) ** 2).mean(0) if i else 0.0
-            columns = lambda2 * np.sqrt(np.abs((s**2).mean() - gap) + np.zeros(y.shape[1]))
-            z = K.twsc_group(y, np.repeat(s, block_size**2), np.maximum(columns, 1e-6), admm_iter, rho, mu, tol)
-            return _back(z, win.shape[1], block_size), (1 / np.maximum(columns, 1e-6))[:, None, None, None]
-
-        num, den = K.collect(est, centre, K.spots_of(est, block_size, block_step, lo, search_window - lo - 1, group_size, radius), work, block_size, every=i + 1 < iters)
-        est = K.divide(num, den, win)
+            columns = lambda2 * np.sqrt(np.abs((own**2).mean() - gap) + np.zeros(y.shape[1]))
+            z = K.twsc_group(y, np.repeat(own, block_size**2), np.maximum(columns, 1e-6), admm_iter, rho, mu, tol)
+            return _back(z, len(used), block_size), (1 / np.maximum(columns, 1e-6))[:, None, None, None]
+
+        part = K.collect(est, centre, K.spots_of(est if guide is None else guide, block_size, step, lo, search_window - lo - 1, group_size, radius, ps_num, ps_range), work, block_size, every=i + 1 < iters)
+        est = K.divide(*part, src)
+    num, den = identity(win, centre)
+    num[:, used], den[:, used] = part
     return num, den
 
 
-def nlh(win, centre, sigma=3.0, block_size=8, block_step=6, group_size=16, search_window=24, q=4, radius=0, basic_iters=3, lambda_basic=0.6, hard_strength=1.0, wiener_iters=2, wiener_sigma_scale=0.32):  # noqa: ANN001, ANN201
-    """Hard rounds on every frame of the window, then one Wiener pass on the centre."""
-    if sigma == 0:
+def pair(value) -> tuple:  # noqa: ANN001
+    """One value for both stages, or a value for each."""
+    return tuple(value) if isinstance(value, (tuple, list)) and len(value) == 2 else (value[0],) * 2 if isinstance(value, (tuple, list)) else (value,) * 2
+
+
+def nlh(win, centre, rclip=None, sigma=None, block_size=None, block_step=None, group_size=16, search_window=(24, 16), q=None, radius=0, ps_num=2, ps_range=4, basic_iters=3, lambda_basic=0.6, hard_strength=1.0, wiener_iters=2, wiener_sigma_scale=0.32, rgb=False):  # noqa: ANN001, ANN201
+    """Hard rounds on every frame of the window, then one Wiener pass on the centre; sigma None is blind. RGB is filtered as YUV."""
+    if rgb:
+        turn = lambda v: np.einsum("yc,tchw->tyhw", YUV, v)
+        inner = None if sigma is None else 255 * np.sqrt((YUV**2) @ per_channel(sigma, 3) ** 2)
+        if inner is not None and not inner.any():
+            return identity(win, centre)
+        num, den = nlh(turn(win), centre, None if rclip is None else turn(rclip), inner, block_size, block_step, group_size, search_window, q, radius, ps_num, ps_range, basic_iters, lambda_basic, hard_strength, wiener_iters, wiener_sigma_scale)
+        num, den, same = np.einsum("cy,tyhw->tchw", np.linalg.inv(YUV), num), den, identity(win, centre)
+        return (num, den) if sigma is None else tuple(np.where((per_channel(sigma, 3) > 0)[None, :, None, None], p, z) for p, z in zip((num, den), same, strict=True))
+    s = blind(win, rclip, True) if sigma is None else np.tile(per_channel(sigma, win.shape[1]), (len(win), 1))
+    if not s.any():
         return identity(win, centre)
-    lo, s, basic = search_window // 2, sigma / 255, win
+    room = min(16, *win.shape[2:])
+    b = [given or min(preset, room) for given, preset in zip(pair(block_size), (8, 16), strict=True)]
+    step = [given or min(preset, size) for given, preset, size in zip(pair(block_step), (6, 15), b, strict=True)]
+    rows, k, window, basic = [given or min(4, size * size) for given, size in zip(pair(q), b, strict=True)], pair(group_size), pair(search_window), win
     for stage in range(basic_iters + 1):
         last = stage == basic_iters
-        guide = basic if last else lambda_basic * basic + (1 - lambda_basic) * win
-        values, num, den = win if last else guide, np.zeros(win.shape), np.zeros(win.shape)
+        z, lo = int(last), pair(search_window)[int(last)] // 2
+        if not last:
+            basic = lambda_basic * basic + (1 - lambda_basic) * win
+        values, guide, num, den = win if last else basic, (basic if rclip is None else rclip)[:, :1], np.zeros(win.shape), np.zeros(win.shape)
         for t in (centre,) if last else range(len(win)):
-            for found in K.spots_of(guide, block_size, block_step, lo, search_window - lo - 1, group_size, radius, power=True)(t):
+            for found in K.spots_of(guide, b[z], step[z], lo, window[z] - lo - 1, k[z], radius, ps_num, ps_range, power=True)(t):
+                near = K.nearest_rows(_flat(guide, found, b[z]), rows[z])
                 for c in range(win.shape[1]):
-                    g = _flat(guide[:, :1], found, block_size)
-                    n, d = K.nlh_group(_flat(values[:, c : c + 1], found, block_size), g, _flat(basic[:, c : c + 1], found, block_size) if last else None, s, q, hard_strength, wiener_sigma_scale, wiener_iters)
+                    n, d = K.nlh_group(_flat(values[:, c : c + 1], found, b[z]), near, _flat(basic[:, c : c + 1], found, b[z]) if last else None, s[t, c], hard_strength, wiener_sigma_scale, wiener_iters)
                     for j, (_, ft, y, x) in enumerate(found):
-                        num[ft, c, y : y + block_size, x : x + block_size] += n[:, j].reshape(block_size, -1)
-                        den[ft, c, y : y + block_size, x : x + block_size] += d.reshape(block_size, -1)
+                        num[ft, c, y : y + b[z], x : x + b[z]] += n[:, j].reshape(b[z], -1)
+                        den[ft, c, y : y + b[z], x : x + b[z]] += d.reshape(b[z], -1)
         if not last:
             basic = K.divide(num, den, win)
-    return num, den
+    return _copied(win, centre, s[centre], (num, den))
+
+
+def half(d: int, a: int) -> list[tuple[int, int, int]]:
+    """The offsets (frame, row, column) before the centre: one of each pair of opposite ones."""
+    return [o for o in itertools.product(range(-d, 1), range(-a, a + 1), range(-a, a + 1)) if o < (0, 0, 0)]
+
+
+def colour_distance(p: np.ndarray, q: np.ndarray, channels: str) -> np.ndarray:
+    """Squared distance of the channels (c, h, w) of the mode, scaled to three channels."""
+    d = (p - q) ** 2
+    if channels == "RGB":
+        m = (p[0] + q[0]) / 6
+        return (2 / 3 + m) * d[0] + 4 / 3 * d[1] + (1 - m) * d[2]
+    return d.sum(0) * {"Y": 3.0, "UV": 1.5, "YUV": 1.0}[channels]
+
+
+def nlm(win, centre, rclip=None, d=1, a=2, s=4, h=1.2, channels="Y", wmode=0, wref=1.0):  # noqa: ANN001, ANN201
+    """Pixel-wise means of the channels of a mode; frames repeat at the ends. Of two opposite offsets one weight map is made; the mirrored pixel reads it at its clamped place."""
+    g, (rows, cols), last = win if rclip is None else rclip, win.shape[2:], len(win) - 1
+    at = lambda v, y, x: v[..., np.clip(np.arange(rows) + y, 0, rows - 1)[:, None], np.clip(np.arange(cols) + x, 0, cols - 1)]
+    scale = 255.0**2 / (3 * h * h * (2 * s + 1) ** 2)
+    num, den, most = np.zeros(win.shape[1:]), np.zeros((rows, cols)), np.full((rows, cols), float(np.finfo(np.float32).eps))
+
+    def weight(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        e = np.pad(colour_distance(p, q, channels), s, "edge")
+        for axis in (0, 1):
+            e = np.lib.stride_tricks.sliding_window_view(e, 2 * s + 1, axis=axis).sum(-1)
+        u = e * scale
+        return np.exp(-u) if wmode == 0 else np.maximum(1 - u, 0) ** {1: 1, 2: 2, 3: 8}[wmode]
+
+    for od, oy, ox in half(d, a):
+        back, ahead = max(0, centre + od), min(last, centre - od)
+        w = weight(g[centre], at(g[back], oy, ox))
+        mirrored = at(w if od == 0 else weight(g[ahead], at(g[centre], oy, ox)), -oy, -ox)
+        num += w * at(win[back], oy, ox) + mirrored * at(win[ahead], -oy, -ox)
+        den += w + mirrored
+        most = np.maximum(most, np.maximum(w, mirrored))
+    out = win.copy()
+    out[centre] = (wref * most * win[centre] + num) / (wref * most + den)
+    return identity(out, centre)
 
 
 def pnlm(win, centre, sigma=3.0, a=2, block_size=6, group_size=16):  # noqa: ANN001, ANN201

@@ -146,20 +146,27 @@ def twsc_group(y: np.ndarray, rows: np.ndarray, columns: np.ndarray, rounds: int
     return d @ (s[:, None] * z) + mean
 
 
-def nlh_group(values: np.ndarray, guide: np.ndarray, reference: np.ndarray | None, sigma: float, q: int, strength: float = 1.0, scale: float = 0.32, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """values (m, k): q nearest rows of each row (itself first, on the guide), Haar both ways, threshold or Wiener; (num, den) by row."""
-    m, k = values.shape
+def nearest_rows(guide: np.ndarray, q: int) -> np.ndarray:
+    """(m, q): the q nearest rows of each row of guide (m, k), itself first, ties by index."""
+    m = len(guide)
     d = ((guide[:, None, :] - guide[None, :, :]) ** 2).sum(2)
     d[np.arange(m), np.arange(m)] = -1
-    near = np.argsort(d, 1, kind="stable")[:, :q]
+    return np.argsort(d, 1, kind="stable")[:, :q]
+
+
+def nlh_group(values: np.ndarray, near: np.ndarray, reference: np.ndarray | None, sigma: float, strength: float = 1.0, scale: float = 0.32, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """values (m, k), near (m, q) rows: Haar both ways, threshold or Wiener, sigma 0 unchanged; (num, den) by row."""
+    (m, k), q = values.shape, near.shape[1]
     hq, hk = np.array(haar(q)), np.array(haar(k))
     z = hq @ values[near] @ hk.T
-    if reference is None:
+    if sigma == 0:
+        pass
+    elif reference is None:
         z[np.abs(z) < 2.025 * strength * sigma] = 0
         z[:, max(0, q - 2) :, 1:] = 0
     else:
         r = (hq @ reference[near] @ hk.T) ** 2
-        z = z * (r / (r + (scale * sigma) ** 2)) ** rounds if sigma > 0 else z
+        z = z * (r / np.maximum(r + (scale * sigma) ** 2, 1e-300)) ** rounds
     back = hq.T @ z @ hk
     num, den = np.zeros((m, k)), np.zeros(m)
     np.add.at(num, near.ravel(), back.reshape(-1, k))
