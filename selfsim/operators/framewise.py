@@ -1,8 +1,13 @@
-"""Runs a numeric filter on temporal windows, one task row group for each centre frame, and sums the contributions in SQL."""
+"""Runs numeric filters on temporal windows, one task row group for each centre frame and unit of channels, and sums the contributions in SQL.
+
+A unit is (channels, work): the channels it filters together. work(window (frames,
+channels, h, w), centre index[, guide window]) gives (num, den). Channels of no unit are
+copied. Pixels are (n, channel, y, x, v); planes (n, channel, h, w, v array in raster order).
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,29 +18,51 @@ from selfsim.functions.scalars import finish
 from selfsim.sources.clips import dense
 
 CONTRIBUTION = "center long, target long, channel long, h long, w long, num array<double>, den array<double>"
+COLUMNS = ["center", "target", "channel", "h", "w", "num", "den"]
+Unit = tuple[Sequence[int], Callable]
+
+
+def in_units(planes: DataFrame, units: Sequence[Unit]) -> DataFrame:
+    """Planes with the number of their unit; planes of no unit go."""
+    numbered = [F.when(F.col("channel").isin([int(c) for c in channels]), F.lit(u)) for u, (channels, _) in enumerate(units)]
+    return planes.withColumn("unit", F.coalesce(*numbered, F.lit(None).cast("int"))).where("unit IS NOT NULL")
+
+
+def stacked(pdf: pd.DataFrame, frames: Sequence[int]) -> np.ndarray:
+    """(frames, channels, h, w) of plane rows."""
+    of = {(int(r.n), int(r.channel)): np.array(r.v, float).reshape(r.h, r.w) for r in pdf.itertuples()}
+    channels = sorted({c for _, c in of})
+    return np.stack([np.stack([of[n, c] for c in channels]) for n in frames])
 
 
-def contributions(pixels: DataFrame, work: Callable, radius: int = 0, guide: DataFrame | None = None) -> DataFrame:
-    """(center, target, channel, h, w, num, den) of pixels (n, channel, y, x, v): each frame goes to the 2 radius + 1 windows that hold it.
+def contribution_rows(centre: int, frames: Sequence[int], channels: Sequence[int], num: np.ndarray, den: np.ndarray) -> list[tuple]:
+    """Rows of the slices that hold anything."""
+    h, w = num.shape[2:]
+    return [(centre, int(n), int(c), h, w, num[t, i].ravel(), den[t, i].ravel()) for t, n in enumerate(frames) for i, c in enumerate(channels) if den[t, i].any()]
 
-    work(window (frames, channels, h, w), centre index[, guide window]) gives (num, den). A window's
-    size depends on the frame's size and the radius alone. Frames beyond the ends are missing.
+
+def contributions(pixels: DataFrame, work: Callable | Sequence[Unit], radius: int = 0, guide: DataFrame | None = None) -> DataFrame:
+    """(center, target, channel, h, w, num, den): each frame goes to the 2 radius + 1 windows that hold it.
+
+    A window's size depends on the frame's size and the radius alone. Frames beyond the
+    ends are missing. A single work filters all channels as one unit.
     """
     planes = dense(pixels, ["n", "channel"]).withColumn("is_guide", F.lit(False))
     if guide is not None:
         planes = planes.unionByName(dense(guide, ["n", "channel"]).withColumn("is_guide", F.lit(True)))
+    planes = planes.withColumn("unit", F.lit(0)) if callable(work) else in_units(planes, work)
+    works = [work] if callable(work) else [w for _, w in work]
     real = pixels.select(F.col("n").cast("long").alias("center")).distinct()
     windows = planes.select("*", F.explode(F.sequence(F.col("n").cast("long") - radius, F.col("n").cast("long") + radius)).alias("center")).join(real, "center", "left_semi")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        frames, centre = sorted(pdf.n.unique()), int(pdf.center.iloc[0])
-        stack = lambda part: np.stack([np.stack([np.array(r.v, float).reshape(r.h, r.w) for r in part[part.n == n].sort_values("channel").itertuples()]) for n in frames])
-        args = [stack(pdf[~pdf.is_guide]), frames.index(centre)] + ([stack(pdf[pdf.is_guide])] if pdf.is_guide.any() else [])
-        num, den = work(*args)
-        h, w = num.shape[2:]
-        return pd.DataFrame([(centre, int(n), c, h, w, num[t, c].ravel(), den[t, c].ravel()) for t, n in enumerate(frames) for c in range(num.shape[1]) if den[t, c].any()], columns=["center", "target", "channel", "h", "w", "num", "den"])
+        own = pdf[~pdf.is_guide]
+        frames, centre = sorted(own.n.unique()), int(pdf.center.iloc[0])
+        args = [stacked(own, frames), frames.index(centre)] + ([stacked(pdf[pdf.is_guide], frames)] if pdf.is_guide.any() else [])
+        num, den = works[int(pdf.unit.iloc[0])](*args)
+        return pd.DataFrame(contribution_rows(centre, frames, sorted(own.channel.unique()), num, den), columns=COLUMNS)
 
-    return windows.groupBy("center").applyInPandas(run, CONTRIBUTION)
+    return windows.groupBy("center", "unit").applyInPandas(run, CONTRIBUTION)
 
 
 def aggregate(contrib: DataFrame, pixels: DataFrame) -> DataFrame:
@@ -47,22 +74,74 @@ def aggregate(contrib: DataFrame, pixels: DataFrame) -> DataFrame:
     return pixels.join(sums, on, "left").select("n", "channel", "y", "x", F.coalesce(finish(F.col("num"), F.col("den"), F.col("v")), F.col("v")).alias("v"))
 
 
-def apply(pixels: DataFrame, work: Callable, radius: int = 0, guide: DataFrame | None = None) -> DataFrame:
+def apply(pixels: DataFrame, work: Callable | Sequence[Unit], radius: int = 0, guide: DataFrame | None = None) -> DataFrame:
     return aggregate(contributions(pixels, work, radius, guide), pixels)
 
 
-def volumes(pixels: DataFrame, work: Callable, chunk: int = 32, halo: int = 8) -> DataFrame:
-    """Tumbling chunks of frames with a halo on both sides; only a chunk's own frames are kept."""
+def volumes(pixels: DataFrame, work: Callable | Sequence[Unit], chunk: int = 32, halo: int = 8) -> DataFrame:
+    """Tumbling chunks of frames with a halo on both sides; only a chunk's own frames are kept. work(volume, 0) gives finished frames."""
     planes = dense(pixels, ["n", "channel"])
+    planes = planes.withColumn("unit", F.lit(0)) if callable(work) else in_units(planes, work)
+    works = [work] if callable(work) else [w for _, w in work]
     key = lambda d: F.expr(f"(n + {d}) div {chunk}")
     dealt = planes.select("*", F.explode(F.array_distinct(F.array(key(0), F.expr(f"greatest(n - {halo}, 0) div {chunk}"), key(halo)))).alias("chunk"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         frames, own = sorted(pdf.n.unique()), int(pdf.chunk.iloc[0])
-        win = np.stack([np.stack([np.array(r.v, float).reshape(r.h, r.w) for r in pdf[pdf.n == n].sort_values("channel").itertuples()]) for n in frames])
-        out, _ = work(win, 0)
+        out, _ = works[int(pdf.unit.iloc[0])](stacked(pdf, frames), 0)
         h, w = out.shape[2:]
-        rows = [(int(n), int(n), c, h, w, out[t, c].ravel(), np.ones(h * w)) for t, n in enumerate(frames) if n // chunk == own for c in range(out.shape[1])]
-        return pd.DataFrame(rows, columns=["center", "target", "channel", "h", "w", "num", "den"])
+        rows = [(int(n), int(n), int(c), h, w, out[t, i].ravel(), np.ones(h * w)) for t, n in enumerate(frames) if n // chunk == own for i, c in enumerate(sorted(pdf.channel.unique()))]
+        return pd.DataFrame(rows, columns=COLUMNS)
+
+    return aggregate(dealt.groupBy("chunk", "unit").applyInPandas(run, CONTRIBUTION), pixels)
+
+
+def finished_chunk(frames: Sequence[int], stack: np.ndarray, channels: Sequence[int], work: Callable, radius: int, own: Callable[[int], bool], guide: np.ndarray | None = None) -> list[tuple]:
+    """(n, channel, h, w, v) of the own frames of a chunk whose halo of 2 radius frames is there, as far as the clip has them."""
+    num, den = np.zeros(stack.shape), np.zeros(stack.shape)
+    mine = [t for t, n in enumerate(frames) if own(int(n))]
+    for t in range(max(0, min(mine) - radius), min(len(frames), max(mine) + radius + 1)):
+        lo, hi = max(0, t - radius), min(len(frames), t + radius + 1)
+        part = work(stack[lo:hi], t - lo, *([] if guide is None else [guide[lo:hi]]))
+        num[lo:hi] += part[0]
+        den[lo:hi] += part[1]
+    out = np.where(den > 1e-12, num / np.maximum(den, 1e-12), stack)
+    h, w = stack.shape[2:]
+    return [(int(frames[t]), int(c), h, w, out[t, i].ravel()) for t in mine for i, c in enumerate(channels)]
 
-    return aggregate(dealt.groupBy("chunk").applyInPandas(run, CONTRIBUTION), pixels)
+
+PLANE = "n long, channel long, h long, w long, v array<double>"
+
+
+def chunk_keys(n: str, chunk: int, halo: int) -> str:
+    """SQL of the chunks that a frame belongs to, as own frame or as halo."""
+    return f"sequence(greatest({n} - {halo}, 0) div {chunk}, ({n} + {halo}) div {chunk})"
+
+
+def rolling(pixels: DataFrame, work: Callable | Sequence[Unit], radius: int, chunk: int = 4, guide: DataFrame | None = None) -> DataFrame:
+    """The same frames as contributions and their sum, chunk by chunk: one task holds chunk + 4 radius planes and emits finished planes, so no pixel is shuffled. The output doesn't depend on the chunk."""
+    planes = dense(pixels, ["n", "channel"]).withColumn("is_guide", F.lit(False))
+    if guide is not None:
+        planes = planes.unionByName(dense(guide, ["n", "channel"]).withColumn("is_guide", F.lit(True)))
+    units = [(None, work)] if callable(work) else list(work)
+    held = planes.withColumn("unit", F.lit(0)) if callable(work) else in_units(planes, units)
+    works = [w for _, w in units]
+    dealt = held.select("*", F.explode(F.expr(chunk_keys("n", chunk, 2 * radius))).alias("chunk"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        src, key = pdf[~pdf.is_guide], int(pdf.chunk.iloc[0])
+        frames, channels = sorted(src.n.unique()), sorted(src.channel.unique())
+        if not any(n // chunk == key for n in frames):
+            return pd.DataFrame([], columns=["n", "channel", "h", "w", "v"])
+        theirs = stacked(pdf[pdf.is_guide], frames) if pdf.is_guide.any() else None
+        rows = finished_chunk(frames, stacked(src, frames), channels, works[int(pdf.unit.iloc[0])], radius, lambda n: n // chunk == key, theirs)
+        return pd.DataFrame(rows, columns=["n", "channel", "h", "w", "v"])
+
+    out = exploded(dealt.groupBy("chunk", "unit").applyInPandas(run, PLANE))
+    return out if callable(work) else out.unionByName(pixels.where(~F.col("channel").isin([int(c) for cs, _ in units for c in cs])).select("n", "channel", "y", "x", "v"))
+
+
+def exploded(planes: DataFrame) -> DataFrame:
+    """Pixels of planes."""
+    at = planes.select("n", "channel", "w", F.posexplode("v").alias("i", "v"))
+    return at.select("n", "channel", F.expr("CAST(i div w AS INT)").alias("y"), (F.col("i") % F.col("w")).cast("int").alias("x"), "v")
