@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    for module in ("relational", "denoise"):
+    for module in ("relational", "nlm", "matching", "denoise"):
         importlib.import_module(f"selfsim.plans.{module}")
     return dict(_QUERIES)
 
