@@ -428,3 +428,10 @@ def da3d(win, centre, ref, sigma=3.0, tile=128):  # noqa: ANN001, ANN201
     full, weight = np.zeros(win.shape), np.zeros(win.shape)
     full[centre], weight[centre] = num[:, 31 : 31 + h, 31 : 31 + w], den[31 : 31 + h, 31 : 31 + w]
     return full, weight
+
+
+def da3d_colour(win, centre, ref, sigma=3.0):  # noqa: ANN001, ANN201
+    """Three channels jointly, in opponent colours."""
+    forward = lambda v: np.einsum("oc,tchw->tohw", OPPONENT, v)
+    out = K.divide(*da3d(forward(win), centre, forward(ref), sigma), forward(win))
+    return identity(np.einsum("oc,tohw->tchw", OPPONENT, out), centre)

@@ -37,18 +37,27 @@ def _filter(name: str, work: Callable, source: Callable = grey, radius: int = 0,
 
 _filter("bm3d", partial(N.bm3d, sigma=8.0))
 _filter("bm3d_final", partial(N.bm3d, sigma=8.0, final=1))
+_filter("bm3d_chroma", partial(N.bm3d, sigma=(8.0, 10.0, 12.0)), colour)
 _filter("bm3d_temporal", partial(N.bm3d, sigma=8.0, radius=1), radius=1)
 _filter("wnnm", partial(N.wnnm, sigma=8.0, residual=1))
 _filter("wnnm_temporal", partial(N.wnnm, sigma=8.0, radius=1), radius=1)
 _filter("mcwnnm", partial(N.mcwnnm, sigma=(8.0, 10.0, 12.0)), colour)
 _filter("ncsr", partial(N.ncsr, sigma=8.0))
 _filter("twsc", partial(N.twsc, sigma=8.0, search_window=16), colour)
+_filter("twsc_split", partial(N.twsc, sigma=8.0, search_window=16, cfast=1), colour)
+_filter("nlh_blind", partial(N.nlh, sigma=None, search_window=8, basic_iters=2, rgb=True), colour)
 _filter("nlh", partial(N.nlh, sigma=8.0, search_window=8, basic_iters=2))
 _filter("pnlm", partial(N.pnlm, sigma=8.0), radius=1)
 _filter("lssc", partial(N.lssc, sigma=8.0))
 _filter("bm4d", partial(N.bm4d, sigma=8.0), run=framewise.volumes)
 
 
+@query("bm3d_rolling")
+def bm3d_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of bm3d_temporal, chunk by chunk."""
+    return framewise.rolling(grey(spark, sf_dir), partial(N.bm3d, sigma=8.0, radius=1), radius=1)
+
+
 @query("da3d")
 def da3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the guide is the output of bm3d."""

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from selfsim.operators.grid import spread
+from selfsim.operators.lineage import cut
 from selfsim.operators.match import candidates, ssd
 from selfsim.plans.registry import query
 from selfsim.plans.relational import B, GROUP, RANGE, REFS_SQL, clip_and_refs
@@ -30,7 +31,8 @@ def predictive(refs: DataFrame, blocks: DataFrame, lo: int, hi: int, k: int, rad
     """(n, ref_id, k, t, my, mx, dist): the reference itself (k = 0), then the nearest of all frames.
 
     2 radius rounds of a seed explosion and an equi-join; a round reads at most ps_num
-    windows for each reference. Seeds of a direction start with the reference itself.
+    windows for each reference. With more than two frames each way the rounds are checkpointed, as each
+    would compute the ones before it again. Seeds of a direction start with the reference itself.
     """
     own = blocks.select(F.col("n").alias("_n"), F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("p").alias("rp"))
     at = lambda t: blocks.select(F.col("n").alias(t), F.col("y").alias("my"), F.col("x").alias("mx"), F.col("p").alias("cp"))
@@ -48,6 +50,7 @@ def predictive(refs: DataFrame, blocks: DataFrame, lo: int, hi: int, k: int, rad
             spots = spread(spread(moved, "oy", range(-ps_range, ps_range + 1)), "ox", range(-ps_range, ps_range + 1))
             spots = spots.select("n", "ref_id", "t", (F.col("sy") + F.col("oy")).alias("my"), (F.col("sx") + F.col("ox")).alias("mx")).distinct()
             local = spots.join(at("t"), ["t", "my", "mx"]).join(with_patch, ["n", "ref_id"]).select("n", "ref_id", "t", "my", "mx", ssd(F.col("rp"), F.col("cp")).alias("dist"))
+            local = cut(local) if radius > 2 else local
             found.append(local)
             last = nearest(local, ps_num, ("n", "ref_id"))
     first = refs.select("n", "ref_id", F.lit(0).alias("k"), F.col("n").cast("int").alias("t"), F.col("ry").alias("my"), F.col("rx").alias("mx"), F.lit(0).cast("long").alias("dist"))
