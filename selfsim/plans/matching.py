@@ -60,9 +60,9 @@ def predictive(refs: DataFrame, blocks: DataFrame, lo: int, hi: int, k: int, rad
 
 
 def _sql() -> str:
-    dist = f"(SELECT CAST(sum((a.c - b.c) * (a.c - b.c)) AS BIGINT) FROM px a JOIN px b ON b.n = g.t AND b.y - g.my = a.y - g.ry AND b.x - g.mx = a.x - g.rx WHERE a.n = g.n AND a.y BETWEEN g.ry AND g.ry + {B - 1} AND a.x BETWEEN g.rx AND g.rx + {B - 1})"
+    dist = f"(SELECT list_sum(list_transform(range(1, {B * B + 1}), lambda i: (a.p[i] - b.p[i]) * (a.p[i] - b.p[i])))::BIGINT FROM bk a, bk b WHERE a.n = g.n AND a.y = g.ry AND a.x = g.rx AND b.n = g.t AND b.y = g.my AND b.x = g.mx)"
     spots = lambda lo, hi: f"range(0, {HEIGHT - B + 1}) my, range(0, {WIDTH - B + 1}) mx WHERE my.range BETWEEN s.my - {lo} AND s.my + {hi} AND mx.range BETWEEN s.mx - {lo} AND s.mx + {hi}"
-    parts = [CLIP_SQL + REFS_SQL, f"g0 AS (SELECT s.n, ref_id, ry, rx, n AS t, my.range AS my, mx.range AS mx FROM (SELECT *, ry AS my, rx AS mx FROM refs) s, {spots(RANGE, RANGE)})", f"d0 AS (SELECT *, {dist} AS dist FROM g0 g)", f"seed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n, ref_id ORDER BY CASE WHEN my = ry AND mx = rx THEN 0 ELSE 1 END, dist, my, mx) AS r FROM d0) WHERE r <= {PS_NUM})"]
+    parts = [CLIP_SQL + REFS_SQL, f"bk AS (SELECT n, y - i.range // {B} AS y, x - i.range % {B} AS x, list(c ORDER BY i.range) AS p FROM px, range({B * B}) i GROUP BY ALL)", f"g0 AS (SELECT s.n, ref_id, ry, rx, n AS t, my.range AS my, mx.range AS mx FROM (SELECT *, ry AS my, rx AS mx FROM refs) s, {spots(RANGE, RANGE)})", f"d0 AS (SELECT *, {dist} AS dist FROM g0 g)", f"seed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n, ref_id ORDER BY CASE WHEN my = ry AND mx = rx THEN 0 ELSE 1 END, dist, my, mx) AS r FROM d0) WHERE r <= {PS_NUM})"]
     union = ["SELECT n, ref_id, t, my, mx, dist FROM d0 WHERE my <> ry OR mx <> rx"]
     for step, name in ((-1, "p"), (1, "f")):
         last = "seed"
