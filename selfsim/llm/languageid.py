@@ -178,18 +178,28 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False)) if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
+def lowest_ids(usable: DataFrame, per_language: int, salts: int = 16) -> list[int]:
+    """The per_language ids of each language that hash lowest, ranked in salted groups first, so that no task ranks a language's candidates of every partition."""
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    pick = lambda df, *keys: df.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("k") <= per_language).select("lang", "doc_id")
+    salted = usable.select("lang", "doc_id", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(salts)).alias("salt"))
+    most = per_language * MOST_LANGUAGES
+    ids = pick(pick(salted, "lang", "salt").distinct(), "lang").limit(most + 1).collect()
+    if len(ids) > most:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    return sorted({r.doc_id for r in ids})
+
+
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, words_each: int = WORDS_EACH) -> Model:
     """Trains on rows with a text, a lang and an id outside the held-out fold.
 
     Of each language the per_language ids that hash lowest are taken, so the sample
     is the same however the table is stored; of a text, words_each words spread evenly.
+    Of an id that repeats in a language, the smallest text counts.
     """
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and text is not null and lang is not null").where(~held_out())
-    lowest = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = sorted({r.doc_id for r in usable.select("doc_id", "lang").withColumn("k", F.row_number().over(lowest)).where(F.col("k") <= per_language).select("doc_id").collect()})
-    rows = usable.where(F.col("doc_id").isin(ids)).collect() if ids else []
-    if len({r.lang for r in rows}) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    ids = lowest_ids(usable, per_language)
+    rows = usable.where(F.col("doc_id").isin(ids)).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect() if ids else []
     words, labels = [], []
     for r in sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text)):
         w = [x for x in r.text.split() if any(map(str.isalpha, x))]

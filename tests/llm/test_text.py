@@ -198,3 +198,13 @@ def test_urls(spark):
     rows = [(1, "http://a.b.net/x"), (2, "http://example.net/en/1"), (3, None), (4, "no scheme"), (5, "http://X.ORG/fr/"), (6, "http://z.org/?utm_source=feed"), (7, "http://notnet/x"), (8, "http://net")]
     got = {r.page_id: (r.host, r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert got == {1: ("a.b.net", "net/", "block"), 2: ("example.net", "example.net/en/", "allow"), 3: ("", None, "allow"), 4: ("", None, "allow"), 5: ("x.org", "org/fr/", "allow"), 6: ("z.org", None, "block"), 7: ("notnet", None, "allow"), 8: ("net", None, "allow")}
+
+
+def test_training_ids_are_the_lowest_of_each_language(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "en").otherwise("fr").alias("lang"))
+    want = sorted(r.doc_id for lang in ("en", "fr") for r in rows.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(20).collect())
+    assert languageid.lowest_ids(rows.repartition(7), 20) == want
+    assert languageid.lowest_ids(rows.union(rows), 20) == want
+    assert languageid.lowest_ids(rows.limit(0), 20) == []
