@@ -10,13 +10,18 @@ projects overlapping windows of every text, compares them by cosine with the win
 benchmark items, and checks each candidate region by its longest common subsequence with
 the item, and by whether it has the item's answer.
 
-Latent cosines alone lose some verbatim copies of short items inside other text (the
-README has figures), so regions that share SHINGLE words in a row with an item are
-candidates too.
+Latent cosines lose some copies inside other text (the README has figures), so regions
+that share SHINGLE words in a row with an item are candidates too, and so is each region
+that can reach the bound of the subsequence at all: of an item's m words PARAPHRASED * m
+must be matched, so of its RARE * m rarest ones all but the m - PARAPHRASED * m that may
+be missing. Windows of 2 m words with so many of the rarest words are found
+through an inverted index of these. The checks read every window of 2 m words
+of a region, so no copy within 2 m words is lost, whatever its cosines.
 """
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -35,6 +40,10 @@ RANK, SPARE = 56, 8
 #: Terms in a larger share of all passages weigh nothing.
 COMMON = 0.02
 SHINGLE = 5
+#: Share of an item's words, the rarest, that the index of the exact candidates holds; with PARAPHRASED more than 1.
+RARE = 0.7
+#: Words found in the index that are sorted at once.
+MOST_FOUND = 1 << 21
 #: Least cosine of a candidate window.
 COSINE = 0.8
 #: Share of an item window's weighed words that a candidate window must have.
@@ -220,8 +229,8 @@ def fold(texts: DataFrame, small: bool, rows: int, columns: int, work: Callable[
     return totals(texts.mapInArrow(run, "block long, slot long, m binary"), texts.rdd.getNumPartitions(), rows, columns)
 
 
-def decompose(texts: DataFrame, n: int, rank: int = RANK, spare: int = SPARE, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """(idf, V): V (terms, rank) are right singular vectors of the TF-IDF matrix of all passages of the coded texts."""
+def decompose(texts: DataFrame, n: int, rank: int = RANK, spare: int = SPARE, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(idf, V, frequencies): V (terms, rank) are right singular vectors of the TF-IDF matrix of all passages of the coded texts."""
     small, width = n < 32768, min(n, rank + spare)
     test = np.random.default_rng(seed).standard_normal((n, width)).astype(np.float32)
 
@@ -245,7 +254,7 @@ def decompose(texts: DataFrame, n: int, rank: int = RANK, spare: int = SPARE, se
     values, vectors = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
     good = values > max(values.max(initial=0), 1e-9) * 1e-6
     v = np.linalg.svd(y @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)[0] if good.any() else q.astype(np.float64)
-    return idf, np.ascontiguousarray(v[:, :rank], np.float32)
+    return idf, np.ascontiguousarray(v[:, :rank], np.float32), found[:n]
 
 
 def shingles(offsets: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -262,6 +271,45 @@ def shingles(offsets: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray,
     return h[good], at[good]
 
 
+def rarest(items: list[np.ndarray], frequencies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, owners, needed): the items that have term t among their RARE rarest words are owners[starts[t]:starts[t + 1]]; needed is how many of these a copy of each item must have."""
+    pairs, needed = [], []
+    for k, words in enumerate(items):
+        m = len(words)
+        held = math.ceil(RARE * m)
+        own = np.unique(words[np.lexsort((words, frequencies[words]))[:held]])
+        pairs.append(np.stack([own, np.full(len(own), k)]))
+        needed.append(math.ceil(PARAPHRASED * m) - (m - held))
+    term, owner = np.concatenate(pairs, 1)
+    order = np.argsort(term, kind="stable")
+    return np.searchsorted(term[order], np.arange(len(frequencies) + 1)), owner[order], np.array(needed)
+
+
+def reachable(offsets: np.ndarray, ids: np.ndarray, index: tuple[np.ndarray, np.ndarray, np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """(text, item, first word, end) columns: what holds every window of 2 m words with as many of an item's rarest words as its copy needs."""
+    starts, owners, needed = index
+    many = np.where(ids >= 0, starts[ids + 1] - starts[ids], 0)
+    some = np.flatnonzero(many)
+    total, reach, out, k = np.cumsum(many[some]), 2 * int(sizes.max(initial=0)), [np.zeros((4, 0), np.int64)], 0
+    while k < len(some):
+        # slices overlap by the longest window, so that each window is whole in one
+        end = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + MOST_FOUND, "right")))
+        at = some[k : max(end, int(np.searchsorted(some, some[end - 1] + reach)))]
+        k, n = end, many[at]
+        item = owners[np.repeat(starts[ids[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        key = np.sort(item * np.int64(len(ids) + 1) + np.repeat(at, n))
+        item, at = key // (len(ids) + 1), key % (len(ids) + 1)
+        last = np.arange(len(at)) + needed[item] - 1
+        near = np.flatnonzero(last < len(at))
+        last = last[near]
+        near, last = (x[(item[last] == item[near]) & (at[last] - at[near] < 2 * sizes[item[near]])] for x in (near, last))
+        text = np.searchsorted(offsets, at[near], "right") - 1
+        near, last, text = (x[at[last] < offsets[text + 1]] for x in (near, last, text))
+        wide = 2 * sizes[item[near]]
+        out.append(np.stack([text, item[near], np.maximum(at[last] - wide + 1 - offsets[text], 0), at[near] + wide - offsets[text]]))
+    return np.concatenate(out, 1)
+
+
 def windows(offsets: np.ndarray, ids: np.ndarray, latent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(unit vectors, text, first word) of the windows of PASSAGE words at every STRIDE words."""
     of, owner = passages(offsets, STRIDE)
@@ -298,7 +346,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not bench.items:
         return spark.createDataFrame([], schema)
     n, texts = len(bench.terms), code(docs, bench)
-    idf, v = decompose(texts, n)
+    idf, v, frequencies = decompose(texts, n)
     latent, small = idf[:, None] * v, n < 32768
     bounds, together = np.cumsum([0, *map(len, bench.items)]), np.concatenate(bench.items)
     asked, item_of, first = windows(bounds, together, latent)
@@ -312,24 +360,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     runs_of = (h[order], np.searchsorted(bounds, at[order], "right") - 1)
     masks = [masks_of(x.tolist()) for x in bench.items]
     answers = [(masks_of(a), len(a)) for a in bench.answers]
-    shipped = spark.sparkContext.broadcast((latent, asked, item_of, has, least, runs_of, masks, answers, [len(x) for x in bench.items], bench.ids))
+    shipped = spark.sparkContext.broadcast((latent, asked, item_of, has, least, runs_of, masks, answers, [len(x) for x in bench.items], bench.ids, rarest(bench.items, frequencies)))
 
-    def verdicts(words: np.ndarray, item: int, at: np.ndarray) -> tuple[int, int] | None:
+    def verdicts(words: np.ndarray, item: int, lo: np.ndarray, hi: np.ndarray) -> tuple[int, int] | None:
         masks, answers, sizes = shipped.value[6:9]
         m, best = sizes[item], None
-        lo, hi = at - m, at + PASSAGE + m
-        for k in np.flatnonzero(np.r_[True, lo[1:] > hi[:-1]]):
-            end = hi[k]
-            for x in range(k + 1, len(lo)):
-                if lo[x] > hi[x - 1]:
-                    break
-                end = hi[x]
-            region = words[max(0, lo[k]) : end].tolist()
+        hi = np.maximum.accumulate(hi)
+        first = np.flatnonzero(np.r_[True, lo[1:] > hi[:-1]])
+        for start, end in zip(lo[first], hi[np.append(first[1:], len(hi)) - 1], strict=True):
+            region = words[max(0, start) : end].tolist()
             own = masks[item]
-            if sum(t in own for t in region) < PARAPHRASED * m:
+            at = [k for k, t in enumerate(region) if t in own]
+            if len(at) < PARAPHRASED * m:
                 continue
-            for a in range(0, max(1, len(region) - m + 1), max(1, m // 2)):
-                span = region[a : a + 2 * m]
+            b = 0
+            # every window of 2 m words: one that starts at no word of the item has no more of them than the next that does
+            for a in range(len(at)):
+                while b < len(at) and at[b] < at[a] + 2 * m:
+                    b += 1
+                if b - a < max(PARAPHRASED * m, best[0] if best else 0):
+                    continue
+                span = [region[k] for k in at[a:b]]
                 lcs = common_length(own, m, span)
                 if lcs >= PARAPHRASED * m:
                     there = common_length(*answers[item], span)
@@ -338,8 +389,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return best
 
     def candidates(offsets: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """(text, item, first word in the text) columns, sorted."""
+        """(text, item, first word in the text, end of the region) columns, sorted."""
         latent, asked, item_of, has, least, (hashes, owners) = shipped.value[:6]
+        sizes = np.array(shipped.value[8])
         own, text_of, first = windows(offsets, ids, latent)
         padded = np.r_[ids, np.full(PASSAGE, -1)]
         hits = [np.zeros((3, 0), np.int64)]
@@ -359,10 +411,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         at = np.repeat(at, many)
         text = np.searchsorted(offsets, at, "right") - 1
         hits.append(np.stack([text, owners[some], (at - offsets[text]) // STRIDE * STRIDE]))
-        return np.unique(np.concatenate(hits, 1), axis=1)
+        text, item, at = np.concatenate(hits, 1)
+        around = np.stack([text, item, at - sizes[item], at + PASSAGE + sizes[item]])
+        return np.unique(np.concatenate([around, reachable(offsets, ids, shipped.value[10], sizes)], 1), axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, item_ids = shipped.value[8:]
+        sizes, item_ids = shipped.value[8:10]
         for batch in batches:
             for part in pieces_of(batch, "words"):
                 offsets, ids = read(part.column("words"), small)
@@ -371,7 +425,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 doc_ids, rows = part.column("doc_id").to_pylist(), []
                 for s, e in zip(starts, np.append(starts[1:], hits.shape[1]), strict=True) if len(starts) else ():
                     text, item = hits[:2, s]
-                    best = verdicts(ids[offsets[text] : offsets[text + 1]], int(item), hits[2, s:e])
+                    best = verdicts(ids[offsets[text] : offsets[text + 1]], int(item), hits[2, s:e], hits[3, s:e])
                     if best:
                         rows.append((doc_ids[text], item_ids[item], best[0], sizes[item], shipped.value[7][item][1], best[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6, ["doc_id", "item_id", "lcs_words", "item_words", "answer_words", "answer_found"])

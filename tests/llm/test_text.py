@@ -170,6 +170,41 @@ def test_decontamination(spark, odd):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_finds_altered_copies(spark):
+    """Copies with every 3rd to 5th word changed, inside long texts over the benchmark's own words."""
+    rng = np.random.default_rng(8)
+    common, rare = [f"c{k}" for k in range(12)], [f"r{k}" for k in range(2000)]
+    made = lambda n: [str(rng.choice(common if rng.random() < 0.4 else rare)) for _ in range(n)]
+    items, rows = [made(n) for n in rng.integers(15, 30, 120)], []
+    for k, item in enumerate(items):
+        # no five words in a row stay; every 5th changed is a copy, more a paraphrase, so the last line keeps five words of six
+        m, step = len(item), 3 + k % 3
+        changed = lambda i: (i + 1) % 5 == 0 if step == 5 else i == m - 5 or i < m - 6 and (i + 1) % step == 0  # noqa: B023, E731
+        own = [made(1)[0] if changed(i) else w for i, w in enumerate(item)]
+        rows.append((k, " ".join([*made(100 + k), *own, *made(200)])))
+    bench = spark.createDataFrame([(k, " ".join(x[:-6]) + "\n" + " ".join(x[-6:])) for k, x in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([*rows, (999, " ".join(made(3000)))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(k, k) for k in range(120)}
+
+
+@pytest.mark.parametrize("most", [7, 1 << 21])
+def test_reachable_windows_by_brute_force(monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MOST_FOUND", most)
+    rng = np.random.default_rng(5)
+    items = [rng.integers(0, 30, n) for n in (1, 2, 5, 9, 12)]
+    texts = [rng.integers(-1, 30, n) for n in (0, 40, 3, 90)] + [np.r_[-1, items[4], -1, items[3]]]
+    offsets, ids = np.cumsum([0, *map(len, texts)]), np.concatenate(texts)
+    hits = decontaminate.reachable(offsets, ids, decontaminate.rarest(items, np.bincount(ids[ids >= 0], minlength=30)), np.array([len(x) for x in items]))
+    for t, words in enumerate(texts):
+        for k, item in enumerate(items):
+            m, own = len(item), decontaminate.masks_of(item.tolist())
+            for a in range(len(words)):
+                b = min(len(words), a + 2 * m)
+                if decontaminate.common_length(own, m, words[a:b].tolist()) >= decontaminate.PARAPHRASED * m:
+                    assert any(h[0] == t and h[1] == k and h[2] <= a and h[3] >= b for h in hits.T)
+
+
 def test_sharding(spark, tmp_path):
     store = sharding.Store(spark, str(tmp_path))
     for k in range(3):
