@@ -1,27 +1,27 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Texts are read as passages of PASSAGE words (lower case, outer punctuation off) over
-the benchmark's own vocabulary, and kept as term ids in the shared folder. A randomised
-singular value decomposition of the TF-IDF matrix of all passages takes distributed
-passes over them: one counts document frequencies (terms in more than COMMON of the
-passages weigh nothing), one multiplies the matrix's Gram form by a random test matrix,
-one multiplies it by the orthonormal range so found (Nystrom form). A last pass
-projects overlapping windows of every text, compares them by cosine with the windows of all
-benchmark items, and checks each candidate region by its longest common subsequence with
-the item, and by whether it has the item's answer.
-
-Latent cosines lose some copies inside other text (the README has figures), so regions
-that share SHINGLE words in a row with an item are candidates too, and so is each region
-that can reach the bound of the subsequence at all: of an item's m words PARAPHRASED * m
-must be matched, so of its RARE * m rarest ones all but the m - PARAPHRASED * m that may
-be missing. Windows of 2 m words with so many of the rarest words are found
-through an inverted index of these. The checks read every window of 2 m words
-of a region, so no copy within 2 m words is lost, whatever its cosines.
+Texts are read as words (lower case, outer punctuation off) and kept as codes in the
+shared folder: a word of the benchmark has a code of its own, any other word one of
+BUCKETS by its hash, so that the vocabulary is that of all texts and its size is bounded.
+A randomised singular value decomposition of the TF-IDF matrix of all passages of PASSAGE
+words takes two distributed passes: one counts in how many passages each bucket occurs, one
+multiplies the matrix's Gram form by a random test matrix (one-pass Nystrom form).
+
+A word's latent vector is its row of right singular vectors scaled to length one, without
+the LEADING directions, which tell languages and topics apart rather than passages; a
+window's is the sum of its words' vectors by inverse document frequency. Items are
+compared by cosine with windows of about their own length at every quarter of it. A
+candidate must have SHARED of the item's weight in words, and is then
+checked by the longest common subsequence with the item over every window of twice the item's
+words around it, and by whether it has the item's answer.
+
+A benchmark of any size is taken in parts that fit a broadcast; the decomposition is
+computed once.
 """
 
 from __future__ import annotations
 
-import math
+import re
 import string
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -29,30 +29,31 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selfsim.llm.common import cut, pieces_of, ragged, small_batches, texts_of
-
-PASSAGE, STRIDE = 32, 16
-RANK, SPARE = 56, 8
-#: Terms in a larger share of all passages weigh nothing.
-COMMON = 0.02
-SHINGLE = 5
-#: Share of an item's words, the rarest, that the index of the exact candidates holds; with PARAPHRASED more than 1.
-RARE = 0.7
-#: Words found in the index that are sorted at once.
-MOST_FOUND = 1 << 21
+from selfsim.llm.common import SPACE, cut, pieces_of, ragged, small_batches, texts_of
+
+PASSAGE = 32
+BUCKETS = 8192
+RANK, LEADING, SPARE = 64, 48, 8
+#: Buckets in a larger share of all passages are left out of the decomposition; their directions are random.
+COMMON = 0.1
+#: Words of the windows that items are compared with, and of a block; an item goes by the least size that holds it, a longer one by stretches of the largest.
+SIZES, BLOCK = (16, 20, 24, 32, 40, 48, 64, 80, 96, 128), 4
 #: Least cosine of a candidate window.
-COSINE = 0.8
-#: Share of an item window's weighed words that a candidate window must have.
-SHARED = 0.5
+COSINE = 0.35
+#: Share of an item's weight that a candidate window must have, read off a filter of FILTER hashed terms for each item.
+SHARED, FILTER = 0.4, 2048
 #: A region is a copy with this share of the item's words in order, or a paraphrase with the second share and the answer.
 COPIED, PARAPHRASED, ANSWERED = 0.8, 0.6, 0.8
 ANSWER_WORDS = 6
-#: The benchmark is broadcast: its size is checked against these bounds.
-MOST_ITEMS, MOST_BYTES, MOST_CELLS = 20_000, 32 << 20, 1 << 26
+#: Items and bytes of the part of a benchmark that is broadcast at once; a benchmark of more is taken in several.
+MOST_ITEMS, MOST_BYTES = 8192, 16 << 20
+#: Bytes of codes for each task of the decomposition, so that its matrices stay small beside the texts.
+TASK_BYTES = 32 << 20
 FAN = 64
 EDGES = string.punctuation + "“”‘’«»¿¡…–—"
 
@@ -60,12 +61,16 @@ EDGES = string.punctuation + "“”‘’«»¿¡…–—"
 def word_list(text: str | None) -> list[str]:
     """Lower-case words (ASCII letters lowered) without outer punctuation; words of punctuation alone are none."""
     low = "".join(c.lower() if c.isascii() else c for c in text or "")
-    return [w for x in low.split(None) for w in [x.strip(EDGES)] if w]
+    return [w for x in re.split(SPACE, low) for w in [x.strip(EDGES)] if w]
+
+
+def bucket(word: str) -> int:
+    return xxhash.xxh32_intdigest(word) % BUCKETS
 
 
 @dataclass
 class Benchmark:
-    """Items as arrays of term ids, with a bit mask of positions for each term."""
+    """Items as arrays of term ids; terms are the words of all items."""
 
     ids: list[int]
     terms: dict[str, int]
@@ -73,24 +78,42 @@ class Benchmark:
     answers: list[list[int]]
 
     @classmethod
-    def of(cls, benchmark: DataFrame) -> Benchmark:
-        rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-        n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-        if n > MOST_ITEMS or size > MOST_BYTES:
-            raise ValueError(f"the benchmark has {n} items of {size} bytes; {MOST_ITEMS} and {MOST_BYTES} are broadcast at most: give it in parts")
+    def of(cls, rows: list[tuple[int, str]]) -> Benchmark:
         terms: dict[str, int] = {}
         out = cls([], terms, [], [])
-        for r in sorted({(r.item_id, r.text) for r in rows.collect()}):
+        for r in sorted(set(rows)):
             words = word_list(r[1])
             if words:
                 own = [terms.setdefault(w, len(terms)) for w in words]
                 out.ids.append(r[0])
                 out.items.append(np.array(own))
                 out.answers.append(answer_of(own, r[1]))
-        if len(terms) * sum(map(len, out.items)) // STRIDE > MOST_CELLS:
-            raise ValueError(f"the benchmark's {len(out.ids)} items of {len(terms)} terms exceed the broadcast bound of {MOST_CELLS} cells: give it in parts")
         return out
 
+    @property
+    def kind(self) -> np.dtype:
+        return np.dtype("<u2" if len(self.terms) + BUCKETS < 65536 else "<i4")
+
+    def buckets(self) -> np.ndarray:
+        """The bucket of each code."""
+        return np.concatenate([np.array([bucket(w) for w in self.terms], np.int64), np.arange(BUCKETS)])
+
+
+def parts_of(benchmark: DataFrame, most_items: int = MOST_ITEMS, most_bytes: int = MOST_BYTES) -> Iterator[Benchmark]:
+    """The benchmark's items, dealt by hash to parts within the bounds; a part is one item at least."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    many = 1
+    while True:
+        part = F.pmod(F.xxhash64("item_id", "text"), F.lit(many))
+        sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).where(F.col("n") > 1).agg(F.max("n"), F.max("size")).first()
+        if (sizes[0] or 0) <= most_items and (sizes[1] or 0) <= most_bytes:
+            break
+        many *= 2
+    for k in range(many):
+        own = Benchmark.of([(r.item_id, r.text) for r in rows.where(part == k).collect()])
+        if own.items:
+            yield own
+
 
 def answer_of(own: list[int], text: str) -> list[int]:
     """The item's answer: the words of its last non-empty line, ANSWER_WORDS of them at least where it has so many."""
@@ -116,13 +139,15 @@ def masks_of(words: list[int]) -> dict[int, int]:
     return out
 
 
-def coded(texts: pa.Array, terms: dict[str, int], names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, term ids) of texts; a word outside the vocabulary is -1, one of punctuation alone isn't there."""
+def coded(texts: pa.Array, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, codes) of texts: a benchmark word's place in names, else their number plus the word's bucket; one of punctuation alone isn't there."""
     offsets, words, codes = ragged(texts, lower=True)
     if not len(codes):
         return offsets, codes
     words = pc.utf8_trim(words, EDGES)
     own = pc.fill_null(pc.index_in(words, names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    other = np.flatnonzero(own < 0)
+    own[other] = len(names) + np.fromiter(map(bucket, words.take(pa.array(other)).to_pylist()), np.int64, len(other))
     full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)[codes]
     ids = own[codes]
     if not full.all():
@@ -152,11 +177,10 @@ def runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
 
 
-def gram(passage: np.ndarray, term: np.ndarray, weight: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A' A right, for the sparse rows A given by (passage, term, weight) sorted by passage."""
-    out = np.zeros(right.shape, np.float32)
-    for lo in range(0, len(term), 1 << 17):
-        hi = min(len(term), lo + (1 << 17))
+def gram(passage: np.ndarray, term: np.ndarray, weight: np.ndarray, right: np.ndarray, out: np.ndarray) -> None:
+    """Adds A' A right to out, for the sparse rows A given by (passage, term, weight) sorted by passage."""
+    for lo in range(0, len(term), 1 << 16):
+        hi = min(len(term), lo + (1 << 16))
         if lo:
             lo = int(np.searchsorted(passage, passage[lo], "left"))
         if hi < len(term):
@@ -171,11 +195,11 @@ def gram(passage: np.ndarray, term: np.ndarray, weight: np.ndarray, right: np.nd
         t = t[order]
         first = runs(t)
         out[t[first]] += np.add.reduceat(rows[local[order]] * w[order][:, None], first)
-    return out
 
 
 def totals(parts: DataFrame, tasks: int, rows: int, columns: int) -> np.ndarray:
     """The sum of the tasks' matrices, given as rows (block, slot, m binary), added FAN at a time."""
+
     def add(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(m, np.float32).astype(np.float64) for m in group.column("m").to_pylist())
         return pa.table({"block": group.column("block")[:1], "slot": pa.array([group.column("slot")[0].as_py() // FAN]), "m": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
@@ -190,29 +214,28 @@ def totals(parts: DataFrame, tasks: int, rows: int, columns: int) -> np.ndarray:
 
 
 def code(docs: DataFrame, bench: Benchmark) -> DataFrame:
-    """(doc_id, words): each text's term ids as little-endian integers, cut into the shared folder."""
-    terms, names = bench.terms, pa.array(list(bench.terms), pa.large_string())
-    kind = np.dtype("<i2" if len(terms) < 32768 else "<i4")
+    """(doc_id, words): each text's codes as little-endian integers, cut into the shared folder."""
+    names, kind = docs.sparkSession.sparkContext.broadcast(list(bench.terms)), bench.kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(names.value, pa.large_string())
         for batch in batches:
             for part in pieces_of(batch, "text", 6_000_000):
-                offsets, ids = coded(part.column("text"), terms, names)
-                bounds = pa.py_buffer((offsets * kind.itemsize).astype(np.int32).tobytes())
-                words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, bounds, pa.py_buffer(ids.astype(kind).tobytes())])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), words], ["doc_id", "words"])
+                offsets, ids = coded(part.column("text"), known)
+                bounds = pa.py_buffer((offsets * kind.itemsize).astype(np.int64).tobytes())
+                words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, bounds, pa.py_buffer(ids.astype(kind).tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), words.cast(pa.binary())], ["doc_id", "words"])
 
     return cut(docs.mapInArrow(run, "doc_id long, words binary"))
 
 
-def read(words: pa.Array, small: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, term ids) of coded texts."""
-    size = 2 if small else 4
-    offsets = np.cumsum(np.r_[0, pc.binary_length(words).to_numpy().astype(np.int64) // size])
-    return offsets, np.frombuffer(b"".join(words.to_pylist()), "<i2" if small else "<i4").astype(np.int64)
+def read(words: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, codes) of coded texts."""
+    offsets = np.cumsum(np.r_[0, pc.binary_length(words).to_numpy().astype(np.int64) // kind.itemsize])
+    return offsets, np.frombuffer(b"".join(words.to_pylist()), kind).astype(np.int64)
 
 
-def fold(texts: DataFrame, small: bool, rows: int, columns: int, work: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
+def fold(texts: DataFrame, kind: np.dtype, rows: int, columns: int, work: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
     """The sum over all coded texts of a (rows, columns) matrix that work adds to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,8 +243,8 @@ def fold(texts: DataFrame, small: bool, rows: int, columns: int, work: Callable[
         for batch in batches:
             for part in pieces_of(batch, "words"):
                 any_row = True
-                work(total, *read(part.column("words"), small))
-        step = max(1, (128 << 10) // (4 * columns))
+                work(total, *read(part.column("words"), kind))
+        step = max(1, (256 << 10) // (4 * columns))
         if any_row:
             for k in range(0, rows, step):
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total[k : k + step].tobytes()], pa.binary())], ["block", "slot", "m"])
@@ -229,147 +252,123 @@ def fold(texts: DataFrame, small: bool, rows: int, columns: int, work: Callable[
     return totals(texts.mapInArrow(run, "block long, slot long, m binary"), texts.rdd.getNumPartitions(), rows, columns)
 
 
-def decompose(texts: DataFrame, n: int, rank: int = RANK, spare: int = SPARE, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(idf, V, frequencies): V (terms, rank) are right singular vectors of the TF-IDF matrix of all passages of the coded texts."""
-    small, width = n < 32768, min(n, rank + spare)
-    test = np.random.default_rng(seed).standard_normal((n, width)).astype(np.float32)
+def decompose(texts: DataFrame, bench: Benchmark, rank: int = RANK, leading: int = LEADING, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """(idf, latent) of the buckets: latent (BUCKETS, at most rank) has rows of length one, from the right singular
+    vectors of the TF-IDF matrix of all passages of the coded texts; buckets outside the matrix have random directions."""
+    spark, kind = texts.sparkSession, bench.kind
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    if texts.rdd.getNumPartitions() > tasks:
+        texts = texts.coalesce(tasks)
+    width = leading + rank + SPARE
+    test = np.random.default_rng(seed).standard_normal((BUCKETS, width)).astype(np.float32)
+    to = spark.sparkContext.broadcast(bench.buckets())
 
     def frequencies(total: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> None:
-        _, t, _, many = counted(offsets, ids, n, PASSAGE)
-        total[:n, 0] += np.bincount(t, minlength=n)
-        total[n, 0] += many
-
-    found = fold(texts, small, n + 1, 1, frequencies).astype(np.float64)[:, 0]
-    idf = np.where(found[:n] <= max(COMMON * found[n], 10), np.log((1 + found[n]) / (1 + found[:n])) + 0.05, 0).astype(np.float32)
-
-    def product(right: np.ndarray) -> np.ndarray:
-        def add(total: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> None:
-            p, t, w, _ = counted(offsets, np.where(idf[ids] > 0, ids, -1), n, PASSAGE)
-            total += gram(p, t, w * idf[t], right)
-
-        return fold(texts, small, n, right.shape[1], add).astype(np.float64)
-
-    q = np.linalg.qr(product(test))[0].astype(np.float32)
-    y = product(q)
-    values, vectors = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
-    good = values > max(values.max(initial=0), 1e-9) * 1e-6
-    v = np.linalg.svd(y @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)[0] if good.any() else q.astype(np.float64)
-    return idf, np.ascontiguousarray(v[:, :rank], np.float32), found[:n]
-
-
-def shingles(offsets: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first word) of each run of SHINGLE known words within a text."""
-    if len(ids) < SHINGLE:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    last = np.repeat(offsets[1:], np.diff(offsets))
-    at = np.arange(len(ids) - SHINGLE + 1)
-    good = at + SHINGLE <= last[at]
-    h = np.zeros(len(at), np.uint64)
-    for k in range(SHINGLE):
-        good &= ids[k : k + len(at)] >= 0
-        h = h * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + len(at)].astype(np.uint64)
-    return h[good], at[good]
-
-
-def rarest(items: list[np.ndarray], frequencies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, owners, needed): the items that have term t among their RARE rarest words are owners[starts[t]:starts[t + 1]]; needed is how many of these a copy of each item must have."""
-    pairs, needed = [], []
-    for k, words in enumerate(items):
-        m = len(words)
-        held = math.ceil(RARE * m)
-        own = np.unique(words[np.lexsort((words, frequencies[words]))[:held]])
-        pairs.append(np.stack([own, np.full(len(own), k)]))
-        needed.append(math.ceil(PARAPHRASED * m) - (m - held))
-    term, owner = np.concatenate(pairs, 1)
-    order = np.argsort(term, kind="stable")
-    return np.searchsorted(term[order], np.arange(len(frequencies) + 1)), owner[order], np.array(needed)
-
-
-def reachable(offsets: np.ndarray, ids: np.ndarray, index: tuple[np.ndarray, np.ndarray, np.ndarray], sizes: np.ndarray) -> np.ndarray:
-    """(text, item, first word, end) columns: what holds every window of 2 m words with as many of an item's rarest words as its copy needs."""
-    starts, owners, needed = index
-    many = np.where(ids >= 0, starts[ids + 1] - starts[ids], 0)
-    some = np.flatnonzero(many)
-    total, reach, out, k = np.cumsum(many[some]), 2 * int(sizes.max(initial=0)), [np.zeros((4, 0), np.int64)], 0
-    while k < len(some):
-        # slices overlap by the longest window, so that each window is whole in one
-        end = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + MOST_FOUND, "right")))
-        at = some[k : max(end, int(np.searchsorted(some, some[end - 1] + reach)))]
-        k, n = end, many[at]
-        item = owners[np.repeat(starts[ids[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        key = np.sort(item * np.int64(len(ids) + 1) + np.repeat(at, n))
-        item, at = key // (len(ids) + 1), key % (len(ids) + 1)
-        last = np.arange(len(at)) + needed[item] - 1
-        near = np.flatnonzero(last < len(at))
-        last = last[near]
-        near, last = (x[(item[last] == item[near]) & (at[last] - at[near] < 2 * sizes[item[near]])] for x in (near, last))
-        text = np.searchsorted(offsets, at[near], "right") - 1
-        near, last, text = (x[at[last] < offsets[text + 1]] for x in (near, last, text))
-        wide = 2 * sizes[item[near]]
-        out.append(np.stack([text, item[near], np.maximum(at[last] - wide + 1 - offsets[text], 0), at[near] + wide - offsets[text]]))
-    return np.concatenate(out, 1)
-
-
-def windows(offsets: np.ndarray, ids: np.ndarray, latent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(unit vectors, text, first word) of the windows of PASSAGE words at every STRIDE words."""
-    of, owner = passages(offsets, STRIDE)
-    half = np.zeros((len(owner), latent.shape[1]), np.float32)
-    known = np.flatnonzero(ids >= 0)
-    for k in range(0, len(known), 1 << 18):
-        some = known[k : k + (1 << 18)]
-        first = runs(of[some])
-        half[of[some[first]]] += np.add.reduceat(latent[ids[some]], first)
-    at = np.arange(len(owner)) - np.searchsorted(owner, owner, "left")
-    more = np.flatnonzero(np.r_[owner[1:] == owner[:-1], False]) if len(owner) else np.zeros(0, np.int64)
-    out = half.copy()
-    out[more] += half[more + 1]
-    # a text's last half alone is part of the window before it
-    keep = np.ones(len(owner), bool)
-    keep[more] = True
-    tail = np.setdiff1d(np.flatnonzero(at > 0), more)
-    keep[tail] = False
-    out = out[keep]
-    out /= np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-9)
-    return out, owner[keep], at[keep] * STRIDE
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, lcs_words, item_words, answer_words, answer_found), a row for each text and benchmark item that it has a copy or paraphrase of.
-
-    Every text is read whole. Null and empty texts match nothing, nor do items
-    without a word; repeated rows of docs give repeated rows; repeated items count once. An empty benchmark
-    or an empty table gives no rows. Other columns are not read.
-    """
-    schema = "doc_id long, item_id long, lcs_words long, item_words long, answer_words long, answer_found long"
-    spark, docs, bench = docs.sparkSession, texts_of(docs), Benchmark.of(benchmark)
-    small_batches(spark)
-    if not bench.items:
-        return spark.createDataFrame([], schema)
-    n, texts = len(bench.terms), code(docs, bench)
-    idf, v, frequencies = decompose(texts, n)
-    latent, small = idf[:, None] * v, n < 32768
-    bounds, together = np.cumsum([0, *map(len, bench.items)]), np.concatenate(bench.items)
-    asked, item_of, first = windows(bounds, together, latent)
-    has = np.zeros((len(asked), n + 1), bool)
-    for q, (item, at) in enumerate(zip(item_of, first, strict=True)):
-        has[q, bench.items[item][at : at + PASSAGE]] = True
-    has[:, np.append(idf <= 0, True)] = False
-    least = np.maximum(1, SHARED * has.sum(1))
-    h, at = shingles(bounds, together, n)
-    order = np.argsort(h, kind="stable")
-    runs_of = (h[order], np.searchsorted(bounds, at[order], "right") - 1)
-    masks = [masks_of(x.tolist()) for x in bench.items]
-    answers = [(masks_of(a), len(a)) for a in bench.answers]
-    shipped = spark.sparkContext.broadcast((latent, asked, item_of, has, least, runs_of, masks, answers, [len(x) for x in bench.items], bench.ids, rarest(bench.items, frequencies)))
-
-    def verdicts(words: np.ndarray, item: int, lo: np.ndarray, hi: np.ndarray) -> tuple[int, int] | None:
-        masks, answers, sizes = shipped.value[6:9]
-        m, best = sizes[item], None
+        _, t, _, many = counted(offsets, to.value[ids], BUCKETS, PASSAGE)
+        total[:-1, 0] += np.bincount(t, minlength=BUCKETS)
+        total[-1, 0] += many
+
+    found = fold(texts, kind, BUCKETS + 1, 1, frequencies).astype(np.float64)[:, 0]
+    idf = (np.log((1 + found[-1]) / (1 + found[:-1])) + 0.05).astype(np.float32)
+    taken = spark.sparkContext.broadcast((np.where(found[:-1] <= max(COMMON * found[-1], 10), idf, 0).astype(np.float32), test))
+
+    def product(total: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> None:
+        weight, right = taken.value
+        ids = to.value[ids]
+        p, t, w, _ = counted(offsets, np.where(weight[ids] > 0, ids, -1), BUCKETS, PASSAGE)
+        gram(p, t, w * weight[t], right, total)
+
+    y = fold(texts, kind, BUCKETS, width, product).astype(np.float64)
+    values, vectors = np.linalg.eigh((test.T @ y + y.T @ test) / 2)
+    good = values > max(values.max(initial=0), 1e-9) * 1e-9
+    v, s, _ = np.linalg.svd(y @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
+    v = v[:, s > s.max(initial=0) * 1e-6]
+    first = min(leading, v.shape[1] // 2)
+    latent = v[:, first : first + rank] if v.shape[1] else test[:, :rank].astype(np.float64)
+    none = np.sqrt((latent * latent).sum(1)) < 1e-9
+    latent[none] = test[none, : latent.shape[1]]
+    return idf, (latent / np.maximum(np.sqrt((latent * latent).sum(1, keepdims=True)), 1e-12)).astype(np.float32)
+
+
+def step_of(size: int) -> int:
+    """Words between the starts of windows: a quarter of the size, in whole blocks."""
+    return max(BLOCK, size // 4 // BLOCK * BLOCK)
+
+
+class Search:
+    """A part of the benchmark, ready to be looked for in coded texts."""
+
+    def __init__(self, bench: Benchmark, idf: np.ndarray, latent: np.ndarray) -> None:
+        of = bench.buckets()
+        self.vectors = latent[of] * idf[of][:, None]
+        self.weight = idf[of].copy()
+        self.weight[len(bench.terms) :] = 0
+        self.item_ids, self.sizes = bench.ids, np.array([len(x) for x in bench.items])
+        self.masks = [masks_of(x.tolist()) for x in bench.items]
+        self.answers = [(masks_of(a), len(a)) for a in bench.answers]
+        self.asked: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        asked: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for k, words in enumerate(bench.items):
+            m = len(words)
+            if m <= SIZES[-1]:
+                asked.setdefault(next(s for s in SIZES if s >= m), []).append((k, words))
+            else:
+                asked.setdefault(SIZES[-1], []).extend((k, words[a : a + SIZES[-1]]) for a in [*range(0, m - SIZES[-1], SIZES[-1]), m - SIZES[-1]])
+        for size, own in asked.items():
+            has = np.zeros((len(own), FILTER), bool)
+            for q, (_, words) in enumerate(own):
+                has[q, words % FILTER] = True
+            v = np.array([self.vectors[words].sum(0) for _, words in own])
+            v /= np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9)
+            least = np.array([SHARED * self.weight[words].sum() for _, words in own], np.float32)
+            self.asked[size] = np.ascontiguousarray(v.T), np.array([k for k, _ in own]), has, least
+
+    def candidates(self, offsets: np.ndarray, ids: np.ndarray, most: int = 1 << 15) -> np.ndarray:
+        """(text, item, first word in the text, end) columns of the regions around candidate windows, sorted.
+
+        Blocks are summed most at a time, with as many more as the longest window has, so that a text of any length needs as much memory as another.
+        """
+        of, owner = passages(offsets, BLOCK)
+        first = runs(of)
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner, "left")
+        ends = np.searchsorted(owner, owner, "right")
+        padded, out = np.r_[ids, np.full(SIZES[-1], -1)], [np.zeros((4, 0), np.int64)]
+        for lo in range(0, len(owner), most):
+            hi = min(len(owner), lo + most)
+            last = min(len(owner), hi + SIZES[-1] // BLOCK)
+            words = ids[first[lo] : first[last] if last < len(owner) else len(ids)]
+            sums = np.add.reduceat(self.vectors[words], first[lo:last] - first[lo])
+            sums = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, 0, dtype=np.float64)])
+            for size, (asked, item_of, has, least) in self.asked.items():
+                starts = lo + np.flatnonzero(place[lo:hi] % (step_of(size) // BLOCK) == 0)
+                starts = starts[(place[starts] == 0) | (ends[starts] - starts > size // BLOCK // 2)]
+                to = np.minimum(starts + size // BLOCK, ends[starts])
+                own = (sums[to - lo] - sums[starts - lo]).astype(np.float32)
+                own /= np.maximum(np.sqrt((own * own).sum(1, keepdims=True)), 1e-9)
+                step = max(1, (1 << 21) // len(item_of))
+                for k in range(0, len(starts), step):
+                    i, j = np.nonzero(own[k : k + step] @ asked >= COSINE)
+                    i += k
+                    at, end = first[starts[i]], offsets[owner[starts[i]] + 1]
+                    shared = np.zeros(len(i), np.float32)
+                    for w in range(size):
+                        c = padded[at + w]
+                        shared += np.where(has[j, c % FILTER] & (at + w < end), self.weight[c], 0)
+                    good = np.flatnonzero(shared >= least[j])
+                    i, item = i[good], item_of[j[good]]
+                    text, m = owner[starts[i]], self.sizes[item]
+                    at = first[starts[i]] - offsets[text]
+                    out.append(np.stack([text, item, np.maximum(0, at - 2 * m), at + size + 2 * m]))
+        return np.unique(np.concatenate(out, 1), axis=1)
+
+    def checked(self, words: np.ndarray, item: int, lo: np.ndarray, hi: np.ndarray) -> tuple[int, int] | None:
+        """(words in common order, answer's words) of the best window of 2 m words of the regions that passes, if any."""
+        m, own, best = int(self.sizes[item]), self.masks[item], None
         hi = np.maximum.accumulate(hi)
         first = np.flatnonzero(np.r_[True, lo[1:] > hi[:-1]])
         for start, end in zip(lo[first], hi[np.append(first[1:], len(hi)) - 1], strict=True):
-            region = words[max(0, start) : end].tolist()
-            own = masks[item]
+            region = words[start:end].tolist()
             at = [k for k, t in enumerate(region) if t in own]
             if len(at) < PARAPHRASED * m:
                 continue
@@ -383,57 +382,86 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 span = [region[k] for k in at[a:b]]
                 lcs = common_length(own, m, span)
                 if lcs >= PARAPHRASED * m:
-                    there = common_length(*answers[item], span)
-                    if lcs >= COPIED * m or there >= ANSWERED * answers[item][1]:
+                    there = common_length(*self.answers[item], span)
+                    if lcs >= COPIED * m or there >= ANSWERED * self.answers[item][1]:
                         best = max(best or (0, 0), (lcs, there))
         return best
 
-    def candidates(offsets: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """(text, item, first word in the text, end of the region) columns, sorted."""
-        latent, asked, item_of, has, least, (hashes, owners) = shipped.value[:6]
-        sizes = np.array(shipped.value[8])
-        own, text_of, first = windows(offsets, ids, latent)
-        padded = np.r_[ids, np.full(PASSAGE, -1)]
-        hits = [np.zeros((3, 0), np.int64)]
-        for k in range(0, len(own), 8192):
-            i, j = np.nonzero(own[k : k + 8192] @ asked.T >= COSINE)
-            i += k
-            shared = np.zeros(len(i), np.int64)
-            start, end = offsets[text_of[i]] + first[i], offsets[text_of[i] + 1]
-            for w in range(PASSAGE):
-                shared += has[j, np.where(start + w < end, padded[start + w], -1)]
-            good = shared >= least[j]
-            hits.append(np.stack([text_of[i[good]], item_of[j[good]], first[i[good]]]))
-        h, at = shingles(offsets, ids, has.shape[1] - 1)
-        lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-        many = hi - lo
-        some = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        at = np.repeat(at, many)
-        text = np.searchsorted(offsets, at, "right") - 1
-        hits.append(np.stack([text, owners[some], (at - offsets[text]) // STRIDE * STRIDE]))
-        text, item, at = np.concatenate(hits, 1)
-        around = np.stack([text, item, at - sizes[item], at + PASSAGE + sizes[item]])
-        return np.unique(np.concatenate([around, reachable(offsets, ids, shipped.value[10], sizes)], 1), axis=1)
+    def found(self, offsets: np.ndarray, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item, words in common order, answer's words) of each text and item that it has a copy of."""
+        hits, out = self.candidates(offsets, ids), []
+        if hits.shape[1]:
+            starts = np.flatnonzero(np.r_[True, (hits[:2, 1:] != hits[:2, :-1]).any(0)])
+            for s, e in zip(starts, np.append(starts[1:], hits.shape[1]), strict=True):
+                text, item = int(hits[0, s]), int(hits[1, s])
+                best = self.checked(ids[offsets[text] : offsets[text + 1]], item, hits[2, s:e], hits[3, s:e])
+                if best:
+                    out.append((text, item, *best))
+        return out
+
+
+def searches(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Benchmark, Search, DataFrame]]:
+    """Each part of the benchmark with its search and the coded texts."""
+    found = None
+    for bench in parts_of(benchmark):
+        texts = code(docs, bench)
+        found = found or decompose(texts, bench)
+        yield bench, Search(bench, *found), texts
+
+
+SCHEMA = "doc_id long, item_id long, lcs_words long, item_words long, answer_words long, answer_found long"
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, lcs_words, item_words, answer_words, answer_found), a row for each text and benchmark item that it has a copy or paraphrase of.
+
+    Every text is read whole. Null and empty texts match nothing, nor do items
+    without a word; repeated rows of docs give repeated rows; repeated items count once. An empty benchmark
+    or an empty table gives no rows. Other columns are not read.
+    """
+    spark, docs = docs.sparkSession, texts_of(docs)
+    small_batches(spark)
+    out = None
+    for bench, search, texts in searches(docs, benchmark):
+        some = texts.mapInArrow(_finder(spark, bench, search), SCHEMA)
+        out = some if out is None else out.union(some)
+    return spark.createDataFrame([], SCHEMA) if out is None else out
+
+
+def _finder(spark: SparkSession, bench: Benchmark, search: Search) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    shipped, kind = spark.sparkContext.broadcast(search), bench.kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, item_ids = shipped.value[8:10]
+        own = shipped.value
         for batch in batches:
-            for part in pieces_of(batch, "words"):
-                offsets, ids = read(part.column("words"), small)
-                hits = candidates(offsets, ids)
-                starts = np.flatnonzero(np.r_[True, (hits[:2, 1:] != hits[:2, :-1]).any(0)]) if hits.shape[1] else []
-                doc_ids, rows = part.column("doc_id").to_pylist(), []
-                for s, e in zip(starts, np.append(starts[1:], hits.shape[1]), strict=True) if len(starts) else ():
-                    text, item = hits[:2, s]
-                    best = verdicts(ids[offsets[text] : offsets[text + 1]], int(item), hits[2, s:e], hits[3, s:e])
-                    if best:
-                        rows.append((doc_ids[text], item_ids[item], best[0], sizes[item], shipped.value[7][item][1], best[1]))
+            for part in pieces_of(batch, "words", 2_000_000):
+                ids = part.column("doc_id").to_pylist()
+                rows = [(ids[t], own.item_ids[k], lcs, int(own.sizes[k]), own.answers[k][1], there) for t, k, lcs, there in own.found(*read(part.column("words"), kind))]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6, ["doc_id", "item_id", "lcs_words", "item_words", "answer_words", "answer_found"])
 
-    return texts.mapInArrow(run, schema)
+    return run
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id has a contaminated text; rows with a null doc_id stay."""
-    found = cut(contaminated(docs.where("doc_id is not null"), benchmark).select("doc_id").distinct())
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows whose own text has a copy or paraphrase of an item; all columns stay as they are.
+
+    The verdict is computed beside each row, so that null and repeated ids don't matter and nothing is shuffled.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    schema, text, out = docs.schema, docs.columns.index("text"), docs
+    for bench, search, _ in searches(texts_of(docs), benchmark):
+        shipped, names = spark.sparkContext.broadcast(search), spark.sparkContext.broadcast(list(bench.terms))
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, names=names) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            known = pa.array(names.value, pa.large_string())
+            for batch in batches:
+                good, at = np.ones(batch.num_rows, bool), 0
+                for part in pieces_of(pa.RecordBatch.from_arrays([batch.column(text)], ["text"]), "text", 6_000_000):
+                    for hit in shipped.value.found(*coded(part.column("text"), known)):
+                        good[at + hit[0]] = False
+                    at += part.num_rows
+                yield batch.filter(pa.array(good))
+
+        out = out.mapInArrow(run, schema)
+    return out
