@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,22 +26,47 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset (a single machine)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset a local session takes a temporary one; a cluster must name it."""
     there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = tempfile.mkdtemp(prefix="selfsim-")
+        atexit.register(shutil.rmtree, there, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", there)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(there)
     return there
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one; it goes when the application ends."""
+    there = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, there)
+    return there
+
+
+def remove(spark: SparkSession, there: str) -> None:
+    """Deletes a folder, if the session still runs."""
+    with contextlib.suppress(Exception):
+        path = spark._jvm.org.apache.hadoop.fs.Path(there)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint in the shared folder."""
     shared_dir(session_of(df))
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table of the shared folder and read again, so that its size is known to the planner."""
+    spark = session_of(df)
+    there = scratch(spark, "table")
+    df.write.parquet(there)
+    return spark.read.schema(df.schema).parquet(there)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the rows and bytes of an Arrow batch unless the session asks for fewer still."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):

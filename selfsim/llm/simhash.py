@@ -1,10 +1,14 @@
 """SimHash near-duplicates: vantage-point trees over 64-bit fingerprints.
 
 A fingerprint is the majority vote of the XXH64 hashes of a text's word shingles.
-Distinct fingerprints are dealt to the leaves of a vantage-point tree whose vantage
-points come from a bounded sample; a fingerprint also visits each later leaf that
-the triangle inequality cannot rule out, so that every pair within the radius meets
-in exactly one leaf. Within a leaf a second tree prunes further, and the leaf returns
+Distinct fingerprints are dealt to the leaves of vantage-point trees whose vantage
+points come from a bounded sample. The bits are split into blocks with a tree for each: of
+two fingerprints within the radius r, some one of b blocks differs in r // b bits at most, so that
+in its tree a fingerprint need only visit the leaves that the triangle inequality cannot
+rule out for r // b. With r + 1 blocks that is one leaf a tree, and the rows dealt are
+r + 1 for each fingerprint however deep the trees; one tree over all bits (blocks = 1)
+would deal about 1.55 times as many with each level, as random fingerprints lie close to 32 bits apart.
+Within a leaf a further tree over all bits prunes by the whole radius, and the leaf returns
 a spanning forest of its links, not all pairs. Components are then joined by
 label propagation with pointer jumping.
 """
@@ -18,10 +22,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from selfsim.llm.common import cut, pieces_of, small_batches, texts_of
+from selfsim.llm.common import cut, pieces_of, small_batches, stored, texts_of
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -51,17 +55,23 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long. One row for each row of docs."""
+def digest_of(text: str) -> Column:
+    return F.unhex(F.md5(F.col(text).cast("string").cast("binary")))
+
+
+def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+    """(doc_id, fp), with digest also the text's: fp is the fingerprint's 64 bits as a signed long. One row for each row of docs."""
     small_batches(docs.sparkSession)
+    rows = texts_of(docs, key, text)
+    rows, more = (rows.withColumn("digest", digest_of("text")), ["digest"]) if digest else (rows, [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces_of(batch, "text"):
                 fp = np.array([fingerprint(t, words) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp), *map(part.column, more)], ["doc_id", "fp", *more])
 
-    return texts_of(docs, key, text).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long" + (", digest binary" if digest else ""))
 
 
 @dataclass
@@ -143,35 +153,61 @@ def leaf_labels(fp: np.ndarray, home: np.ndarray, radius: int, block: int = 1 <<
     return labels
 
 
-def links(nodes: DataFrame, radius: int = 3, leaf_rows: int = 8192, sample_rows: int = 8192, least_depth: int = 4) -> DataFrame:
-    """(a, b) with a > b: spanning links between the ids of nodes (id, fp) with distinct fp within the radius of each other.
+def masks_of(blocks: int) -> list[np.uint64]:
+    """The bits of each block of a 64-bit fingerprint."""
+    ends = [64 * k // blocks for k in range(blocks + 1)]
+    return [np.uint64((1 << hi) - (1 << lo)) for lo, hi in zip(ends, ends[1:], strict=False)]
+
+
+def run_labels(fp: np.ndarray, block: np.ndarray, radius: int, small: int = 16) -> np.ndarray:
+    """Classes under links of at most radius bits between fingerprints that agree in block, by which they are sorted."""
+    n = len(fp)
+    first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if n else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, n])
+    run, labels = np.repeat(np.arange(len(first)), size), np.arange(n)
+    for k in range(1, min(small, n)):
+        i = np.flatnonzero((run[k:] == run[:-k]) & (size[run[k:]] <= small))
+        i = i[np.bitwise_count(fp[i] ^ fp[i + k]) <= radius]
+        labels = join_labels(labels, i, i + k)
+    for at, many in zip(first[size > small].tolist(), size[size > small].tolist(), strict=True):
+        labels[at : at + many] = at + leaf_labels(fp[at : at + many], np.ones(many, bool), radius)
+    return labels
+
 
-    Every pair within the radius is compared in one leaf, so connected components over
-    the result equal those over all pairs. The driver gets sample_rows fingerprints at most.
+def links(nodes: DataFrame, radius: int = 3, leaf_rows: int = 8192, sample_rows: int = 65536, least_depth: int = 2, most_depth: int = 14, blocks: int | None = None) -> DataFrame:
+    """(a, b): spanning links between the fingerprints of nodes (fp, distinct) that are within the radius of each other.
+
+    Every pair within the radius is compared in some leaf, so connected components over
+    the result equal those over all pairs. The driver gets sample_rows fingerprints at most, and trees of 2^most_depth leaves at most.
     """
+    blocks = radius + 1 if blocks is None else blocks
+    masks, reach = masks_of(blocks), radius // blocks
     n = nodes.count()
-    sample = nodes.select("fp").orderBy(F.xxhash64("fp")).limit(sample_rows).collect()
-    depth = max(least_depth, math.ceil(math.log2(max(1, n) / leaf_rows)))
-    router = Router.fit(np.array([r.fp for r in sample], np.int64).view(np.uint64), depth)
+    sample = nodes.select("fp").orderBy(F.xxhash64("fp")).limit(sample_rows).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    depth = min(most_depth, max(least_depth, math.ceil(math.log2(max(1, n) / leaf_rows))))
+    shipped = nodes.sparkSession.sparkContext.broadcast([Router.fit(sample & m, depth) for m in masks])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, ids = batch.column("fp").to_numpy(), batch.column("id").to_numpy()
+            fp = batch.column("fp").to_numpy()
             for k in range(0, len(fp), 4096):
-                row, leaf, home = router.route(fp[k : k + 4096].view(np.uint64), radius)
-                for s in range(0, len(row), 65536):
-                    at = row[s : s + 65536] + k
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (leaf[s : s + 65536], ids[at], fp[at], home[s : s + 65536])], ["leaf", "id", "fp", "home"])
+                some = fp[k : k + 4096]
+                for tree, router in enumerate(shipped.value):
+                    row, leaf, home = router.route(some.view(np.uint64) & masks[tree], reach)
+                    for s in range(0, len(row), 65536):
+                        at = slice(s, s + 65536)
+                        yield pa.RecordBatch.from_arrays([pa.array(leaf[at] * blocks + tree), pa.array(some[row[at]]), pa.array(home[at])], ["leaf", "fp", "home"])
 
     def search(group: pa.Table) -> pa.Table:
-        ids, fp = group.column("id").to_numpy(), group.column("fp").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, fp, home = ids[order], fp[order].view(np.uint64), group.column("home").to_numpy()[order]
-        labels = leaf_labels(fp, home, radius)
-        linked = labels != np.arange(len(labels))
+        fp, home = group.column("fp").to_numpy().view(np.uint64), group.column("home").to_numpy()
+        block = fp & masks[group.column("leaf")[0].as_py() % blocks]
+        order = np.lexsort((fp, block))
+        fp, home, block = fp[order], home[order], block[order]
+        labels = leaf_labels(fp, home, radius) if reach else run_labels(fp, block, radius)
+        linked, ids = labels != np.arange(len(labels)), fp.view(np.int64)
         return pa.table({"a": ids[linked], "b": ids[labels[linked]]})
 
-    dealt = nodes.select("id", "fp").mapInArrow(deal, "leaf long, id long, fp long, home boolean")
+    dealt = nodes.select("fp").mapInArrow(deal, "leaf long, fp long, home boolean")
     return dealt.groupBy("leaf").applyInArrow(search, "a long, b long")
 
 
@@ -195,28 +231,44 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def classes_of(fp: DataFrame, radius: int = 3) -> DataFrame:
+    """(fp, class): each distinct fingerprint of fp with the smallest one that it reaches over links of at most radius bits."""
+    nodes = cut(fp.select("fp").distinct())
+    labels = components(links(nodes, radius))
+    return nodes.join(labels, nodes.fp == labels.node, "left").select("fp", F.coalesce("label", "fp").alias("class"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id), a row for each row of docs.
 
     component_id is the smallest doc_id that the row reaches over links of at most
     radius differing bits. Null and word-less texts have fingerprint zero, which
-    links as any other. A null doc_id keeps its row; where a class has no other
-    id, its component_id is null. Repeated rows stay. Other columns are not read.
+    links as any other. A row with a null doc_id is kept, links others as any row does, and has their
+    component_id; only where no row of a class has an id is it null. Repeated rows stay. Other columns are not read.
     """
     fp = cut(fingerprints(docs, words, key, text))
-    nodes = cut(fp.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    labels = components(links(nodes.where("id is not null"), radius))
-    classes = nodes.join(labels, nodes.id == labels.node, "left").select("fp", F.coalesce("label", "id").alias("component_id"))
-    return fp.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = cut(classes_of(fp, radius))
+    least = fp.groupBy("fp").agg(F.min("doc_id").alias("id")).join(classes, "fp")
+    named = classes.join(least.groupBy("class").agg(F.min("id").alias("component_id")), "class").select("fp", "component_id")
+    return fp.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFrame:
-    """docs without near-duplicates: of each class the row with the smallest doc_id stays, once if it is repeated.
+    """docs without near-duplicates: of each class one row stays, that with the smallest doc_id (null last), among these the smallest digest of its text.
 
-    Rows with a null doc_id cannot be told apart from others by id and stay.
+    A row that is repeated with its id and text stays once. What goes is told by (id, digest) in a
+    table of the shared folder, which Spark broadcasts while it is small; texts are shuffled only beyond that.
     """
-    classes = near_duplicates(docs, radius, words)
-    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null")
-    one = named.join(kept, named.doc_id == kept._kept, "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    both = [F.col("doc_id").cast("long").alias("_id"), digest_of("text").alias("_digest")]
+    fp = cut(fingerprints(docs, words, digest=True))
+    rows = cut(fp.join(classes_of(fp, radius), "fp").groupBy("class", "doc_id", "digest").agg(F.count("*").alias("n")))
+    first = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("x"))
+    told = rows.join(first, "class").select("doc_id", "digest", "n", (F.col("doc_id").eqNullSafe(F.col("x.doc_id")) & F.col("digest").eqNullSafe(F.col("x.digest"))).alias("stays"))
+    told = stored(told.where("not stays or n > 1"))
+    same = F.col("_id").eqNullSafe(F.col("doc_id_")) & F.col("_digest").eqNullSafe(F.col("digest_"))
+    keys = lambda df: df.select(F.col("doc_id").alias("doc_id_"), F.col("digest").alias("digest_"))
+    some = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *both).join(keys(told.where("not stays")), same, "left_anti")
+    if not told.where("stays").isEmpty():
+        again = keys(told.where("stays"))
+        some = some.join(again, same, "left_anti").unionByName(some.join(again, same, "left_semi").dropDuplicates(["_id", "_digest"]))
+    return some.select("_row.*")
