@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from selfsim.llm import chat, decontaminate, languageid, licenses, pii, quality, sentencepiece_fst, sharding, simhash, urls
-from selfsim.llm.common import shared_dir, table
+from selfsim.llm.common import scratch, table
 
 #: The folder of public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
@@ -57,14 +56,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three arrivals of documents (by a hash of the id), one compaction, and the rows of the version that it committed."""
     docs = table(spark, sf_dir, "documents")
-    store = sharding.Store(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    store = sharding.Store(spark, scratch(spark, "shards"))
     arrival = F.pmod(F.xxhash64("doc_id"), F.lit(3))
     for k in range(3):
         store.append(docs.where(arrival == k))
     store.compact()
-    store.vacuum()
-    live = store.read(schema=f"{docs._jdf.schema().toDDL()}, shard string")
-    return live.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+    # the query is the store's only writer and reader
+    store.vacuum(retention=0)
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
