@@ -1,9 +1,12 @@
 """The text operators against brute force, and on nulls, empty and long texts, ties, repeats and empty tables."""
 
 import hashlib
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -123,42 +126,120 @@ def test_fingerprints(spark, odd):
     assert got[1].component_id == got[2].component_id == got[3].component_id == 1 and got[1].fingerprint == "0" * 16
     assert simhash.near_duplicates(odd).count() == 9 and simhash.near_duplicates(odd.limit(0)).count() == 0
     assert sorted(r.doc_id or 0 for r in simhash.keep_one(odd).collect()) == [0, 1, 4, 5, 6, 7]
+    assert simhash.keep_one(odd).columns == odd.columns and simhash.keep_one(odd.limit(0)).count() == 0
 
 
 def test_tree_finds_every_pair(spark):
     rng = np.random.default_rng(3)
     seeds = rng.integers(0, 2**63, 300, dtype=np.uint64)
     fp = np.unique(np.concatenate([seeds, *[seeds ^ (np.uint64(1) << rng.integers(0, 63, 300, dtype=np.uint64)) for _ in range(4)]]))
-    nodes = spark.createDataFrame([(int(i), int(f)) for i, f in enumerate(fp.view(np.int64))], "id long, fp long")
-    got = {r.node: r.label for r in simhash.components(simhash.links(nodes, 3, leaf_rows=16)).collect()}
+    nodes = spark.createDataFrame([(int(f),) for f in fp.view(np.int64)], "fp long")
     i, j = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3)
-    want = simhash.join_labels(np.arange(len(fp)), i[i != j], j[i != j])
-    assert all(got.get(k, k) == want[k] for k in range(len(fp)))
+    classes = simhash.join_labels(np.arange(len(fp)), i[i != j], j[i != j])
+    least = {}
+    for f, c in zip(fp.view(np.int64).tolist(), classes.tolist(), strict=True):
+        least[c] = min(f, least.get(c, f))
+    for blocks, rows in ((1, 16), (2, 16), (4, 16), (4, 1 << 20)):
+        got = {r.node: r.label for r in simhash.components(simhash.links(nodes, 3, leaf_rows=rows, blocks=blocks)).collect()}
+        assert all(got.get(f, f) == least[c] for f, c in zip(fp.view(np.int64).tolist(), classes.tolist(), strict=True))
+
+
+def test_rows_dealt_do_not_grow_with_depth():
+    fp = np.random.default_rng(4).integers(0, 2**63, 20_000, dtype=np.uint64)
+    dealt = [sum(len(simhash.Router.fit(fp[:8192] & m, depth).route(fp & m, 0)[0]) for m in simhash.masks_of(4)) for depth in (2, 6, 10)]
+    assert dealt == [4 * len(fp)] * 3
+
+
+def brute_classes(rows):
+    """Of each row its class, by all pairs of rows."""
+    fp = [brute_fingerprint(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            label[i] = min(label[j] for j in range(len(rows)) if (fp[i] ^ fp[j]).bit_count() <= 3)
+    return label
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_equal_brute_force(spark, seed):
+    """Nulls, repeated ids with other texts, chains of links, and links that only rows without an id hold."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(None, None), (50, None), (50, ""), (51, "a b"), (None, "a b"), (4, "a b"), (4, "c d e f"), (1, "a b"), (4, "c d e f")]
+    for _ in range(8):
+        text = [str(w) for w in rng.choice(words, 300)]
+        for _ in range(6):
+            rows.append((int(rng.integers(60)) if rng.random() < 0.6 else None, " ".join(text)))
+            text = [*text]
+            text[int(rng.integers(300))] = "changed"
+    label = brute_classes(rows)
+    ids = {c: min((r[0] for r, x in zip(rows, label, strict=True) if x == c and r[0] is not None), default=None) for c in set(label)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class", F.lit("x")).repartition(3)
+    got = sorted(map(str, ((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect())))
+    assert got == sorted(map(str, ((i, f"{brute_fingerprint(t):016x}", ids[c]) for (i, t), c in zip(rows, label, strict=True))))
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    of = {r: c for r, c in zip(rows, label, strict=True)}
+    assert sorted(of[r] for r in kept) == sorted(set(label)) and all(r[0] == ids[of[r]] for r in kept)
 
 
 def test_language(spark, odd):
-    words = ["the", "and", "thing", "of"] * 60, ["que", "leur", "aux", "est"] * 60
-    model = languageid.train([*words[0], *words[1]], ["en"] * 240 + ["fr"] * 240)
-    docs = spark.createDataFrame([(1, "the thing and"), (2, "que leur est"), (3, "12 34"), (4, None)], "doc_id long, text string")
-    assert [r.lang_pred for r in languageid.predict(docs.coalesce(1), model).collect()] == ["en", "fr", "und", "und"]
+    texts = ["the thing and of " * 20, "que leur aux est " * 20]
+    model = languageid.train(texts * 8, ["en", "fr"] * 8, epochs=8)
+    long = "the and thing of " * 2000
+    docs = spark.createDataFrame([(1, "the thing and"), (2, "que leur est"), (3, "12 34"), (4, None), (5, long), (5, long), (None, "")], "doc_id long, text string")
+    got = languageid.predict(docs.coalesce(1), model).collect()
+    assert [r.lang_pred for r in got] == ["en", "fr", "und", "und", "en", "en", "und"] and got[4] == got[5] and got[4].labelled_positions == len(long)
     assert languageid.predict(odd, model).count() == 9 and languageid.predict(odd.limit(0), model).count() == 0
     assert languageid.reject(odd, model).columns == odd.columns
-    assert languageid.predict(odd, languageid.fit(odd.limit(0))).where("lang_pred <> 'und'").count() == 0
+    # a model without a language rejects nothing; one that knows a single one rejects what has no letter
+    none = languageid.fit(odd.limit(0))
+    assert languageid.predict(odd, none).where("lang_pred <> 'und'").count() == 0 and languageid.reject(odd, none).count() == 9
+    one = languageid.train(texts[:1], ["en"])
+    assert sorted(r.doc_id for r in languageid.reject(docs, one).collect()) == [1, 2, 5, 5]
+    # a tie goes to the first language
+    flat = languageid.train([], ["a", "b"])
+    flat.wo[:] = 0
+    assert {r.lang_pred for r in languageid.predict(docs.where("doc_id = 1"), flat).collect()} == {"a"}
+
+
+def test_rejection_by_score(spark):
+    """What the model can tell from no language better than by chance goes, what it knows stays."""
+    model = languageid.train(["the thing and of " * 20, "que leur aux est " * 20] * 8, ["en", "fr"] * 8, epochs=8)
+    model.wo *= 0.0
+    docs = spark.createDataFrame([(1, "the thing and")], "doc_id long, text string")
+    assert languageid.reject(docs, model).count() == 0 and languageid.reject(docs, model, margin=0.0).count() == 1
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = languageid.predict(docs, languageid.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where(languageid.held_out())
+    n, right = got.where("lang is not null").agg(F.count("*"), F.sum(F.expr("int(lang = lang_pred)"))).first()
+    assert n > 150 and right >= 0.98 * n
+
+
+def test_windows_read_words_across_their_ends():
+    """Positions near a window's ends see their neighbours: the sums of a text hardly depend on the window."""
+    model = languageid.train(["the thing and of " * 20, "que leur aux est " * 20] * 8, ["en", "fr"] * 8, epochs=4)
+    text = pa.array([" ".join(["the", "leur", "thing", "que"] * 300)])
+    x, own = languageid.read_windows(*languageid.bytes_of(text), np.array([0]), np.array([len(text[0].as_py())]), np.array([0]), len(text[0].as_py()), 0)
+    assert np.allclose(model.sums(text)[1], model.window_sums(x, own), rtol=1e-3)
 
 
 def test_gradients():
     rng = np.random.default_rng(0)
-    gru = languageid.Gru(rng.standard_normal((256, 12)).astype(np.float32), rng.standard_normal((4, 12)).astype(np.float32))
-    x, up = rng.integers(0, 256, (5, 3)), rng.standard_normal((5, 3, 4)).astype(np.float32)
-    _, du = gru.backward(x, gru.forward(x, True)[1], up)
+    gru = languageid.Gru(rng.standard_normal((257, 12)).astype(np.float32), rng.standard_normal((4, 12)).astype(np.float32))
+    x, up = rng.integers(0, 9, (5, 3)), rng.standard_normal((5, 4, 3)).astype(np.float32)
+    x[3:, 1], up[3:, :, 1] = languageid.OUTSIDE, 0
+    dwx, du = gru.backward(x, gru.forward(x, True)[1], up)
     loss = lambda: float((gru.forward(x)[0].astype(float) * up).sum())
-    for i, j in ((0, 0), (1, 5), (3, 11)):
-        gru.u[i, j] += 1e-2
-        high = loss()
-        gru.u[i, j] -= 2e-2
-        low = loss()
-        gru.u[i, j] += 1e-2
-        assert abs((high - low) / 2e-2 - du[i, j]) < 2e-2 * max(1, abs(du[i, j]))
+    for of, grad, places in ((gru.u, du, ((0, 0), (1, 5), (3, 11))), (gru.wx, dwx, [(int(x[k, 0]), c) for k, c in ((0, 1), (2, 6), (4, 10))])):
+        for i, j in places:
+            of[i, j] += 1e-2
+            high = loss()
+            of[i, j] -= 2e-2
+            low = loss()
+            of[i, j] += 1e-2
+            assert abs((high - low) / 2e-2 - grad[i, j]) < 2e-2 * max(1, abs(grad[i, j]))
 
 
 def test_decontamination(spark, odd):
@@ -250,10 +331,56 @@ def test_sharding(spark, tmp_path):
     assert store.version() == 3 and store.manifest().count() == 6
     assert store.compact() == 4 and store.manifest().count() == 1 and store.compact() == 4
     assert sorted(r.id for r in store.read(2).collect()) == list(range(20))
-    store.vacuum()
+    assert store.vacuum() == 0 and store.vacuum(retention=0) == 6 and store.vacuum(retention=0) == 0
     assert sorted(r.id for r in store.read().collect()) == list(range(30))
     with pytest.raises(sharding.Conflict):
-        store.commit(store.manifest(), 3)
+        store.commit(store.manifest(), 3, store.state(4)[1])
+    assert store.version() == 4 and store.append(spark.range(3)) == 5
+
+
+def test_shards_of_open_writers_survive_a_vacuum(spark, tmp_path):
+    store = sharding.Store(spark, str(tmp_path))
+    store.append(spark.range(5))
+    with store.writing(1) as writer:
+        spark.range(5, 9).write.parquet(f"{tmp_path}/data/{writer}")
+        time.sleep(0.01)
+        assert sharding.Store(spark, str(tmp_path)).vacuum(retention=0) == 0
+        new = store.written(writer, spark.range(1).schema, 2, 1 << 20)
+        assert store.commit(store.manifest(1).unionByName(new), 1, store.state(1)[1], writer) == 2
+    assert sorted(r.id for r in store.read().collect()) == list(range(9))
+
+
+def test_dead_writers_block_nobody(spark, tmp_path):
+    store = sharding.Store(spark, str(tmp_path))
+    store.append(spark.range(5))
+    writing = store.writing(1)
+    dead = writing.__enter__()
+    spark.range(50).write.parquet(f"{tmp_path}/data/{dead}")
+    store.manifest(1).write.parquet(f"{tmp_path}/manifest/orphan")
+    assert store.append(spark.range(5, 7)) == 2 and sorted(r.id for r in store.read().collect()) == list(range(7))
+    time.sleep(2)
+    assert store.vacuum(retention=1) > 0 and not (tmp_path / "manifest" / "orphan").exists()
+    assert sorted(r.id for r in store.read().collect()) == list(range(7))
+
+
+def test_racing_appends_lose_nothing(spark, tmp_path):
+    stores = [sharding.Store(spark, str(tmp_path)) for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda k: stores[k].append(spark.range(k * 10, k * 10 + 10, 1, 2)), range(4)))
+    assert sorted(versions) == [1, 2, 3, 4] and sorted(r.id for r in stores[0].read().collect()) == list(range(40))
+
+
+def test_shards_with_other_columns(spark, tmp_path):
+    store = sharding.Store(spark, str(tmp_path))
+    store.append(spark.createDataFrame([(1, "a")], "id long, text string"))
+    store.append(spark.createDataFrame([(2, 0.5, "b")], "id long, score double, text string"))
+    store.append(spark.createDataFrame([(3, "m")], "id long, _metadata string"))
+    want = [(1, "a", None, None), (2, "b", 0.5, None), (3, None, None, "m")]
+    rows = lambda: sorted(tuple(r) for r in store.read().drop("shard").collect())
+    assert rows() == want and store.compact() == 4 and rows() == want and store.manifest().count() == 1
+    with pytest.raises(ValueError, match="id is bigint"):
+        store.append(spark.createDataFrame([("x",)], "id string"))
+    assert store.read(0).count() == 0 and store.version() == 4
 
 
 def test_sharding_odd_rows(spark, odd, tmp_path):
@@ -274,10 +401,7 @@ def test_urls(spark):
 
 
 def test_training_ids_are_the_lowest_of_each_language(spark):
-    from pyspark.sql import functions as F
-
     rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "en").otherwise("fr").alias("lang"))
     want = sorted(r.doc_id for lang in ("en", "fr") for r in rows.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(20).collect())
-    assert languageid.lowest_ids(rows.repartition(7), 20) == want
-    assert languageid.lowest_ids(rows.union(rows), 20) == want
-    assert languageid.lowest_ids(rows.limit(0), 20) == []
+    ids = lambda df: sorted(r.doc_id for r in languageid.lowest_ids(df, 20).collect())
+    assert ids(rows.repartition(7)) == ids(rows.union(rows)) == want and ids(rows.limit(0)) == []
