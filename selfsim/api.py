@@ -22,6 +22,7 @@ from selfsim.operators.grid import positions
 
 #: Least float that is normal, largest float, bytes of frames that a window may pin, samples of a patch grid.
 TINY_FLOAT, LARGE_FLOAT, PINNED, GRID = 1.1754943508222875e-38, 3.4028234663852886e38, 2 << 30, 16_000_000
+DA3D_TILES = framewise.Tiling(N.PATCH - N.MID - 1, edge=N.TILE, even=True, crop=False)
 GROUP_FILTERS = ("BM3D", "WNNM", "MCWNNM", "NCSR", "TWSC", "NLH")
 
 
@@ -125,16 +126,28 @@ def _temporal(check: Check, radius: int, temporal_mode: str, rolling_chunk: int,
     return True
 
 
+def _tiling(units: Sequence[framewise.Unit]) -> framewise.Tiling | None:
+    """Tiles with the widest halo that a unit's filter needs; none where one needs whole planes, or the halo would be most of a tile."""
+    halos = [N.reach(work.func.__name__, **work.keywords) if isinstance(work, partial) else None for _, work in units]
+    if not halos or None in halos:
+        return None
+    return framewise.Tiling(max(halos), edge=max(framewise.EDGE, framewise.CELL * -(-2 * max(halos) // framewise.CELL)))
+
+
+def _copy(win, centre, *_, place=None):  # noqa: ANN001, ANN202
+    return N.identity(win, centre)
+
+
 def _finish(name: str, clip: Clip, units: Sequence[framewise.Unit], radius: int, rolling: bool, chunk: int = 4, guide: Clip | None = None) -> Clip | Contributions:
     """Frames at radius 0 or when rolling; otherwise contributions, copied planes as identity slices."""
-    theirs = None if guide is None else guide.pixels
+    theirs, tiling = None if guide is None else guide.pixels, _tiling(units)
     if rolling:
-        return replace(clip, pixels=framewise.rolling(clip.pixels, units, radius, chunk, theirs))
+        return replace(clip, pixels=framewise.rolling(clip.pixels, units, radius, chunk, theirs, tiling))
     if not radius:
-        return replace(clip, pixels=framewise.apply(clip.pixels, units, 0, theirs) if units else clip.pixels)
+        return replace(clip, pixels=framewise.apply(clip.pixels, units, 0, theirs, tiling) if units else clip.pixels)
     filtered = {c for channels, _ in units for c in channels}
-    copied = [((c,), lambda win, t, *_: N.identity(win, t)) for c in range(clip.planes) if c not in filtered]
-    return Contributions(framewise.contributions(clip.pixels, [*units, *copied], radius, theirs), radius, name, clip.shape())
+    copied = [((c,), _copy) for c in range(clip.planes) if c not in filtered]
+    return Contributions(framewise.contributions(clip.pixels, [*units, *copied], radius, theirs, tiling), radius, name, clip.shape())
 
 
 def _each(sigmas: Sequence[float], work: Callable, arguments: Callable[[int], dict]) -> list[framewise.Unit]:
@@ -212,7 +225,7 @@ def nlm(clip: Clip, d=1, a=2, s=4, h=1.2, channels="AUTO", wmode=0, wref=1.0, rc
     check(rclip is None or rclip.shape() == clip.shape(), "rclip must match clip")
     _admit("NLM", clip, 2 * d + 1, memory_limit_mb)
     work = partial(N.nlm, d=d, a=a, s=s, h=h, channels=mode, wmode=wmode, wref=wref)
-    return replace(clip, pixels=framewise.apply(clip.pixels, [(used, work)], d, None if rclip is None else rclip.pixels))
+    return replace(clip, pixels=framewise.apply(clip.pixels, [(used, work)], d, None if rclip is None else rclip.pixels, _tiling([(used, work)])))
 
 
 def _small_sigma(check: Check, sigmas: Sequence[float]) -> None:
@@ -236,7 +249,7 @@ def pnlm(clip: Clip, sigma=3.0, d=1, a=2, block_size=6, group_size=16, memory_li
     check((2 * d + 1) * 4 * clip.width * clip.height * clip.planes <= PINNED, "temporal radius d pins too much frame memory for this frame size")
     _admit("PNLM", clip, 2 * d + 1, memory_limit_mb)
     units = _each(sigmas, N.pnlm, lambda c: dict(a=a, block_size=block_size, group_size=group_size))
-    return replace(clip, pixels=framewise.apply(clip.pixels, units, d) if units else clip.pixels)
+    return replace(clip, pixels=framewise.apply(clip.pixels, units, d, tiling=_tiling(units)) if units else clip.pixels)
 
 
 def _group_shape(check: Check, block_size: int, block_step: int, group_size: int, radius: int) -> None:
@@ -372,7 +385,7 @@ def _same_size(clip: Clip, planes: Sequence[int]) -> list[tuple[int, ...]]:
 
 
 def nlh(clip: Clip, sigma=None, block_size=None, block_step=None, group_size=16, bm_range=None, search_window=None, radius=0, ps_num=2, ps_range=4, q=None, rclip: Clip | None = None, noise_model="auto", basic_iters=3, lambda_basic=0.6, hard_strength=1.0, wiener_iters=2, wiener_sigma_scale=0.32, temporal_mode="legacy", rolling_chunk=4, rolling_cache_chunks=None, rolling_cache_limit=None, memory_limit_mb=None) -> Clip | Contributions:  # noqa: ANN001
-    """F9. Without sigma the noise is estimated. noise_model is checked and selects nothing. Subsampled chroma is refused: planes are matched on a luma of their size."""
+    """F9. Without sigma the noise is estimated. noise_model is checked and selects nothing. Subsampled chroma is matched on the luma, brought to its size by means over areas."""
     check = _checker("NLH")
     rolling = _temporal(check, radius, temporal_mode, rolling_chunk, rolling_cache_limit, rolling_cache_chunks)
     check(_clip_ok(clip), FORMAT)
@@ -393,11 +406,11 @@ def nlh(clip: Clip, sigma=None, block_size=None, block_step=None, group_size=16,
     _in(check, 1, 64, ps_range=ps_range, basic_iters=basic_iters, wiener_iters=wiener_iters)
     _in(check, 0, 1, lambda_basic=float(lambda_basic))
     _in(check, 0, LARGE_FLOAT, hard_strength=float(hard_strength), wiener_sigma_scale=float(wiener_sigma_scale))
-    check(clip.family != "YUV" or clip.subsampling == (0, 0), "subsampled chroma is not supported")
     least = max([8 if sigmas is None else 2, *(b for b in sizes if b)])
-    check(min(clip.size(0)) >= least, "selected plane is smaller than block_size")
+    check(all(min(clip.size(c)) >= least for c in range(clip.planes)), "selected plane is smaller than block_size")
     _admit("NLH", clip, 2 * radius + 1, memory_limit_mb)
-    work = partial(N.nlh, sigma=None if sigmas is None else tuple(sigmas), block_size=block_size, block_step=block_step, group_size=group_size, search_window=window, q=q, radius=radius, ps_num=ps_num, ps_range=ps_range, basic_iters=basic_iters, lambda_basic=lambda_basic, hard_strength=hard_strength, wiener_iters=wiener_iters, wiener_sigma_scale=wiener_sigma_scale, rgb=clip.family == "RGB")
+    more = dict(sigma=None if sigmas is None else tuple(sigmas), block_size=block_size, block_step=block_step, group_size=group_size, search_window=window, q=q, radius=radius, ps_num=ps_num, ps_range=ps_range, basic_iters=basic_iters, lambda_basic=lambda_basic, hard_strength=hard_strength, wiener_iters=wiener_iters, wiener_sigma_scale=wiener_sigma_scale)
+    work = partial(N.nlh_planes, **more) if clip.subsampling != (0, 0) else partial(N.nlh, rgb=clip.family == "RGB", **more)
     return _finish("NLH", clip, [(tuple(range(clip.planes)), work)] if sigmas is None or any(sigmas) else [], radius, rolling, rolling_chunk, rclip)
 
 
@@ -423,7 +436,7 @@ def da3d(clip: Clip, ref: Clip, sigma=3.0, memory_limit_mb=None) -> Clip:  # noq
         units = [((0, 1, 2), partial(N.da3d_colour, sigma=sigmas[0]))]
     else:
         units = [((c,), partial(N.da3d, sigma=v)) for c, v in enumerate(sigmas)]
-    return replace(clip, pixels=framewise.apply(clip.pixels, units, 0, ref.pixels))
+    return replace(clip, pixels=framewise.apply(clip.pixels, units, 0, ref.pixels, DA3D_TILES))
 
 
 def vaggregate(contributions: Contributions, src: Clip, radius: int = 0, planes: Sequence[int] | None = None, memory_limit_mb=None) -> Clip:  # noqa: ANN001

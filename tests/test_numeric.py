@@ -47,11 +47,11 @@ def test_guided_dual_domain():
 
 
 def test_search_orders_ties_and_starts_with_the_reference():
-    flat = np.ones((1, 1, 12, 12))
-    assert [f[2:] for f in K.search(flat, 0, 4, 4, 4, 1, 1, 4)] == [(4, 4), (3, 3), (3, 4), (3, 5)]
-    found = K.search(NOISY, 2, 8, 8, 8, 3, 3, 6, radius=2)
-    assert found[0] == (0.0, 2, 8, 8) and [f[0] for f in found] == sorted(f[0] for f in found)
+    at = lambda found: list(zip(found.y[0].tolist(), found.x[0].tolist(), strict=True))
+    assert at(K.search(np.ones((1, 1, 12, 12)), 0, np.array([4]), np.array([4]), 4, 1, 1, 4)) == [(4, 4), (3, 3), (3, 4), (3, 5)]
+    found = K.search(NOISY, 2, np.array([8]), np.array([8]), 8, 3, 3, 6, radius=2)
+    assert (found.t[0, 0], *at(found)[0]) == (2, 8, 8) and (np.diff(found.dist[0]) >= 0).all()
 
 
 def test_prefix_shrink_stops():
-    assert np.allclose(K.shrink(np.array([3.0, 0.5, 2.0]), 1.0), [(3 + 8**0.5) / 2, 0, 0])
+    assert np.allclose(K.shrink(np.array([[3.0, 0.5, 2.0]]), 1.0), [[(3 + 8**0.5) / 2, 0, 0]])
