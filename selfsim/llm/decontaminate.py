@@ -38,7 +38,7 @@ from selfsim.llm.common import SPACE, cut, pieces_of, ragged, small_batches, tex
 
 PASSAGE = 32
 BUCKETS = 8192
-RANK, LEADING, SPARE = 64, 48, 8
+RANK, LEADING, SPARE = 48, 24, 8
 #: Buckets in a larger share of all passages are left out of the decomposition; their directions are random.
 COMMON = 0.1
 #: Words of the windows that items are compared with, and of a block; an item goes by the least size that holds it, a longer one by stretches of the largest.
@@ -147,7 +147,8 @@ def coded(texts: pa.Array, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     words = pc.utf8_trim(words, EDGES)
     own = pc.fill_null(pc.index_in(words, names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
     other = np.flatnonzero(own < 0)
-    own[other] = len(names) + np.fromiter(map(bucket, words.take(pa.array(other)).to_pylist()), np.int64, len(other))
+    spelt = words.take(pa.array(other)).cast(pa.large_binary()).to_pylist()
+    own[other] = len(names) + np.fromiter(map(xxhash.xxh32_intdigest, spelt), np.int64, len(other)) % BUCKETS
     full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)[codes]
     ids = own[codes]
     if not full.all():
@@ -165,36 +166,53 @@ def passages(offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(first, n) + at // size, np.repeat(np.arange(len(n)), many)
 
 
-def counted(offsets: np.ndarray, ids: np.ndarray, terms: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(passage, term, count) of the terms in each passage, by passage, and the number of passages."""
+def counted(offsets: np.ndarray, ids: np.ndarray, terms: int, size: int) -> tuple[np.ndarray, int]:
+    """(the number of passages that each term occurs in, the number of passages)."""
     of, owner = passages(offsets, size)
-    known = ids >= 0
-    keys, tf = np.unique(of[known] * terms + ids[known], return_counts=True)
-    return keys // terms, keys % terms, tf.astype(np.float32), len(owner)
+    return np.bincount(np.unique(of * terms + ids) % terms, minlength=terms), len(owner)
 
 
 def runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
 
 
-def gram(passage: np.ndarray, term: np.ndarray, weight: np.ndarray, right: np.ndarray, out: np.ndarray) -> None:
-    """Adds A' A right to out, for the sparse rows A given by (passage, term, weight) sorted by passage."""
-    for lo in range(0, len(term), 1 << 16):
-        hi = min(len(term), lo + (1 << 16))
-        if lo:
-            lo = int(np.searchsorted(passage, passage[lo], "left"))
-        if hi < len(term):
-            hi = int(np.searchsorted(passage, passage[hi], "left"))
-        p, t, w = passage[lo:hi], term[lo:hi], weight[lo:hi]
-        if not len(p):
-            continue
-        first = runs(p)
-        rows = np.add.reduceat(right[t] * w[:, None], first)
-        local = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(p)]))
-        order = np.argsort(t, kind="stable")
-        t = t[order]
-        first = runs(t)
-        out[t[first]] += np.add.reduceat(rows[local[order]] * w[order][:, None], first)
+def summed(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Of each row of places the sum of the table's rows there."""
+    out, one = table[rows[:, 0]], np.empty((len(rows), table.shape[1]), table.dtype)
+    for k in range(1, rows.shape[1]):
+        out += np.take(table, rows[:, k], 0, out=one, mode="clip")
+    return out
+
+
+def scatter(out: np.ndarray, term: np.ndarray, at: np.ndarray, rows: np.ndarray, often: int = 48) -> None:
+    """Adds rows[at] to out[term], terms repeated: frequent ones by a product of counts, the others in rounds without repeats."""
+    order = np.argsort(term, kind="stable")
+    term, at = term[order], at[order]
+    first = runs(term)
+    size = np.diff(np.r_[first, len(term)])
+    many = np.flatnonzero(size > often)
+    if len(many):
+        place = np.repeat(np.arange(len(many)), size[many]) * len(rows)
+        place += at[np.repeat(size > often, size)]
+        out[term[first[many]]] += np.bincount(place, minlength=len(many) * len(rows)).reshape(len(many), -1).astype(np.float32) @ rows
+    first, size = first[size <= often], size[size <= often]
+    for k in range(int(size.max(initial=0))):
+        some = first[size > k] + k
+        out[term[some]] += rows[at[some]]
+
+
+def gram(offsets: np.ndarray, ids: np.ndarray, right: np.ndarray, out: np.ndarray, most: int = 2048) -> None:
+    """Adds to out, for each word of each passage of PASSAGE words, the sum of the rows of right that the passage's words have;
+    the last row of right is zero and stands for a word left out."""
+    of, owner = passages(offsets, PASSAGE)
+    none = len(right) - 1
+    words = np.full((len(owner), PASSAGE), none)
+    words[of, np.arange(len(ids)) - runs(of)[of] if len(of) else of] = ids
+    for k in range(0, len(words), most):
+        own = words[k : k + most]
+        rows, flat = summed(right, own), own.ravel()
+        full = np.flatnonzero(flat != none)
+        scatter(out, flat[full], full // PASSAGE, rows)
 
 
 def totals(parts: DataFrame, tasks: int, rows: int, columns: int) -> np.ndarray:
@@ -265,21 +283,22 @@ def decompose(texts: DataFrame, bench: Benchmark, rank: int = RANK, leading: int
     to = spark.sparkContext.broadcast(bench.buckets())
 
     def frequencies(total: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> None:
-        _, t, _, many = counted(offsets, to.value[ids], BUCKETS, PASSAGE)
-        total[:-1, 0] += np.bincount(t, minlength=BUCKETS)
+        occurs, many = counted(offsets, to.value[ids], BUCKETS, PASSAGE)
+        total[:-1, 0] += occurs
         total[-1, 0] += many
 
     found = fold(texts, kind, BUCKETS + 1, 1, frequencies).astype(np.float64)[:, 0]
     idf = (np.log((1 + found[-1]) / (1 + found[:-1])) + 0.05).astype(np.float32)
-    taken = spark.sparkContext.broadcast((np.where(found[:-1] <= max(COMMON * found[-1], 10), idf, 0).astype(np.float32), test))
+    weight = np.where(found[:-1] <= max(COMMON * found[-1], 10), idf, 0).astype(np.float32)
+    # the row of a bucket that is left out is the last one, which is zero
+    place = np.append(np.where(weight > 0, np.arange(BUCKETS), BUCKETS), BUCKETS)
+    taken = spark.sparkContext.broadcast((place, np.concatenate([test * weight[:, None], np.zeros((1, width), np.float32)])))
 
     def product(total: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> None:
-        weight, right = taken.value
-        ids = to.value[ids]
-        p, t, w, _ = counted(offsets, np.where(weight[ids] > 0, ids, -1), BUCKETS, PASSAGE)
-        gram(p, t, w * weight[t], right, total)
+        place, right = taken.value
+        gram(offsets, place[to.value[ids]], right, total)
 
-    y = fold(texts, kind, BUCKETS, width, product).astype(np.float64)
+    y = fold(texts, kind, BUCKETS, width, product).astype(np.float64) * weight[:, None]
     values, vectors = np.linalg.eigh((test.T @ y + y.T @ test) / 2)
     good = values > max(values.max(initial=0), 1e-9) * 1e-9
     v, s, _ = np.linalg.svd(y @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
@@ -301,8 +320,9 @@ class Search:
 
     def __init__(self, bench: Benchmark, idf: np.ndarray, latent: np.ndarray) -> None:
         of = bench.buckets()
-        self.vectors = latent[of] * idf[of][:, None]
-        self.weight = idf[of].copy()
+        # the last code stands for no word
+        self.vectors = np.concatenate([latent[of] * idf[of][:, None], np.zeros((1, latent.shape[1]), np.float32)])
+        self.weight = np.append(idf[of], np.float32(0))
         self.weight[len(bench.terms) :] = 0
         self.item_ids, self.sizes = bench.ids, np.array([len(x) for x in bench.items])
         self.masks = [masks_of(x.tolist()) for x in bench.items]
@@ -324,44 +344,66 @@ class Search:
             least = np.array([SHARED * self.weight[words].sum() for _, words in own], np.float32)
             self.asked[size] = np.ascontiguousarray(v.T), np.array([k for k, _ in own]), has, least
 
-    def candidates(self, offsets: np.ndarray, ids: np.ndarray, most: int = 1 << 15) -> np.ndarray:
+    def candidates(self, offsets: np.ndarray, ids: np.ndarray, most: int = 8192) -> np.ndarray:
         """(text, item, first word in the text, end) columns of the regions around candidate windows, sorted.
 
         Blocks are summed most at a time, with as many more as the longest window has, so that a text of any length needs as much memory as another.
         """
-        of, owner = passages(offsets, BLOCK)
-        first = runs(of)
-        place = np.arange(len(owner)) - np.searchsorted(owner, owner, "left")
-        ends = np.searchsorted(owner, owner, "right")
-        padded, out = np.r_[ids, np.full(SIZES[-1], -1)], [np.zeros((4, 0), np.int64)]
-        for lo in range(0, len(owner), most):
-            hi = min(len(owner), lo + most)
-            last = min(len(owner), hi + SIZES[-1] // BLOCK)
-            words = ids[first[lo] : first[last] if last < len(owner) else len(ids)]
-            sums = np.add.reduceat(self.vectors[words], first[lo:last] - first[lo])
-            sums = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, 0, dtype=np.float64)])
+        n = np.diff(offsets)
+        longest = max(self.asked, default=BLOCK) // BLOCK
+        blocks = -(-n // BLOCK)
+        # empty blocks between the texts, so that no window reaches from one into the next
+        wide = blocks + np.maximum(longest // 2, longest - blocks)
+        base = np.cumsum(wide) - wide
+        total = int(wide.sum()) + longest
+        words = np.full((total, BLOCK), len(self.vectors) - 1)
+        at = np.arange(len(ids)) - np.repeat(offsets[:-1], n)
+        words[np.repeat(base, n) + at // BLOCK, at % BLOCK] = ids
+        text = np.append(np.repeat(np.arange(len(n)), wide), np.zeros(longest, np.int64))
+        place = np.arange(total) - base[text] if len(n) else np.zeros(total, np.int64)
+        left = blocks[text] - place if len(n) else np.zeros(total, np.int64)
+        left[total - longest :] = 0
+        out = [np.zeros((4, 0), np.int64)]
+        for lo in range(0, total - longest, most):
+            own = words[lo : min(total, lo + most + longest)]
+            many = len(own) - longest
+            sums = {1: summed(self.vectors, own)}
+            while 2 * max(sums) <= longest:
+                k = max(sums)
+                sums[2 * k] = sums[k][:-k] + sums[k][k:]
+            known = np.append(np.float32(0), np.cumsum(self.weight[own].sum(1), dtype=np.float64))
             for size, (asked, item_of, has, least) in self.asked.items():
-                starts = lo + np.flatnonzero(place[lo:hi] % (step_of(size) // BLOCK) == 0)
-                starts = starts[(place[starts] == 0) | (ends[starts] - starts > size // BLOCK // 2)]
-                to = np.minimum(starts + size // BLOCK, ends[starts])
-                own = (sums[to - lo] - sums[starts - lo]).astype(np.float32)
-                own /= np.maximum(np.sqrt((own * own).sum(1, keepdims=True)), 1e-9)
-                step = max(1, (1 << 21) // len(item_of))
+                wide = size // BLOCK
+                some = (left[lo : lo + many] > 0) & (place[lo : lo + many] % (step_of(size) // BLOCK) == 0)
+                some &= (place[lo : lo + many] == 0) | (left[lo : lo + many] > wide // 2)
+                # no item's share can be in a window whose benchmark words weigh less
+                some &= known[wide : wide + many] - known[:many] >= least.min() - 1e-3
+                starts, step = np.flatnonzero(some), max(1, (1 << 21) // len(item_of))
                 for k in range(0, len(starts), step):
-                    i, j = np.nonzero(own[k : k + step] @ asked >= COSINE)
-                    i += k
-                    at, end = first[starts[i]], offsets[owner[starts[i]] + 1]
-                    shared = np.zeros(len(i), np.float32)
-                    for w in range(size):
-                        c = padded[at + w]
-                        shared += np.where(has[j, c % FILTER] & (at + w < end), self.weight[c], 0)
-                    good = np.flatnonzero(shared >= least[j])
-                    i, item = i[good], item_of[j[good]]
-                    text, m = owner[starts[i]], self.sizes[item]
-                    at = first[starts[i]] - offsets[text]
-                    out.append(np.stack([text, item, np.maximum(0, at - 2 * m), at + size + 2 * m]))
+                    out.append(self._alike(starts[k : k + step], lo, size, sums, words, text, place))
         return np.unique(np.concatenate(out, 1), axis=1)
 
+    def _alike(self, starts: np.ndarray, lo: int, size: int, sums: dict[int, np.ndarray], words: np.ndarray, text: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The regions of the windows of size words at the given blocks, counted from block lo, that have an item's cosine and share."""
+        asked, item_of, has, least = self.asked[size]
+        wide, at = size // BLOCK, 0
+        own = np.zeros((len(starts), asked.shape[0]), np.float32)
+        for k in sorted(sums, reverse=True):
+            if wide - at >= k:
+                own += sums[k][starts + at]
+                at += k
+        norm = np.sqrt(np.einsum("ij,ij->i", own, own))
+        i, j = np.nonzero(own @ asked >= np.maximum(COSINE * norm, 1e-6)[:, None])
+        good = [np.zeros(0, np.int64)]
+        for k in range(0, len(i), 8192):
+            here = words[(lo + starts[i[k : k + 8192]])[:, None] + np.arange(wide)].reshape(-1, size)
+            shared = np.where(has[j[k : k + 8192, None], here % FILTER], self.weight[here], 0).sum(1)
+            good.append(k + np.flatnonzero(shared >= least[j[k : k + 8192]] * 0.999))
+        good = np.concatenate(good)
+        block, item = lo + starts[i[good]], item_of[j[good]]
+        first, m = place[block] * BLOCK, self.sizes[item]
+        return np.stack([text[block], item, np.maximum(0, first - 2 * m), first + size + 2 * m])
+
     def checked(self, words: np.ndarray, item: int, lo: np.ndarray, hi: np.ndarray) -> tuple[int, int] | None:
         """(words in common order, answer's words) of the best window of 2 m words of the regions that passes, if any."""
         m, own, best = int(self.sizes[item]), self.masks[item], None
