@@ -169,7 +169,8 @@ def passages(offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 def counted(offsets: np.ndarray, ids: np.ndarray, terms: int, size: int) -> tuple[np.ndarray, int]:
     """(the number of passages that each term occurs in, the number of passages)."""
     of, owner = passages(offsets, size)
-    return np.bincount(np.unique(of * terms + ids) % terms, minlength=terms), len(owner)
+    keys = np.sort(of * terms + ids)
+    return np.bincount(keys[runs(keys)] % terms, minlength=terms), len(owner)
 
 
 def runs(x: np.ndarray) -> np.ndarray:
