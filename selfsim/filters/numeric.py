@@ -153,11 +153,11 @@ def ncsr(win, centre, rclip=None, sigma=3.0, block_size=8, block_step=8, group_s
     return num, den
 
 
-def noise(plane: np.ndarray, guide: np.ndarray, place: Place | None = None) -> tuple[float, int]:
-    """(sum, groups): the blind noise of a plane is their quotient. 8 x 8 references every 4 pixels, 16 matches in a window of 40 on the guide, root mean square gaps of each row to its three nearest."""
+def noise(plane: np.ndarray, guide: np.ndarray, place: Place | None = None, core: tuple[slice, slice] | None = None) -> tuple[float, int]:
+    """(sum, groups): the blind noise of a plane is their quotient. 8 x 8 references every 4 pixels (that begin in the core), 16 matches in a window of 40 on the guide, root mean square gaps of each row to its three nearest."""
     total, groups, m, q = 0.0, 0, 64, 4
     both = np.stack([guide, plane])[None]
-    for found in K.in_groups(K.spots_of(both[:, :1], place or Place.whole(both), 8, 4, 20, 19, 16)(0), 64 * 64 // 16):
+    for found in K.in_groups(K.spots_of(both[:, :1], place or Place.whole(both), 8, 4, 20, 19, 16, core=core)(0), 64 * 64 // 16):
         g, v = _flat(both[:, :1], found, 8), _flat(both[:, 1:], found, 8)
         near = K.nearest_rows(g, q)[:, :, 1:]
         gap = v[:, :, None, :] - v[np.arange(len(v))[:, None, None], near]

@@ -355,9 +355,11 @@ def collect(stack: np.ndarray, centre: int, spots: Callable[[int], Matches], wor
     return sums.num, sums.den
 
 
-def spots_of(guide: np.ndarray, place: Place, b: int, step: int, lo: int, hi: int, k: int, radius: int = 0, ps_num: int = 2, ps_range: int = 4) -> Callable[[int], Matches]:
-    """The matches of all references of a frame."""
+def spots_of(guide: np.ndarray, place: Place, b: int, step: int, lo: int, hi: int, k: int, radius: int = 0, ps_num: int = 2, ps_range: int = 4, core: tuple[slice, slice] | None = None) -> Callable[[int], Matches]:
+    """The matches of all references of a frame, with a core of those that begin in it."""
     ys, xs = place.grid(guide, b, step)
+    if core is not None:
+        ys, xs = (v[(v >= c.start) & (v < c.stop)] for v, c in zip((ys, xs), core, strict=True))
 
     def at(t: int) -> Matches:
         strip = max(1, AT_ONCE // max(1, len(xs) * (lo + hi + 1) ** 2))

@@ -253,6 +253,32 @@ def exploded(planes: DataFrame) -> DataFrame:
     return at.select("n", "channel", F.expr("CAST(i div w AS INT)").alias("y"), (F.col("i") % F.col("w")).cast("int").alias("x"), "v")
 
 
+def statistics(pixels: DataFrame, work: Callable, schema: str, tiling: Tiling | None = None) -> DataFrame:
+    """(n, channel and the columns of schema): what work(window, 0, place=...) or, with a tiling, work(window, 0, place=..., core=...) says of each frame and tile, as a pandas frame. channel is the first of the frame's."""
+    held, _ = dealt(pixels, work, tiling)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = Window.of(pdf, tiling)
+        more = {} if tiling is None else {"core": own.cores[0]}
+        out = work(np.concatenate(own.stacks, 1), 0, place=own.places[0], **more)
+        out.insert(0, "channel", own.channels[0])
+        out.insert(0, "n", own.frames[0])
+        return out
+
+    return held.groupBy("n", "ty", "tx").applyInPandas(run, f"n long, channel long, {schema}")
+
+
+def noise_of(pixels: DataFrame) -> DataFrame:
+    """(n, groups, sigma): the blind noise of channel 0 of each frame, guided by itself, from sums over tiles."""
+    from selfsim.filters import numeric as N
+
+    def work(win: np.ndarray, _: int, place: Place, core: tuple[slice, slice]) -> pd.DataFrame:
+        return pd.DataFrame([N.noise(win[0, 0], win[0, 0], place, core)], columns=["total", "groups"])
+
+    sums = statistics(pixels.where("channel = 0"), work, "total double, groups long", Tiling(28))
+    return sums.groupBy("n").agg(F.sum("groups").alias("groups"), F.sum("total").alias("total")).select("n", "groups", (F.col("total") / F.nullif(F.col("groups"), F.lit(0))).alias("sigma"))
+
+
 def group_map(pixels: DataFrame, spots: Callable, work: Callable, block: int, halo: int, radius: int = 0) -> DataFrame:
     """A filter from a function of groups, the hook that all group filters share: spots(window, place, t) gives the Matches of a frame's
     references, work(groups (n, k, channels, b, b), Matches) their estimates and weights; the estimates are averaged pixel by pixel.

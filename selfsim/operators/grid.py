@@ -23,8 +23,8 @@ def references(frames: DataFrame, h: int, w: int, block: int, step: int) -> Data
     return frames.select("n", F.explode(F.array(*at)).alias("r")).select("n", "r.*")
 
 
-def clamped(value: Column, length: int) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(length - 1), value))
+def clamped(value: Column, length: int | Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(length) - 1, value))
 
 
 def patches(refs: DataFrame, pixels: DataFrame, h: int, w: int, block: int, y: str = "ry", x: str = "rx") -> DataFrame:

@@ -13,6 +13,10 @@ def ssd(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0).cast("long"), lambda s, d: s + d)
 
 
+def ssd_double(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d)
+
+
 def candidates(refs: DataFrame, blocks: DataFrame, lo: int, hi: int, guide: DataFrame | None = None) -> DataFrame:
     """(n, ref_id, ry, rx, my, mx, dist) over the window [-lo, hi] around each reference, itself included."""
     blocks = guide if guide is not None else blocks
@@ -21,13 +25,15 @@ def candidates(refs: DataFrame, blocks: DataFrame, lo: int, hi: int, guide: Data
     at = spread(spread(at, "oy", range(-lo, hi + 1)), "ox", range(-lo, hi + 1)).withColumn("my", F.col("ry") + F.col("oy")).withColumn("mx", F.col("rx") + F.col("ox"))
     other = blocks.select(F.col("n").alias("_n"), F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("p").alias("cp"))
     pairs = at.join(other, (at.n == other._n) & (at.my == other._y) & (at.mx == other._x))
-    return pairs.select("n", "ref_id", "ry", "rx", "my", "mx", ssd(F.col("rp"), F.col("cp")).alias("dist"))
+    whole = blocks.schema["p"].dataType.elementType.typeName() == "long"
+    return pairs.select("n", "ref_id", "ry", "rx", "my", "mx", (ssd if whole else ssd_double)(F.col("rp"), F.col("cp")).alias("dist"))
 
 
 def top(pairs: DataFrame, k: int, keys: tuple[str, ...] = ("n", "ref_id")) -> DataFrame:
-    """The k nearest of each reference, itself first (rank 0), ties by row then column: adds k."""
+    """The k nearest of each reference, itself first (rank 0), finite distances before others, ties by row then column: adds k."""
     own = ((F.col("my") == F.col("ry")) & (F.col("mx") == F.col("rx"))).cast("int")
-    order = Window.partitionBy(*keys).orderBy(own.desc(), "dist", "my", "mx")
+    ranks = [F.col("dist")] if pairs.schema["dist"].dataType.typeName() == "long" else finite_first(F.col("dist"))
+    order = Window.partitionBy(*keys).orderBy(own.desc(), *ranks, "my", "mx")
     return pairs.withColumn("k", F.row_number().over(order) - 1).where(F.col("k") < k)
 
 

@@ -18,7 +18,7 @@ from selfsim.plans.registry import query
 from selfsim.plans.relational import B, GROUP, RANGE, REFS_SQL, clip_and_refs
 from selfsim.sources.clips import CLIP_SQL, HEIGHT, WIDTH
 
-RADIUS, PS_NUM, PS_RANGE, FRAMES = 2, 2, 2, 5
+RADIUS, PS_NUM, PS_RANGE = 2, 2, 2
 
 
 def nearest(pairs: DataFrame, k: int, keys: tuple[str, ...]) -> DataFrame:
@@ -67,7 +67,7 @@ def _sql() -> str:
     for step, name in ((-1, "p"), (1, "f")):
         last = "seed"
         for i in range(1, RADIUS + 1):
-            parts.append(f"g{name}{i} AS (SELECT DISTINCT s.n, ref_id, ry, rx, t + {step} AS t, my.range AS my, mx.range AS mx FROM {last} s, {spots(PS_RANGE, PS_RANGE)} AND t + {step} BETWEEN 0 AND {FRAMES - 1})")
+            parts.append(f"g{name}{i} AS (SELECT DISTINCT s.n, ref_id, ry, rx, t + {step} AS t, my.range AS my, mx.range AS mx FROM {last} s, {spots(PS_RANGE, PS_RANGE)} AND t + {step} BETWEEN 0 AND (SELECT max(n) FROM px))")
             parts.append(f"d{name}{i} AS (SELECT *, {dist} AS dist FROM g{name}{i} g)")
             parts.append(f"s{name}{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n, ref_id ORDER BY dist, my, mx) AS r FROM d{name}{i}) WHERE r <= {PS_NUM})")
             union.append(f"SELECT n, ref_id, t, my, mx, dist FROM d{name}{i}")

@@ -15,7 +15,7 @@ from selfsim.functions import scalars as S
 from selfsim.operators.grid import clamped
 from selfsim.plans.registry import query
 from selfsim.plans.relational import box
-from selfsim.sources.clips import CLIP_SQL, HEIGHT, SCALE, WIDTH, events_clip
+from selfsim.sources.clips import CLIP_SQL, HEIGHT, SCALE, WIDTH, colour, colour_sql, events_clip, frames_of
 
 #: Distance of samples a and b by channel mode, as SQL of both engines; s0 .. are the planes of the mode.
 DISTANCE = {
@@ -30,13 +30,13 @@ def planes_of(channels: str) -> list[str]:
     return [f"s{k}" for k in range({"Y": 1, "UV": 2}.get(channels, 3))]
 
 
-def plan(px: DataFrame, channels: str, a: int, s: int, h: float, wmode: int, d: int, frames: int, wref: float = 1.0) -> DataFrame:
+def plan(px: DataFrame, channels: str, a: int, s: int, h: float, wmode: int, d: int, wref: float = 1.0) -> DataFrame:
     """px (n, y, x, s0 ..) to the same columns, filtered; J9, D4 to D8, W1 to W5, A5."""
     names = planes_of(channels)
     offsets = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("od", "oy", "ox"), o, strict=True)]) for o in half(d, a)])
-    spread = px.select("n", "y", "x", F.explode(offsets).alias("o")).select("n", "y", "x", "o.*")
+    spread = px.crossJoin(F.broadcast(frames_of(px))).select("n", "y", "x", "frames", F.explode(offsets).alias("o")).select("n", "y", "x", "frames", "o.*")
     both = spread.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("ahead"))
-    there = lambda side: F.when(F.col("ahead") == side, F.col("n")).otherwise(clamped(F.col("n") + (1 - 2 * F.col("ahead")) * F.col("od"), frames))
+    there = lambda side: F.when(F.col("ahead") == side, F.col("n")).otherwise(clamped(F.col("n") + (1 - 2 * F.col("ahead")) * F.col("od"), F.col("frames")))
     here = px.select(F.col("n").alias("_f"), F.col("y").alias("_y"), F.col("x").alias("_x"), F.struct(*names).alias("a"))
     other = here.select("_f", F.col("_y").alias("_qy"), F.col("_x").alias("_qx"), F.col("a").alias("b")).withColumnRenamed("_f", "_g")
     at = both.withColumn("fa", there(0)).withColumn("fb", there(1)).withColumn("qy", clamped(F.col("y") + F.col("oy"), HEIGHT)).withColumn("qx", clamped(F.col("x") + F.col("ox"), WIDTH))
@@ -53,12 +53,12 @@ def plan(px: DataFrame, channels: str, a: int, s: int, h: float, wmode: int, d:
     return sums.join(px, ["n", "y", "x"]).select("n", "y", "x", *[F.round((m * F.col(c) + F.col(f"_{c}")) / (m + F.col("den")), 6).alias(c) for c in names])
 
 
-def sql(source: str, channels: str, a: int, s: int, h: float, wmode: int, d: int, frames: int) -> str:
+def sql(source: str, channels: str, a: int, s: int, h: float, wmode: int, d: int) -> str:
     """The same in SQL; source gives z(n, y, x, s0 ..)."""
-    names, bound = planes_of(channels), lambda v, n: f"greatest(0, least({n - 1}, {v}))"
+    names, bound = planes_of(channels), lambda v, n: f"greatest(0, least({n} - 1, {v}))"
     w = "exp(-u)" if wmode == 0 else f"pow(greatest(1 - u, 0), {(1, 2, 8)[wmode - 1]})"
     return source + f""", o(od, oy, ox) AS (VALUES {", ".join(str(o) for o in half(d, a))}),
-k AS (SELECT p.n, o.*, f.ahead, p.y, p.x, CASE f.ahead WHEN 0 THEN p.n ELSE {bound("p.n - od", frames)} END AS fa, CASE f.ahead WHEN 1 THEN p.n ELSE {bound("p.n + od", frames)} END AS fb FROM z p, o, (VALUES (0), (1)) f(ahead)),
+k AS (SELECT p.n, o.*, f.ahead, p.y, p.x, CASE f.ahead WHEN 0 THEN p.n ELSE {bound("p.n - od", "(SELECT max(n) + 1 FROM z)")} END AS fa, CASE f.ahead WHEN 1 THEN p.n ELSE {bound("p.n + od", "(SELECT max(n) + 1 FROM z)")} END AS fb FROM z p, o, (VALUES (0), (1)) f(ahead)),
 e AS (SELECT k.*, {DISTANCE[channels]} AS e, {", ".join(f"a.{c} AS a{c}, b.{c} AS b{c}" for c in names)} FROM k JOIN z a ON a.n = fa AND a.y = k.y AND a.x = k.x JOIN z b ON b.n = fb AND b.y = {bound("k.y + oy", HEIGHT)} AND b.x = {bound("k.x + ox", WIDTH)}),
 t AS (SELECT e.n, e.od, e.oy, e.ox, e.ahead, e.y, e.x, {bound("e.y + i.range", HEIGHT)} AS ty, {bound("e.x + j.range", WIDTH)} AS tx FROM e, range({-s}, {s + 1}) i, range({-s}, {s + 1}) j),
 b AS (SELECT t.n, t.od, t.oy, t.ox, t.ahead, t.y, t.x, sum(r.e) * {255.0 * 255.0 / (3 * h * h * (2 * s + 1) ** 2)!r} AS u FROM t JOIN e r ON r.n = t.n AND r.od = t.od AND r.oy = t.oy AND r.ox = t.ox AND r.ahead = t.ahead AND r.y = t.ty AND r.x = t.tx GROUP BY ALL),
@@ -76,23 +76,13 @@ def grey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_clip(spark, sf_dir).select("n", "y", "x", (F.col("c") / SCALE).alias("s0"))
 
 
-def colour_sql(count: int) -> str:
-    return CLIP_SQL + f", z AS (SELECT 0 AS n, y, x, {', '.join(f'max(CASE WHEN n = {k} THEN c END) / 1048576.0 AS s{k}' for k in range(count))} FROM px GROUP BY y, x)"
-
-
-def colour(spark: SparkSession, sf_dir: str, count: int) -> DataFrame:
-    """The first frames as the planes of one frame."""
-    planes = [(F.max(F.when(F.col("n") == k, F.col("c"))) / 1048576.0).alias(f"s{k}") for k in range(count)]
-    return events_clip(spark, sf_dir).groupBy("y", "x").agg(*planes).select(F.lit(0).alias("n"), "*")
-
-
 def _mirrored(name: str, channels: str, a: int, s: int, h: float, wmode: int, d: int) -> None:
     count = len(planes_of(channels))
-    grey_clip, frames = channels == "Y", 5 if channels == "Y" else 1
+    grey_clip = channels == "Y"
 
-    @query(name, sql(GREY_SQL if grey_clip else colour_sql(count), channels, a, s, h, wmode, d, frames))
+    @query(name, sql(GREY_SQL if grey_clip else colour_sql(count, 1048576.0), channels, a, s, h, wmode, d))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return plan(grey(spark, sf_dir) if grey_clip else colour(spark, sf_dir, count), channels, a, s, h, wmode, d, frames)
+        return plan(grey(spark, sf_dir) if grey_clip else colour(events_clip(spark, sf_dir), count, 1048576.0), channels, a, s, h, wmode, d)
 
 
 for _args in (("nlm_mirrored", "Y", 2, 1, 60.0, 0, 0), ("nlm_mirrored_temporal", "Y", 1, 1, 60.0, 0, 1), ("nlm_uv", "UV", 2, 1, 8.0, 0, 0), ("nlm_yuv", "YUV", 2, 1, 8.0, 2, 0), ("nlm_rgb", "RGB", 2, 1, 8.0, 0, 0)):

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from selfsim.functions import scalars as S
 from selfsim.operators import grid, match, transforms
 from selfsim.plans.registry import query
-from selfsim.sources.clips import CLIP_SQL, HEIGHT, PATCH_SQL, SCALE, WIDTH, embedding_patches, events_clip
+from selfsim.sources.clips import CLIP_SQL, HEIGHT, LINEITEM_SQL, PATCH_SQL, SCALE, WIDTH, colour, colour_sql, embedding_patches, events_clip, frames_of, lineitem_clip
 
 B, STEP, RANGE, GROUP = 4, 6, 5, 8
+#: Centroids that a vector is compared with at once.
+CENTROIDS = 1024
 REFS_SQL = f", ps AS (SELECT 'y' AS ax, least(range, {HEIGHT - B}) AS p FROM range(0, {HEIGHT - B + STEP}, {STEP}) UNION SELECT 'x', least(range, {WIDTH - B}) FROM range(0, {WIDTH - B + STEP}, {STEP})), " \
     "refs AS (SELECT n, CAST(dense_rank() OVER (PARTITION BY n ORDER BY a.p, b.p) - 1 AS INT) AS ref_id, CAST(a.p AS INT) AS ry, CAST(b.p AS INT) AS rx FROM (SELECT DISTINCT n FROM px), ps a, ps b WHERE a.ax = 'y' AND b.ax = 'x')"
 
@@ -35,11 +37,17 @@ def clip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_clip(spark, sf_dir)
 
 
-@query("temporal_clamped", CLIP_SQL + ", w AS (SELECT a.n, a.y, a.x, b.c FROM px a, range(-2, 3) d, px b WHERE b.n = greatest(0, least(4, a.n + d.range)) AND b.y = a.y AND b.x = a.x) SELECT n, y, x, CAST(sum(c) AS BIGINT) AS total FROM w GROUP BY 1, 2, 3")
+@query("lineitem_scan", LINEITEM_SQL + " SELECT * FROM px")
+def lineitem_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 on a clip whose planes are of another size."""
+    return lineitem_clip(spark, sf_dir)
+
+
+@query("temporal_clamped", CLIP_SQL + ", w AS (SELECT a.n, a.y, a.x, b.c FROM px a, range(-2, 3) d, px b WHERE b.n = greatest(0, least((SELECT max(n) FROM px), a.n + d.range)) AND b.y = a.y AND b.x = a.x) SELECT n, y, x, CAST(sum(c) AS BIGINT) AS total FROM w GROUP BY 1, 2, 3")
 def temporal_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames beyond the ends repeat."""
     px = events_clip(spark, sf_dir)
-    slots = grid.spread(px.select("n").distinct(), "d", range(-2, 3)).select("n", grid.clamped(F.col("n") + F.col("d"), 5).alias("t"))
+    slots = grid.spread(px.select("n").distinct(), "d", range(-2, 3)).crossJoin(F.broadcast(frames_of(px))).select("n", grid.clamped(F.col("n") + F.col("d"), F.col("frames")).alias("t"))
     return slots.join(px.withColumnRenamed("n", "t"), "t").groupBy("n", "y", "x").agg(F.sum("c").alias("total"))
 
 
@@ -71,6 +79,20 @@ def spatial_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.top(match.candidates(refs, blocks, RANGE, RANGE), GROUP).select("n", "ref_id", "ry", "rx", "my", "mx", "dist", "k")
 
 
+_ODD_SQL = CLIP_SQL + REFS_SQL + f""", od AS (SELECT n, y, x, CASE WHEN (y * {WIDTH} + x + n) % 37 = 0 THEN CAST('NaN' AS DOUBLE) WHEN (y * {WIDTH} + x + n) % 53 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE CAST(c AS DOUBLE) END AS c FROM px)""" + _match_sql(RANGE, RANGE, 40, "od").replace("CAST(sum((ra.c - b.c) * (ra.c - b.c)) AS BIGINT) AS dist", "sum((ra.c - b.c) * (ra.c - b.c)) AS dist").replace("dist, my, mx) - 1 AS INT) AS k FROM ds", "CASE WHEN isfinite(dist) THEN 0 ELSE 1 END, CASE WHEN isfinite(dist) THEN dist ELSE 0 END, my, mx) - 1 AS INT) AS k FROM ds")
+
+
+@query("nonfinite_topk", _ODD_SQL + " SELECT n, ref_id, ry, rx, my, mx, CASE WHEN isfinite(dist) THEN dist END AS dist, k FROM mt")
+def nonfinite_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1, K3 on a clip with samples that aren't finite: finite distances by size, then all others by their place."""
+    px, refs, _ = clip_and_refs(spark, sf_dir)
+    at = F.col("y") * WIDTH + F.col("x") + F.col("n")
+    odd = px.withColumn("c", F.when(at % 37 == 0, float("nan")).when(at % 53 == 0, float("inf")).otherwise(F.col("c").cast("double")))
+    found = match.top(match.candidates(refs, grid.blocks(odd, HEIGHT, WIDTH, B), RANGE, RANGE), 40)
+    bad = F.isnan("dist") | (F.abs("dist") == float("inf"))
+    return found.select("n", "ref_id", "ry", "rx", "my", "mx", F.when(~bad, F.col("dist")).alias("dist"), "k")
+
+
 @query("asym_window_topk", CLIP_SQL + REFS_SQL + _match_sql(3, 2, GROUP) + " SELECT * FROM mt")
 def asym_window_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A window of 6 has three positions before and two after."""
@@ -78,11 +100,11 @@ def asym_window_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.top(match.candidates(refs, blocks, 3, 2), GROUP).select("n", "ref_id", "ry", "rx", "my", "mx", "dist", "k")
 
 
-@query("guided_match", CLIP_SQL + ", gd AS (SELECT (n + 1) % 5 AS n, y, x, c FROM px)" + REFS_SQL + _match_sql(RANGE, RANGE, GROUP, "gd") + ", v AS (SELECT mt.n, ref_id, k, dist, sum(c) AS s FROM mt, range(4) a, range(4) b, px WHERE px.n = mt.n AND px.y = my + a.range AND px.x = mx + b.range GROUP BY 1, 2, 3, 4) SELECT n, ref_id, k, dist, CAST(s AS BIGINT) AS total FROM v")
+@query("guided_match", CLIP_SQL + ", gd AS (SELECT CAST((n + 1) % (SELECT max(n) + 1 FROM px) AS INT) AS n, y, x, c FROM px)" + REFS_SQL + _match_sql(RANGE, RANGE, GROUP, "gd") + ", v AS (SELECT mt.n, ref_id, k, dist, sum(c) AS s FROM mt, range(4) a, range(4) b, px WHERE px.n = mt.n AND px.y = my + a.range AND px.x = mx + b.range GROUP BY 1, 2, 3, 4) SELECT n, ref_id, k, dist, CAST(s AS BIGINT) AS total FROM v")
 def guided_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances from a guide, values from the source."""
     px, refs, blocks = clip_and_refs(spark, sf_dir)
-    guide = grid.blocks(px.withColumn("n", (F.col("n") + 1) % 5), HEIGHT, WIDTH, B)
+    guide = grid.blocks(px.crossJoin(F.broadcast(frames_of(px))).withColumn("n", (F.col("n") + 1) % F.col("frames")), HEIGHT, WIDTH, B)
     found = match.top(match.candidates(refs, blocks, RANGE, RANGE, guide), GROUP)
     own = blocks.select(F.col("n"), F.col("y").alias("my"), F.col("x").alias("mx"), F.aggregate("p", F.lit(0).cast("long"), lambda a, c: a + c).alias("total"))
     return found.join(own, ["n", "my", "mx"]).select("n", "ref_id", "k", "dist", "total")
@@ -102,7 +124,7 @@ def _groups(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     vec = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     first = vec.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("r"))
     d = F.aggregate(F.zip_with("embedding", "r", lambda a, b: F.pow(F.round((a.cast("double") - b.cast("double")) * 1024), F.lit(2)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    near = vec.join(F.broadcast(first), "label").select("label", "vec_id", d.alias("dist")).withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("dist", "vec_id")) - 1).where(F.col("k") < size)
+    near = vec.join(first, "label").select("label", "vec_id", d.alias("dist")).withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("dist", "vec_id")) - 1).where(F.col("k") < size)
     return near.join(pt, ["label", "vec_id"]).select("label", "k", "vec_id", "i", "v")
 
 
@@ -190,9 +212,13 @@ def pixel_match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first patch of each label as its centroid."""
     vec = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    cents = vec.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("r")).agg(F.collect_list(F.struct("label", "r")).alias("cs"))
+    cents = vec.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("r"))
+    # blocks of centroids, a row each, so that no row holds more than about CENTROIDS of them; each vector is compared with every block
+    blocks = -(-cents.count() // CENTROIDS)
+    cents = cents.groupBy(F.pmod(F.xxhash64("label"), F.lit(max(1, blocks))).alias("block")).agg(F.collect_list(F.struct("label", "r")).alias("cs"))
     d = lambda c: F.struct(F.aggregate(F.zip_with("embedding", c["r"], lambda a, b: F.pow(F.round((a.cast("double") - b.cast("double")) * 1024), F.lit(2)).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x).alias("dist"), c["label"].alias("c"))
-    return vec.join(F.broadcast(cents)).select("vec_id", F.array_min(F.transform("cs", d)).alias("m")).select("vec_id", F.col("m.c").alias("centroid"), F.col("m.dist").alias("dist"))
+    each = vec.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, blocks - 1)).cast("long"))).alias("block")).join(cents, "block").select("vec_id", F.array_min(F.transform("cs", d)).alias("m"))
+    return each.groupBy("vec_id").agg(F.min("m").alias("m")).select("vec_id", F.col("m.c").alias("centroid"), F.col("m.dist").alias("dist"))
 
 
 @query("scalar_weights", PATCH_SQL + ", u AS (SELECT vec_id, i, v, v * v * 20 AS u FROM pt) SELECT vec_id, i, round(exp(-u), 6) AS welsch, round(greatest(1 - u, 0), 6) AS bisquare1, round(pow(greatest(1 - u, 0), 2), 6) AS bisquare2, round(pow(greatest(1 - u, 0), 8), 6) AS bisquare8, round(sign(v) * greatest(abs(v) - 0.05, 0), 6) + 0.0 AS soft, round(v + 0.1 * (u - v), 6) AS relaxed, round(v * v / (v * v + 0.04), 6) AS gain, CAST(round_even(v * 4294967296, 0) AS BIGINT) AS fixed, round(1 - abs(2 * (i % 8) + 1 - 8) / 8.0, 6) AS tent, round(exp(-greatest(u / 64 - 0.02, 0) / 0.04), 6) AS pnlm FROM u")
@@ -212,16 +238,16 @@ def sv_shrink_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("ok", ok).select("vec_id", "i", F.round(F.when(F.col("ok") == 1, (F.col("s") + F.sqrt(F.greatest(F.col("s") * F.col("s") - 0.25, F.lit(0.0)))) / 2).otherwise(0.0), 6).alias("s"))
 
 
-_RGB = CLIP_SQL + ", q AS (SELECT y, x, max(CASE WHEN n = 0 THEN c END) / 65536.0 AS r, max(CASE WHEN n = 1 THEN c END) / 65536.0 AS g, max(CASE WHEN n = 2 THEN c END) / 65536.0 AS b FROM px GROUP BY 1, 2)"
+_RGB = colour_sql(3, SCALE) + ", q AS (SELECT n, y, x, s0 AS r, s1 AS g, s2 AS b FROM z)"
 
 
-@query("colour_transforms", _RGB + " SELECT y, x, round((r + g + b) / sqrt(3), 6) AS o1, round((r - b) / sqrt(2), 6) + 0.0 AS o2, round((r - 2 * g + b) / sqrt(6), 6) + 0.0 AS o3, round(0.299 * r + 0.587 * g + 0.114 * b, 6) AS luma, round((b - (0.299 * r + 0.587 * g + 0.114 * b)) / 1.772, 6) + 0.0 AS u, round((r - (0.299 * r + 0.587 * g + 0.114 * b)) / 1.402, 6) + 0.0 AS v, round(r, 6) AS back FROM q")
+@query("colour_transforms", _RGB + " SELECT n, y, x, round((r + g + b) / sqrt(3), 6) AS o1, round((r - b) / sqrt(2), 6) + 0.0 AS o2, round((r - 2 * g + b) / sqrt(6), 6) + 0.0 AS o3, round(0.299 * r + 0.587 * g + 0.114 * b, 6) AS luma, round((b - (0.299 * r + 0.587 * g + 0.114 * b)) / 1.772, 6) + 0.0 AS u, round((r - (0.299 * r + 0.587 * g + 0.114 * b)) / 1.402, 6) + 0.0 AS v, round(r, 6) AS back FROM q")
 def colour_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W20, W21 on three frames as colour planes, and the first plane back from its opponents."""
-    q = events_clip(spark, sf_dir).groupBy("y", "x").agg(*[(F.max(F.when(F.col("n") == k, F.col("c"))) / SCALE).alias(c) for k, c in enumerate("rgb")])
+    """W20, W21 on each run of three frames as colour planes, and the first plane back from its opponents."""
+    q = colour(events_clip(spark, sf_dir), 3, SCALE).select("n", "y", "x", F.col("s0").alias("r"), F.col("s1").alias("g"), F.col("s2").alias("b"))
     o, t = S.opponent(F.col("r"), F.col("g"), F.col("b")), S.yuv(F.col("r"), F.col("g"), F.col("b"))
     r = lambda c: F.round(c, 6) + 0.0
-    return q.select("y", "x", *[r(c).alias(n) for c, n in zip((*o, *t), ("o1", "o2", "o3", "luma", "u", "v"), strict=True)], r(S.rgb_of_opponent(*o)[0]).alias("back"))
+    return q.select("n", "y", "x", *[r(c).alias(n) for c, n in zip((*o, *t), ("o1", "o2", "o3", "luma", "u", "v"), strict=True)], r(S.rgb_of_opponent(*o)[0]).alias("back"))
 
 
 @query("area_downsample", CLIP_SQL + " SELECT n, CAST(y // 2 AS INT) AS y, CAST(x // 2 AS INT) AS x, avg(c) AS v FROM px GROUP BY 1, 2, 3")
@@ -262,25 +288,26 @@ def scatter_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.join(sums, ["n", "y", "x"], "left").select("n", "y", "x", F.coalesce("num", F.lit(0)).alias("num"), F.coalesce("den", F.lit(0)).alias("den"), F.round(F.coalesce(S.finish(F.col("num"), F.col("den"), F.col("c"), 0), F.col("c").cast("double")), 6).alias("v"))
 
 
-@query("vaggregate", CLIP_SQL + " SELECT a.n, a.y, a.x, round(sum(a.c * (c.range + 1)) / 65536.0 / sum(c.range + 1), 6) AS v FROM px a, range(5) c WHERE abs(c.range - a.n) <= 1 GROUP BY 1, 2, 3")
+@query("vaggregate", CLIP_SQL + " SELECT a.n, a.y, a.x, round(sum(a.c * (c.range + 1)) / 65536.0 / sum(c.range + 1), 6) AS v FROM px a, (SELECT DISTINCT n AS range FROM px) c WHERE abs(c.range - a.n) <= 1 GROUP BY 1, 2, 3")
 def vaggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contributions (center, target, num, den) of three slices are summed by target."""
     px = events_clip(spark, sf_dir)
-    fat = grid.spread(px, "d", (-1, 0, 1)).withColumn("center", F.col("n") - F.col("d")).where(F.col("center").between(0, 4))
+    fat = grid.spread(px, "d", (-1, 0, 1)).withColumn("center", F.col("n") - F.col("d")).join(px.select(F.col("n").alias("center")).distinct(), "center", "left_semi")
     fat = fat.select("center", F.col("n").alias("target"), "y", "x", (F.col("c") / SCALE * (F.col("center") + 1)).alias("num"), (F.col("center") + 1).cast("double").alias("den"))
     sums = fat.groupBy("target", "y", "x").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
     return sums.select(F.col("target").alias("n"), "y", "x", F.round(F.col("num") / F.col("den"), 6).alias("v"))
 
 
-def nlm_plan(px: DataFrame, a: int, s: int, h: float, mode: int, d: int = 0, frames: int = 5, wref: float = 1.0) -> DataFrame:
+def nlm_plan(px: DataFrame, a: int, s: int, h: float, mode: int, d: int = 0, wref: float = 1.0) -> DataFrame:
     """(n, y, x, v); neighbours are clamped in time and space. px has v."""
     other = px.select(F.col("n").alias("_n"), F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("v").alias("q"))
-    pairs = grid.spread(grid.spread(grid.spread(px, "od", range(-d, d + 1)), "oy", range(-a, a + 1)), "ox", range(-a, a + 1)).where("od <> 0 OR oy <> 0 OR ox <> 0")
-    on = (grid.clamped(F.col("n") + F.col("od"), frames) == other._n) & (grid.clamped(F.col("y") + F.col("oy"), HEIGHT) == other._y) & (grid.clamped(F.col("x") + F.col("ox"), WIDTH) == other._x)
+    count = F.broadcast(frames_of(px))
+    pairs = grid.spread(grid.spread(grid.spread(px.crossJoin(count), "od", range(-d, d + 1)), "oy", range(-a, a + 1)), "ox", range(-a, a + 1)).where("od <> 0 OR oy <> 0 OR ox <> 0")
+    on = (grid.clamped(F.col("n") + F.col("od"), F.col("frames")) == other._n) & (grid.clamped(F.col("y") + F.col("oy"), HEIGHT) == other._y) & (grid.clamped(F.col("x") + F.col("ox"), WIDTH) == other._x)
     dist = pairs.join(other, on).select("n", "od", "oy", "ox", "y", "x", (3 * (F.col("v") - F.col("q")) * (F.col("v") - F.col("q"))).alias("e"))
     u = F.col("e") * (255.0 * 255.0 / (3 * h * h * (2 * s + 1) ** 2))
     w = box(dist, s, ["n", "od", "oy", "ox"], "e").withColumn("w", S.nlm_weight(u, mode))
-    at = w.join(other, (grid.clamped(F.col("n") + F.col("od"), frames) == other._n) & (grid.clamped(F.col("y") + F.col("oy"), HEIGHT) == other._y) & (grid.clamped(F.col("x") + F.col("ox"), WIDTH) == other._x))
+    at = w.crossJoin(count).join(other, (grid.clamped(F.col("n") + F.col("od"), F.col("frames")) == other._n) & (grid.clamped(F.col("y") + F.col("oy"), HEIGHT) == other._y) & (grid.clamped(F.col("x") + F.col("ox"), WIDTH) == other._x))
     sums = at.groupBy("n", "y", "x").agg(F.sum(F.col("w") * F.col("q")).alias("num"), F.sum("w").alias("den"), F.max("w").alias("most"))
     m = wref * F.greatest(F.col("most"), F.lit(S.EPSILON))
     return sums.join(px, ["n", "y", "x"]).select("n", "y", "x", F.round((m * F.col("v") + F.col("num")) / (m + F.col("den")), 6).alias("v"))
@@ -290,7 +317,7 @@ def _nlm_sql(a: int, s: int, h: float, mode: int, d: int) -> str:
     w = "exp(-u)" if mode == 0 else f"pow(greatest(1 - u, 0), {(1, 2, 8)[mode - 1]})"
     return CLIP_SQL + f""", z AS (SELECT n, y, x, c / 65536.0 AS v FROM px),
 o AS (SELECT od.range AS od, oy.range AS oy, ox.range AS ox FROM range({-d}, {d + 1}) od, range({-a}, {a + 1}) oy, range({-a}, {a + 1}) ox WHERE od.range <> 0 OR oy.range <> 0 OR ox.range <> 0),
-e AS (SELECT p.n, od, oy, ox, p.y, p.x, 3 * (p.v - q.v) * (p.v - q.v) AS e, q.v AS q FROM z p, o, z q WHERE q.n = greatest(0, least(4, p.n + od)) AND q.y = greatest(0, least({HEIGHT - 1}, p.y + oy)) AND q.x = greatest(0, least({WIDTH - 1}, p.x + ox))),
+e AS (SELECT p.n, od, oy, ox, p.y, p.x, 3 * (p.v - q.v) * (p.v - q.v) AS e, q.v AS q FROM z p, o, z q WHERE q.n = greatest(0, least((SELECT max(n) FROM px), p.n + od)) AND q.y = greatest(0, least({HEIGHT - 1}, p.y + oy)) AND q.x = greatest(0, least({WIDTH - 1}, p.x + ox))),
 f AS (SELECT n, od, oy, ox, y, x, q, greatest(0, least({HEIGHT - 1}, y + sy.range)) AS by, greatest(0, least({WIDTH - 1}, x + sx.range)) AS bx FROM e, range({-s}, {s + 1}) sy, range({-s}, {s + 1}) sx),
 b AS (SELECT f.n, f.od, f.oy, f.ox, f.y, f.x, any_value(f.q) AS q, sum(r.e) * {255.0 * 255.0 / (3 * h * h * (2 * s + 1) ** 2)!r} AS u FROM f JOIN e r ON r.n = f.n AND r.od = f.od AND r.oy = f.oy AND r.ox = f.ox AND r.y = f.by AND r.x = f.bx GROUP BY 1, 2, 3, 4, 5, 6),
 w AS (SELECT n, y, x, q, {w} AS w FROM b),
