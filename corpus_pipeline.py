@@ -7,38 +7,40 @@ All but the last return the columns of documents. The learned and iterated stage
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from selfsim.llm import decontaminate, languageid, pii, sentencepiece_fst, simhash
-from selfsim.llm.common import shared_dir
+from selfsim.llm.common import remove, scratch
 
 TOKENIZER = os.environ.get("PIPELINE_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
+#: Of the pseudonyms. The one that stands here is published, for measurements; a production run sets its own.
+PII_KEY = os.environ.get("PII_KEY", "published key for measurements").encode()
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those whose best language is hardly likelier than chance, go."""
+    """Documents without a letter go, null and empty texts among them, and those whose score is hardly better than chance
+    (languageid.MARGIN of the way from chance to certainty). Without any labelled document none goes."""
     return languageid.reject(docs, languageid.fit(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates one document stays, that with the smallest id, a null id last; a repeated row once."""
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a copy or a paraphrase of a benchmark item go."""
+    """Documents with a copy or a paraphrase of a benchmark item go, each by its own text."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal values are replaced in the texts."""
-    return pii.pseudonyms(docs).select(*docs.columns)
+    """Personal values and secrets are replaced in the texts; every row stays."""
+    return pii.pseudonyms(docs, PII_KEY).select(*docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, round_trip) of every document that is left."""
+    """(doc_id, n_tokens, ids, round_trip) of every document that is left; a null text has no tokens."""
     with open(TOKENIZER, "rb") as f:
         return sentencepiece_fst.encode(docs, f.read())
 
@@ -53,12 +55,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder as Parquet and read again by the next."""
+    """All stages over documents, each written to the shared folder as Parquet and read again by the next; a stage's table goes when the next one's is written, the last when the application ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
-        docs = spark.read.parquet(f"{top}/{name}")
+        there = scratch(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(there)
+        docs = spark.read.parquet(there)
+        if before:
+            remove(spark, before)
+        before = there
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

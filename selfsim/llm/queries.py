@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from selfsim.llm import chat, decontaminate, languageid, licenses, pii, quality, sentencepiece_fst, sharding, simhash, urls
 from selfsim.llm.common import scratch, table
 
@@ -16,6 +15,10 @@ from selfsim.llm.common import scratch, table
 TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
 
 
+#: Of the pseudonyms; published, for measurements, where PII_KEY is unset.
+PII_KEY = os.environ.get("PII_KEY", "published key for measurements").encode()
+
+
 def model_file(folder: str = TOKENIZERS, name: str = "piece_bpe_32k.model") -> bytes:
     with open(f"{folder}/{name}", "rb") as f:
         return f.read()
@@ -34,7 +37,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonyms(table(spark, sf_dir, "documents")).select("doc_id", "text", "pii_count", "pii_kinds")
+    return pii.pseudonyms(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "pii_count", "pii_kinds")
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,11 +77,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-_ALL = (op1_quality_rules, op2_license_scans, op3_sentencepiece, op4_pii, op5_chat_formatting, op6_simhash, op7_language_id, op8_sharding, op9_url_filters, op10_decontamination, pipeline)
+_ALL = (op1_quality_rules, op2_license_scans, op3_sentencepiece, op4_pii, op5_chat_formatting, op6_simhash, op7_language_id, op8_sharding, op9_url_filters, op10_decontamination)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-A model is compiled into three machines: the normaliser (rewrite rules, longest
-match first, then the escape of spaces), the lexicon (every piece, and a path of
+A model is compiled into three machines: the normaliser (a transducer of rewrite rules, longest
+match first, given as pairs or as a model's precompiled character map, then the escape of spaces), the lexicon (every piece, and a path of
 byte pieces for a character that no piece spells), and, for a byte-pair model, an acceptor of
 piece pairs. A text's encoding is the path of least weight, in the tropical
 semiring, through their composition with it. Unigram pieces weigh minus their score.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 import struct
 from collections.abc import Iterator
 
@@ -58,6 +59,87 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+class Rewriter:
+    """The normaliser's transducer: at each place the longest source that stands there is rewritten, any other character is copied.
+
+    Its arcs are a trie of UTF-8 bytes: of given rules, or the double array of a precompiled character map (a
+    32-bit size, the units, then the targets, each ended by a zero byte).
+    """
+
+    def __init__(self, rules: dict[str, str], blob: bytes = b"") -> None:
+        self.trie: dict = {}
+        for source, target in rules.items():
+            node = self.trie
+            for c in source.encode():
+                node = node.setdefault(c, {})
+            node[-1] = target.encode()
+        size = struct.unpack("<I", blob[:4])[0] if blob else 0
+        self.units, self.targets = np.frombuffer(blob[4 : 4 + size], "<u4").tolist(), blob[4 + size :]
+        self.known: dict[str, str] = {}
+
+    def __bool__(self) -> bool:
+        return bool(self.trie or self.units)
+
+    def longest(self, data: bytes, at: int) -> tuple[int, bytes]:
+        """(bytes of the longest source at a place, its target); 0 where there is none. Given rules come first."""
+        best, node = (0, b""), self.trie
+        for k in range(at, len(data)):
+            node = node.get(data[k])
+            if node is None:
+                break
+            if -1 in node:
+                best = k + 1 - at, node[-1]
+        if best[0] or not self.units:
+            return best
+        units, place = self.units, 0
+        offset = lambda u: (u >> 10) << ((u & 512) >> 6)
+        place ^= offset(units[0])
+        for k in range(at, len(data)):
+            place ^= data[k]
+            unit = units[place] if place < len(units) else 0
+            if unit & 0x800000FF != data[k]:
+                break
+            place ^= offset(unit)
+            if unit >> 8 & 1:
+                start = units[place] & 0x7FFFFFFF
+                best = k + 1 - at, self.targets[start : self.targets.index(0, start)]
+        return best
+
+    def rewrite(self, text: str) -> str:
+        """The output of the text's only path. Words are rewritten apart where no source has a space within, and remembered."""
+        return " ".join(map(self.word, text.split(" "))) if " " not in self.inner() else self.whole(text)
+
+    def inner(self) -> str:
+        """A space if a given rule's source has one within a longer source."""
+        if not hasattr(self, "_inner"):
+            self._inner = " " if any(c == 32 and len(n) > (-1 in n) for c, n in self.trie.items() if c >= 0) or self._spaced(self.trie) else ""
+        return self._inner
+
+    def _spaced(self, node: dict, depth: int = 0) -> bool:
+        return any(c >= 0 and (depth and c == 32 or self._spaced(n, depth + 1)) for c, n in node.items())
+
+    def word(self, text: str) -> str:
+        if text not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            out = self.whole(text)
+            if len(text) > 64:
+                return out
+            self.known[text] = out
+        return self.known[text]
+
+    def whole(self, text: str) -> str:
+        data, out, at = text.encode(), [], 0
+        while at < len(data):
+            n, target = self.longest(data, at)
+            if not n:
+                n = 1 if data[at] < 128 else 2 if data[at] < 224 else 3 if data[at] < 240 else 4
+                target = data[at : at + n]
+            out.append(target)
+            at += n
+        return b"".join(out).decode("utf-8", "replace")
+
+
 class Tokenizer:
     """A compiled model. rules: rewrite rules of the normaliser, source to target, besides those of the model file."""
 
@@ -65,23 +147,30 @@ class Tokenizer:
         if len(model) > MOST_MODEL_BYTES:
             raise ValueError(f"a model has {MOST_MODEL_BYTES} bytes at most")
         self.pieces: list[tuple[str, float, int]] = []
-        self.bpe, self.prefix, self.squeeze, self.rules = False, True, True, dict(rules or {})
+        self.bpe, self.prefix, self.squeeze, charmap = False, True, True, b""
         for number, value in _fields(model):
             if number == 1:
                 x = dict(_fields(value))
                 self.pieces.append((x[1].decode(), struct.unpack("<f", x.get(2, bytes(4)))[0], x.get(3, NORMAL)))
             elif number == 2:
-                self.bpe = dict(_fields(value)).get(3, 1) == 2
+                x = dict(_fields(value))
+                self.bpe = x.get(3, 1) == 2
+                if x.get(3, 1) > 2 or x.get(24):
+                    raise ValueError("unigram and byte-pair models with spaces before words are read, no others")
             elif number == 3:
                 x = dict(_fields(value))
-                if x.get(2):
-                    raise ValueError("give the rules of a precompiled character map as rules")
+                charmap = x.get(2, b"")
                 self.prefix, self.squeeze = bool(x.get(3, 1)), bool(x.get(4, 1))
+        self.rewriter = Rewriter(dict(rules or {}), charmap)
         self.ids = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER)}
-        self.weight = {p: -self.pieces[i][1] for p, i in self.ids.items()}
+        normal = [x[1] for x in self.pieces if x[2] == NORMAL]
+        user = [p for p, _, kind in self.pieces if kind == USER]
+        # a user's piece costs about as much as its characters would at the best score there is
+        self.weight = {p: -self.pieces[i][1] for p, i in self.ids.items()} | {p: 0.1 - len(p.encode()) * max(normal, default=0.0) for p in user}
+        self.users = re.compile("|".join(map(re.escape, sorted(user, key=len, reverse=True)))) if user else None
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.unknown = next((i for i, x in enumerate(self.pieces) if x[2] == UNKNOWN), 0)
-        self.least = max(self.weight.values(), default=0.0) + 10.0
+        self.least = -min(normal, default=0.0) + 10.0
         self.longest = max(map(len, self.ids), default=1)
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.ends = {p[k:] for p in self.ids for k in range(len(p))}
@@ -94,17 +183,15 @@ class Tokenizer:
         if self.bpe:
             self.compile_pairs()
         self.most, self.words, self.parts = cache, {}, {}
-        self.sources = max(map(len, self.rules), default=0)
 
     def normalise(self, text: str) -> str:
-        """The text after the normaliser's rules, before spaces are escaped."""
-        if self.rules:
-            out, at = [], 0
-            while at < len(text):
-                n = next((n for n in range(self.sources, 0, -1) if text[at : at + n] in self.rules), 0)
-                out.append(self.rules[text[at : at + n]] if n else text[at])
-                at += n or 1
-            text = "".join(out)
+        """The text after the normaliser's rules, before spaces are escaped. A user's pieces are not rewritten."""
+        if self.rewriter:
+            if self.users is None:
+                text = self.rewriter.rewrite(text)
+            else:
+                plain, own = self.users.split(text), self.users.findall(text)
+                text = "".join(x for pair in zip(map(self.rewriter.rewrite, plain), [*own, ""], strict=True) for x in pair)
         return " ".join(x for x in text.split(" ") if x) if self.squeeze else text
 
     def fallback(self, char: str) -> list[int]:
@@ -236,8 +323,21 @@ class Tokenizer:
         if not text:
             return []
         text = (MARK if self.prefix else "") + text.replace(" ", MARK)
-        if not self.spaced:
-            return self.escaped([text])[0]
+        if self.bpe and self.users is not None:
+            # a user's piece is a symbol of its own, that no merge reaches across
+            ids, at = [], 0
+            for m in self.users.finditer(text):
+                ids += [*self._encode(text[at : m.start()]), self.ids[m[0]]]
+                at = m.end()
+            ids += self._encode(text[at:])
+        else:
+            ids = self._encode(text)
+        return ids if self.bytes else [x for k, x in enumerate(ids) if not k or x != self.unknown or ids[k - 1] != x]
+
+    def _encode(self, text: str) -> list[int]:
+        """Piece ids of an escaped text; without byte pieces, one unknown for each character that no piece spells."""
+        if not self.spaced or not text:
+            return self.escaped([text])[0] if text else []
         parts, at = [], 0
         for k in range(1, len(text) + 1):
             if k == len(text) or text[k] == MARK and text[k - 1] != MARK:
@@ -253,7 +353,7 @@ class Tokenizer:
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of an array of texts: each distinct space-separated word is looked up once. Null: none."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if self.rules or self.squeeze or not self.prefix or not self.spaced:
+        if self.rewriter or self.users is not None or not self.bytes or self.squeeze or not self.prefix or not self.spaced:
             rows = [self.encode(t) for t in texts.to_pylist()]
             return np.cumsum([0, *map(len, rows)]), np.array([x for r in rows for x in r], np.int32)
         lists = pc.split_pattern(texts, " ")
@@ -310,7 +410,7 @@ def encode(docs: DataFrame, model: bytes, rules: tuple[tuple[str, str], ...] = (
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
-    """(doc_id, text) of rows (doc_id, ids); null ids give a null text."""
+    """(doc_id, text) of rows (doc_id, ids); null ids give a null text, empty ones an empty text. Repeated rows and null ids of documents stay; other columns are not read."""
     shipped = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

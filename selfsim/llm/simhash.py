@@ -256,8 +256,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, key: str =
 def keep_one(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFrame:
     """docs without near-duplicates: of each class one row stays, that with the smallest doc_id (null last), among these the smallest digest of its text.
 
-    A row that is repeated with its id and text stays once. What goes is told by (id, digest) in a
-    table of the shared folder, which Spark broadcasts while it is small; texts are shuffled only beyond that.
+    A row that is repeated with its id and text stays once. What goes is told by (id, digest); rows are shuffled once to meet it.
     """
     both = [F.col("doc_id").cast("long").alias("_id"), digest_of("text").alias("_digest")]
     fp = cut(fingerprints(docs, words, digest=True))
@@ -266,7 +265,8 @@ def keep_one(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFrame:
     told = rows.join(first, "class").select("doc_id", "digest", "n", (F.col("doc_id").eqNullSafe(F.col("x.doc_id")) & F.col("digest").eqNullSafe(F.col("x.digest"))).alias("stays"))
     told = stored(told.where("not stays or n > 1"))
     same = F.col("_id").eqNullSafe(F.col("doc_id_")) & F.col("_digest").eqNullSafe(F.col("digest_"))
-    keys = lambda df: df.select(F.col("doc_id").alias("doc_id_"), F.col("digest").alias("digest_"))
+    # one shuffle of the rows at any size: what goes is as many rows as the copies, too many to broadcast in a large corpus
+    keys = lambda df: df.select(F.col("doc_id").alias("doc_id_"), F.col("digest").alias("digest_")).hint("shuffle_hash")
     some = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *both).join(keys(told.where("not stays")), same, "left_anti")
     if not told.where("stays").isEmpty():
         again = keys(told.where("stays"))
