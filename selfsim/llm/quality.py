@@ -58,8 +58,8 @@ def judge(docs: DataFrame) -> DataFrame:
     df = texts_of(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     df = held(df, "words", F.filter(F.split("t", SPACE), lambda w: w != ""))
     df = held(df, "lines", F.filter(F.split("t", "\n"), lambda x: F.trim(x, F.lit(BLANK)) != ""))
-    df = held(df, "wins", F.array_sort(F.expr("IF(size(words) > 2, transform(sequence(0, greatest(size(words), 3) - 3), i -> named_struct('h', xxhash64(words[i], words[i + 1], words[i + 2]), 'i', i)), CAST(array() AS ARRAY<STRUCT<h: BIGINT, i: INT>>))")))
-    df = held(df, "at", F.expr("array_sort(array_distinct(flatten(filter(zip_with(wins, slice(wins, 2, size(wins)), (a, b) -> IF(a.h = b.h AND words[a.i] = words[b.i] AND words[a.i + 1] = words[b.i + 1] AND words[a.i + 2] = words[b.i + 2], array(a.i, b.i), NULL)), x -> x IS NOT NULL))))"))
+    df = held(df, "wins", F.sort_array(F.expr("IF(size(words) > 2, transform(sequence(0, greatest(size(words), 3) - 3), i -> named_struct('h', xxhash64(words[i], words[i + 1], words[i + 2]), 'i', i)), CAST(array() AS ARRAY<STRUCT<h: BIGINT, i: INT>>))")))
+    df = held(df, "at", F.expr("sort_array(array_distinct(flatten(filter(zip_with(wins, slice(wins, 2, size(wins)), (a, b) -> IF(a.h = b.h AND words[a.i] = words[b.i] AND words[a.i + 1] = words[b.i + 1] AND words[a.i + 2] = words[b.i + 2], array(a.i, b.i), NULL)), x -> x IS NOT NULL))))"))
     df = held(held(df, "low", F.lower("t")), "phrases", F.filter(F.array(*map(F.lit, BOILERPLATE)), lambda p: F.contains("low", p))).drop("low")
     df = held(df, "good", F.filter("lines", lambda x: good_line(x, F.col("phrases"))))
     chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
