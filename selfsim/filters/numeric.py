@@ -475,29 +475,15 @@ def lssc(win, centre, sigma=3.0, block_size=8, block_step=None, place=None, own_
 
 def cube_matches(basic: np.ndarray, cube: int, most: int, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(flat places (references, k), k) of the cubes nearest each reference within the limit, itself first, cut to powers of two; references by slices of a plane of them."""
-    step = [np.array(positions(n, cube, CUBE_STEP)) for n in basic.shape]
-    span, side = np.arange(cube), 2 * REACH + 1
+    step, side = [np.array(positions(n, cube, CUBE_STEP)) for n in basic.shape], 2 * REACH + 1
     for z in step[0]:
         rows = max(1, K.AT_ONCE // (len(step[2]) * side**3))
         for r in range(0, len(step[1]), rows):
             ys, xs = step[1][r : r + rows], step[2]
-            ref = basic[z : z + cube][:, (ys[:, None] + span).ravel()][:, :, (xs[:, None] + span).ravel()]
-            dist = np.full((len(ys), len(xs), side, side, side), np.inf)
+            dist = np.full((len(ys) * len(xs), side, side * side), np.inf)
             for i in range(max(-REACH, -z), min(REACH, basic.shape[0] - cube - z) + 1):
-                for j in range(-REACH, REACH + 1):
-                    up = np.flatnonzero((ys + j >= 0) & (ys + j + cube <= basic.shape[1]))
-                    if not len(up):
-                        continue
-                    strip = basic[z + i : z + i + cube][:, (ys[up, None] + j + span).ravel()]
-                    own = ref if len(up) == len(ys) else ref[:, (up[:, None] * cube + span).ravel()]
-                    for k in range(-REACH, REACH + 1):
-                        across = np.flatnonzero((xs + k >= 0) & (xs + k + cube <= basic.shape[2]))
-                        if not len(across):
-                            continue
-                        d = strip[:, :, (xs[across, None] + k + span).ravel()]
-                        d -= own if len(across) == len(xs) else own[:, :, (across[:, None] * cube + span).ravel()]
-                        d = np.square(d, out=d).sum(0).reshape(len(up), cube, -1).sum(1).reshape(len(up), len(across), cube).sum(2)
-                        dist[up[:, None], across, i + REACH, j + REACH, k + REACH] = d
+                # the cube's planes as channels of a block
+                dist[:, i + REACH] = K.windows(basic[z : z + cube], basic[z + i : z + i + cube], ys, xs, cube, REACH, REACH)
             dist = dist.reshape(len(ys) * len(xs), -1)
             dist[:, (REACH * side + REACH) * side + REACH] = -1
             count = np.minimum((dist <= limit).sum(1), most)

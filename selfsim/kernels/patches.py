@@ -22,6 +22,10 @@ LAMBDA, TINY = 2.7, 1e-12
 ODD = 1e300
 #: Array elements that a step works on at once.
 AT_ONCE = 1 << 21
+#: Elements of differences that stay in a core's cache.
+IN_CACHE = 1 << 15
+#: Elements of groups that are solved together.
+SOLVED_AT_ONCE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -57,30 +61,48 @@ class Matches:
         return Matches(self.dist[rows, :k], self.t[rows, :k], self.y[rows, :k], self.x[rows, :k], self.count[rows])
 
 
-def windows(guide: np.ndarray, t0: int, t: int, ys: np.ndarray, xs: np.ndarray, b: int, lo: int, hi: int) -> np.ndarray:
-    """(references, offsets) squared distances of the blocks at ys by xs of frame t0 to those of frame t at all offsets
-    [-lo, hi] squared, in raster order; inf outside the plane, ODD for what is not finite."""
-    h, w = guide.shape[2:]
-    span = np.arange(b)
-    rows, cols = (ys[:, None] + span).ravel(), (xs[:, None] + span).ravel()
-    ref = guide[t0][:, rows][:, :, cols]
-    out = np.full((len(ys), len(xs), lo + hi + 1, lo + hi + 1), np.inf)
-    for i in range(-lo, hi + 1):
-        up = np.flatnonzero((ys + i >= 0) & (ys + i <= h - b))
-        if not len(up):
-            continue
-        strip = guide[t][:, (ys[up, None] + i + span).ravel()]
-        own = ref if len(up) == len(ys) else ref[:, (up[:, None] * b + span).ravel()]
-        for j in range(-lo, hi + 1):
-            side = np.flatnonzero((xs + j >= 0) & (xs + j <= w - b))
-            if not len(side):
-                continue
-            d = np.take(strip, (xs[side, None] + j + span).ravel(), 2)
-            d -= own if len(side) == len(xs) else np.take(own, (side[:, None] * b + span).ravel(), 2)
-            np.square(d, out=d)
-            d = d.sum(0) if len(d) > 1 else d[0]
-            d = d.reshape(len(up), b, -1).sum(1).reshape(len(up), len(side), b).sum(2)
-            out[up[:, None], side, i + lo, j + lo] = np.where(np.isfinite(d), d, ODD)
+def even_parts(at: np.ndarray) -> list[np.ndarray]:
+    """Positions in parts of one step each: all but the last of a grid, and its last, if it doesn't follow the step."""
+    return [at] if len(at) < 3 or (np.diff(at) == at[1] - at[0]).all() else [at[:-1], at[-1:]]
+
+
+def windows(own: np.ndarray, other: np.ndarray, ys: np.ndarray, xs: np.ndarray, b: int, lo: int, hi: int) -> np.ndarray:
+    """(references, offsets) squared distances of the blocks at ys by xs of own (channels, h, w) to those of other at all offsets
+    [-lo, hi] squared, in raster order; inf outside the plane, ODD for what is not finite.
+
+    Rows of references are taken together as far as their differences stay in the cache; blocks and windows are views, and each
+    column of the blocks adds its squared differences.
+    """
+    (channels, h, w), side, view = own.shape, lo + hi + 1, np.lib.stride_tricks.as_strided
+    out = np.empty((len(ys), len(xs), side, side))
+    wide = np.pad(other, ((0, 0), (lo, hi), (lo, hi)), "edge")
+    for part_x in even_parts(xs) if len(xs) and len(ys) else []:
+        sx, nx, x0 = int(part_x[1] - part_x[0]) if len(part_x) > 1 else 1, len(part_x), int(part_x[0])
+        at_x = slice(int(np.searchsorted(xs, x0)), int(np.searchsorted(xs, x0)) + nx)
+        for part_y in even_parts(ys):
+            sy = int(part_y[1] - part_y[0]) if len(part_y) > 1 else 1
+            many = max(1, IN_CACHE // (channels * b * nx * side))
+            for r in range(0, len(part_y), many):
+                y0, ny = int(part_y[r]), len(part_y[r : r + many])
+                ref = np.ascontiguousarray(view(own[:, y0:, x0:], (channels, ny, b, nx, b), (own.strides[0], sy * own.strides[1], own.strides[1], sx * own.strides[2], own.strides[2])).transpose(4, 0, 1, 2, 3))[..., None]
+                first = int(np.searchsorted(ys, y0))
+                gap, total = np.empty((channels, ny, b, nx, side)), out[first : first + ny, at_x]
+                for i in range(side):
+                    for c in range(b):
+                        near = view(wide[:, y0 + i :, x0 + c :], (channels, ny, b, nx, side), (wide.strides[0], sy * wide.strides[1], wide.strides[1], sx * wide.strides[2], wide.strides[2]))
+                        np.subtract(near, ref[c], out=gap)
+                        np.multiply(gap, gap, out=gap)
+                        if c:
+                            total[:, :, i] += gap.sum((0, 2))
+                        else:
+                            total[:, :, i] = gap.sum((0, 2))
+    out[~np.isfinite(out)] = ODD
+    off = np.arange(-lo, hi + 1)
+    for axis, at, last in ((0, ys, h - b), (1, xs, w - b)):
+        beyond = (at[:, None] + off < 0) | (at[:, None] + off > last)
+        if beyond.any():
+            # (references of the axis, offsets of the axis) first
+            out.transpose((0, 2, 1, 3) if axis == 0 else (1, 3, 0, 2))[beyond] = np.inf
     return out.reshape(len(ys) * len(xs), -1)
 
 
@@ -106,7 +128,7 @@ def search(guide: np.ndarray, t0: int, ys: np.ndarray, xs: np.ndarray, b: int, l
     frames, _, h, w = guide.shape
     ry, rx = (a.ravel() for a in np.meshgrid(ys, xs, indexing="ij"))
     side = lo + hi + 1
-    dist = windows(guide, t0, t0, ys, xs, b, lo, hi)
+    dist = windows(guide[t0], guide[t0], ys, xs, b, lo, hi)
     dist[:, lo * side + lo] = -1
     best = first_of(dist, max(k, ps_num))
     got = lambda d, place: np.take_along_axis(d, place, 1)
@@ -146,7 +168,7 @@ def search(guide: np.ndarray, t0: int, ys: np.ndarray, xs: np.ndarray, b: int, l
 def dense_search(guide: np.ndarray, centre: int, ys: np.ndarray, xs: np.ndarray, b: int, a: int, k: int) -> Matches:
     """The k nearest blocks within a pixels in every frame of the window, the reference first, then by distance, t, y, x."""
     side, n = 2 * a + 1, (2 * a + 1) ** 2
-    dist = np.concatenate([windows(guide, centre, t, ys, xs, b, a, a) for t in range(len(guide))], 1)
+    dist = np.concatenate([windows(guide[centre], guide[t], ys, xs, b, a, a) for t in range(len(guide))], 1)
     dist[:, centre * n + a * side + a] = -1
     best = first_of(dist, k)
     ry, rx = (v.ravel()[:, None] for v in np.meshgrid(ys, xs, indexing="ij"))
@@ -168,11 +190,11 @@ def blocks_of(stack: np.ndarray, found: Matches, b: int) -> np.ndarray:
 
 
 def in_groups(found: Matches, size: int, power: bool = False) -> Iterator[Matches]:
-    """Parts of matches of equal counts, of about AT_ONCE elements with size for a block; power: cut to the largest power of two."""
+    """Parts of matches of equal counts, of about SOLVED_AT_ONCE elements with size for a block; power: cut to the largest power of two."""
     count = 1 << (np.log2(np.maximum(found.count, 1)).astype(np.int64)) if power else found.count
     for k in np.unique(count):
         rows = np.flatnonzero(count == k)
-        step = max(1, AT_ONCE // (int(k) * size))
+        step = max(1, SOLVED_AT_ONCE // (int(k) * size))
         for r in range(0, len(rows), step):
             yield found.some(rows[r : r + step], int(k))
 
@@ -223,12 +245,27 @@ def shrink(s: np.ndarray, c: float, start: int = 0) -> np.ndarray:
     return out
 
 
+def economy(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values (n, k), falling, and right singular vectors (n, k, k) in columns of y (n, m, k), from the k by k products.
+
+    Values below about 1e-8 of the largest are rounding; what the filters do with them is to drop them.
+    """
+    e, v = np.linalg.eigh(y.transpose(0, 2, 1) @ y)
+    return np.sqrt(np.maximum(e[:, ::-1], 0)), v[:, :, ::-1]
+
+
+def scaled(y: np.ndarray, s: np.ndarray, new: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """y with its singular values replaced."""
+    return y @ ((v * (new / np.maximum(s, 1e-300))[:, None]) @ v.transpose(0, 2, 1))
+
+
 def wnnm_groups(y: np.ndarray, sigma: float, residual: bool) -> tuple[np.ndarray, np.ndarray]:
     """y (n, m, k): weighted nuclear norm shrinkage, and the ranks kept."""
     mean = y.mean(2, keepdims=True) if residual else 0.0
-    u, s, v = np.linalg.svd(y - mean, full_matrices=False)
-    s = shrink(s, 8 * math.sqrt(2 * y.shape[2]) * sigma * sigma, 0 if residual else 1)
-    return (u * s[:, None]) @ v + mean, (s > 0).sum(1)
+    y = y - mean
+    s, v = economy(y)
+    new = shrink(s, 8 * math.sqrt(2 * y.shape[2]) * sigma * sigma, 0 if residual else 1)
+    return scaled(y, s, new, v) + mean, (new > 0).sum(1)
 
 
 def mcwnnm_groups(y: np.ndarray, sigmas: np.ndarray, residual: bool, rounds: int = 10, rho: float = 3.0, mu: float = 1.001) -> tuple[np.ndarray, np.ndarray]:
@@ -240,9 +277,10 @@ def mcwnnm_groups(y: np.ndarray, sigmas: np.ndarray, residual: bool, rounds: int
     c, z, a, rank = 8 * math.sqrt(2 * y.shape[2]) * least**2, np.zeros_like(y), np.zeros_like(y), np.zeros(len(y), int)
     for _ in range(rounds):
         x = (w * y + rho / 2 * (z - a / rho)) / (w + rho / 2)
-        u, s, v = np.linalg.svd(x + a / rho, full_matrices=False)
-        s = shrink(s, c * 2 / rho, 0 if residual else 1)
-        z, rank = (u * s[:, None]) @ v, (s > 0).sum(1)
+        near = x + a / rho
+        s, v = economy(near)
+        new = shrink(s, c * 2 / rho, 0 if residual else 1)
+        z, rank = scaled(near, s, new, v), (new > 0).sum(1)
         a, rho = a + rho * (x - z), min(1e4, mu * rho)
     return z + mean, rank
 
@@ -250,8 +288,11 @@ def mcwnnm_groups(y: np.ndarray, sigmas: np.ndarray, residual: bool, rounds: int
 def ncsr_groups(y: np.ndarray, dist: np.ndarray, sigma: float) -> np.ndarray:
     """Centralised sparse coding of y (n, m, k) in its own left singular basis."""
     mean = y.mean(2, keepdims=True)
-    u, s, v = np.linalg.svd(y - mean, full_matrices=False)
-    coef = s[:, :, None] * v
+    y = y - mean
+    s, v = economy(y)
+    # a basis vector of a value that is only rounding has no part in any patch
+    u = (y @ v) * np.where(s > 1e-7 * s[:, :1], 1 / np.maximum(s, 1e-300), 0)[:, None]
+    coef = s[:, :, None] * v.transpose(0, 2, 1)
     w = np.exp(-dist / max(2 * y.shape[1] * sigma**2, TINY))
     beta = coef @ (w / w.sum(1, keepdims=True))[:, :, None]
     d = coef - beta

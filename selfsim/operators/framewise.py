@@ -61,7 +61,7 @@ def cells(pixels: DataFrame) -> DataFrame:
     """(n, channel, height, width, cy, cx, h, w, v): a plane's size, a cell's place and size, and its samples in raster order."""
     size = pixels.groupBy("n", "channel").agg((F.max("y") + 1).cast("int").alias("height"), (F.max("x") + 1).cast("int").alias("width"))
     own = pixels.groupBy("n", "channel", F.expr(f"CAST(y div {CELL} * {CELL} AS INT)").alias("cy"), F.expr(f"CAST(x div {CELL} * {CELL} AS INT)").alias("cx"))
-    own = own.agg((F.max("y") - F.min("y") + 1).cast("int").alias("h"), (F.max("x") - F.min("x") + 1).cast("int").alias("w"), F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda p: p["v"].cast("double")).alias("v"))
+    own = own.agg((F.max("y") - F.min("y") + 1).cast("int").alias("h"), (F.max("x") - F.min("x") + 1).cast("int").alias("w"), F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "v"))), lambda p: p["v"].cast("double")).alias("v"))
     return own.join(size, ["n", "channel"])
 
 

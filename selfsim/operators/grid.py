@@ -40,4 +40,4 @@ def blocks(pixels: DataFrame, h: int, w: int, block: int) -> DataFrame:
     out = spread(spread(pixels, "py", range(block)), "px", range(block))
     out = out.select("n", (F.col("y") - F.col("py")).alias("y"), (F.col("x") - F.col("px")).alias("x"), F.struct((F.col("py") * block + F.col("px")).alias("i"), "c").alias("s"))
     out = out.where((F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") <= h - block) & (F.col("x") <= w - block))
-    return out.groupBy("n", "y", "x").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["c"]).alias("p"))
+    return out.groupBy("n", "y", "x").agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["c"]).alias("p"))

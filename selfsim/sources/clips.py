@@ -45,7 +45,7 @@ def embedding_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each plane: keys, h, w and its samples v in raster order."""
-    return pixels.groupBy(*keys).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda p: p["v"]).alias("v"))
+    return pixels.groupBy(*keys).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "v"))), lambda p: p["v"]).alias("v"))
 
 
 #: The same clip in SQL, as the start of a WITH list: px(n, y, x, c).

@@ -157,3 +157,53 @@ def test_places_see_the_planes_own_grid():
     part = win[:, :, 17:90, 9:71]
     got = K.divide(*N.bm3d(part, 0, sigma=10.0, bm_range=5, place=place), part)
     assert np.allclose(got[:, :, 27:-27, 27:-27], whole[:, :, 17 + 27 : 90 - 27, 9 + 27 : 71 - 27], atol=1e-10)
+
+
+def test_tiles_give_the_whole_planes_pixels(spark):
+    """Tiles with halos, whole planes and sums of contributions are the same frames, for every filter that takes tiles."""
+    from functools import partial
+
+    from selfsim.operators import framewise
+
+    rng = np.random.default_rng(7)
+    h, w = 70, 90
+    stack = window(1, 1, h, w)
+    px = spark.createDataFrame([(0, 0, int(y), int(x), float(stack[0, 0, y, x])) for y in range(h) for x in range(w)], "n int, channel int, y int, x int, v double")
+    small = {"bm_range": 3, "block_size": 4, "block_step": 4}
+    for work in (partial(N.bm3d, sigma=9.0, **small), partial(N.bm3d, sigma=9.0, final=1, **small), partial(N.wnnm, sigma=9.0, **small), partial(N.ncsr, sigma=9.0, **small), partial(N.twsc, sigma=9.0, search_window=5, block_size=4, block_step=4), partial(N.pnlm, sigma=9.0), partial(N.nlm, d=0, h=9.0, s=2)):
+        halo = N.reach(work.func.__name__, **work.keywords)
+        want = K.divide(*work(stack, 0), stack)[0, 0]
+        for run in (framewise.apply, lambda p, f, tiling: framewise.aggregate(framewise.contributions(p, f, tiling=tiling), p)):
+            got = {(r.y, r.x): r.v for r in run(px, work, tiling=framewise.Tiling(halo, edge=32)).collect()}
+            assert len(got) == h * w and max(abs(got[y, x] - want[y, x]) for y in range(h) for x in range(w)) < 1e-9, work
+    tiles = framewise.Tiling(N.PATCH - N.MID - 1, edge=N.TILE, even=True, crop=False)
+    guide = np.round(stack, 2)
+    gx = spark.createDataFrame([(0, 0, int(y), int(x), float(guide[0, 0, y, x])) for y in range(h) for x in range(w)], "n int, channel int, y int, x int, v double")
+    got = {(r.y, r.x): r.v for r in framewise.apply(px, partial(N.da3d, sigma=9.0), guide=gx, tiling=tiles).collect()}
+    want = K.divide(*N.da3d(stack, 0, guide, 9.0), stack)[0, 0]
+    assert max(abs(got[y, x] - want[y, x]) for y in range(h) for x in range(w)) < 1e-9
+    noise = framewise.noise_of(px).first()
+    total, groups = N.noise(stack[0, 0], stack[0, 0])
+    assert noise["groups"] == groups and abs(noise.sigma - total / groups) < 1e-12
+
+
+def test_group_map_is_the_hook_of_the_group_filters(spark):
+    from selfsim.operators import framewise
+
+    stack = window(1, 1, 40, 40)
+    px = spark.createDataFrame([(0, 0, int(y), int(x), float(stack[0, 0, y, x])) for y in range(40) for x in range(40)], "n int, channel int, y int, x int, v double")
+    spots = lambda win, place, t: K.spots_of(win, place, 4, 4, 3, 3, 8)(t)
+    mean = lambda groups, found: (np.repeat(groups.mean(1, keepdims=True), groups.shape[1], 1), 1.0)
+    got = {(r.y, r.x): r.v for r in framewise.group_map(px, spots, mean, 4, 7).collect()}
+    num, den = K.collect(stack, 0, lambda t: spots(stack, K.Place.whole(stack), t), lambda found: mean(K.blocks_of(stack, found, 4), found), 4)
+    want = K.divide(num, den, stack)[0, 0]
+    assert max(abs(got[k] - want[k]) for k in got) < 1e-9
+
+
+def test_luma_at_chroma_size():
+    luma = window(1, 1, 32, 40)
+    assert np.allclose(N.reduced(luma, 16, 20)[0, 0, 3, 5], luma[0, 0, 6:8, 10:12].mean()) and N.reduced(luma, 32, 20).shape == (1, 1, 32, 20)
+    planes = [luma, window(1, 1, 16, 20, seed=2), window(1, 1, 16, 20, seed=3)]
+    out = N.nlh_planes(planes, 0, sigma=(8.0, 8.0, 0.0), search_window=8, basic_iters=1)
+    assert [n.shape for n, _ in out] == [p.shape for p in planes] and np.allclose(K.divide(*out[2], planes[2]), planes[2])
+    assert all(np.isfinite(n).all() for n, _ in out) and not np.allclose(K.divide(*out[1], planes[1]), planes[1])
