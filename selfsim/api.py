@@ -11,17 +11,25 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
-from functools import partial
+from functools import partial, wraps
+from inspect import signature
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from selfsim.filters import numeric as N
+from selfsim.kernels.patches import NumericalFailure  # noqa: F401
 from selfsim.operators import framewise
 from selfsim.operators.grid import positions
 
 #: Least float that is normal, largest float, bytes of frames that a window may pin, samples of a patch grid.
 TINY_FLOAT, LARGE_FLOAT, PINNED, GRID = 1.1754943508222875e-38, 3.4028234663852886e38, 2 << 30, 16_000_000
+#: The filters' numbers in order, their versions where they aren't 2, the version and layout of contributions.
+MODELS = ("BM3D", "WNNM", "MCWNNM", "TWSC", "NCSR", "NLH", "LSSC", "NLM")
+VERSIONS = {"NLH": 7, "TWSC": 6, "NCSR": 3, "LSSC": 4, "BM3D": 3}
+FAT_VERSION, FAT_LAYOUT = 2, 1
 DA3D_TILES = framewise.Tiling(N.PATCH - N.MID - 1, edge=N.TILE, even=True, crop=False)
 GROUP_FILTERS = ("BM3D", "WNNM", "MCWNNM", "NCSR", "TWSC", "NLH")
 
@@ -30,10 +38,31 @@ class InvalidInput(ValueError):
     """An argument or a clip that the filter doesn't take."""
 
 
+class Unsupported(InvalidInput):
+    """An argument that is known and has no implementation."""
+
+
 class ResourceFailure(MemoryError):
     """A window larger than memory_limit_mb."""
 
 
+@dataclass(frozen=True)
+class Identity:
+    """What made a frame: the filter's number and version, and how it reads sigma; of contributions also the version and layout of their table."""
+
+    model: int
+    model_version: int
+    noise_profile: int
+    fat_version: int | None = None
+    fat_radius: int | None = None
+    fat_layout: int | None = None
+
+    @classmethod
+    def of(cls, name: str, radius: int | None = None) -> Identity:
+        at = MODELS.index(name)
+        return cls(at + 1, VERSIONS.get(name, 2), int(name == "BM3D"), *((FAT_VERSION, radius, FAT_LAYOUT) if radius is not None else ()))
+
+
 @dataclass(frozen=True)
 class Clip:
     """family is GRAY, YUV or RGB; subsampling the binary logarithms of the chroma planes' reduction."""
@@ -44,6 +73,7 @@ class Clip:
     frames: int
     family: str = "GRAY"
     subsampling: tuple[int, int] = (0, 0)
+    identity: Identity | None = None
 
     @staticmethod
     def of(pixels: DataFrame, family: str = "GRAY", subsampling: tuple[int, int] = (0, 0)) -> Clip:
@@ -66,12 +96,12 @@ class Clip:
 
 @dataclass(frozen=True)
 class Contributions:
-    """Sums to be: (center, target, channel, h, w, num, den), with what they were made by."""
+    """Sums to be: (center, target, channel, y0, x0, w, num, den), with what they were made by; untagged ones have no identity."""
 
     rows: DataFrame
     radius: int
-    model: str
     shape: tuple
+    identity: Identity | None = None
 
 
 Check = Callable[[bool, str], None]
@@ -116,7 +146,11 @@ def _admit(name: str, clip: Clip, window: int, memory_limit_mb: int | None) -> N
 def _temporal(check: Check, radius: int, temporal_mode: str, rolling_chunk: int, rolling_cache_limit: int | None, rolling_cache_chunks: int | None) -> bool:
     """Whether finished frames are asked for. The cache sizes are checked only: Spark reuses what it needs."""
     mode = temporal_mode.lower()
-    check(mode != "fused", "temporal_mode=fused is not supported; use rolling or legacy")
+    if mode == "fused":
+        try:
+            check(False, "temporal_mode=fused is not supported; use rolling or legacy")
+        except InvalidInput as e:
+            raise Unsupported(str(e)) from None
     check(mode in ("", "rolling", "legacy"), "temporal_mode must be rolling or legacy")
     if mode != "rolling" or radius <= 0:
         return False
@@ -141,13 +175,14 @@ def _copy(win, centre, *_, place=None):  # noqa: ANN001, ANN202
 def _finish(name: str, clip: Clip, units: Sequence[framewise.Unit], radius: int, rolling: bool, chunk: int = 4, guide: Clip | None = None) -> Clip | Contributions:
     """Frames at radius 0 or when rolling; otherwise contributions, copied planes as identity slices."""
     theirs, tiling = None if guide is None else guide.pixels, _tiling(units)
+    made = replace(clip, identity=Identity.of(name))
     if rolling:
-        return replace(clip, pixels=framewise.rolling(clip.pixels, units, radius, chunk, theirs, tiling))
+        return replace(made, pixels=framewise.rolling(clip.pixels, units, radius, chunk, theirs, tiling))
     if not radius:
-        return replace(clip, pixels=framewise.apply(clip.pixels, units, 0, theirs, tiling) if units else clip.pixels)
+        return replace(made, pixels=framewise.apply(clip.pixels, units, 0, theirs, tiling) if units else clip.pixels)
     filtered = {c for channels, _ in units for c in channels}
     copied = [((c,), _copy) for c in range(clip.planes) if c not in filtered]
-    return Contributions(framewise.contributions(clip.pixels, [*units, *copied], radius, theirs, tiling), radius, name, clip.shape())
+    return Contributions(framewise.contributions(clip.pixels, [*units, *copied], radius, theirs, tiling), radius, clip.shape(), Identity.of(name, radius))
 
 
 def _each(sigmas: Sequence[float], work: Callable, arguments: Callable[[int], dict]) -> list[framewise.Unit]:
@@ -225,7 +260,7 @@ def nlm(clip: Clip, d=1, a=2, s=4, h=1.2, channels="AUTO", wmode=0, wref=1.0, rc
     check(rclip is None or rclip.shape() == clip.shape(), "rclip must match clip")
     _admit("NLM", clip, 2 * d + 1, memory_limit_mb)
     work = partial(N.nlm, d=d, a=a, s=s, h=h, channels=mode, wmode=wmode, wref=wref)
-    return replace(clip, pixels=framewise.apply(clip.pixels, [(used, work)], d, None if rclip is None else rclip.pixels, _tiling([(used, work)])))
+    return replace(clip, identity=Identity.of("NLM"), pixels=framewise.apply(clip.pixels, [(used, work)], d, None if rclip is None else rclip.pixels, _tiling([(used, work)])))
 
 
 def _small_sigma(check: Check, sigmas: Sequence[float]) -> None:
@@ -439,19 +474,90 @@ def da3d(clip: Clip, ref: Clip, sigma=3.0, memory_limit_mb=None) -> Clip:  # noq
     return replace(clip, pixels=framewise.apply(clip.pixels, units, 0, ref.pixels, DA3D_TILES))
 
 
-def vaggregate(contributions: Contributions, src: Clip, radius: int = 0, planes: Sequence[int] | None = None, memory_limit_mb=None) -> Clip:  # noqa: ANN001
-    """the sums of the contributions over the centres, divided; planes that aren't selected are the source's."""
+def vaggregate(contributions: Contributions | Sequence[Contributions], src: Clip, radius: int = 0, planes: Sequence[int] | None = None, allow_legacy: int = 0, memory_limit_mb=None) -> Clip:  # noqa: ANN001
+    """the sums of the contributions over the centres, divided; planes that aren't selected are the source's.
+
+    Several tables are summed together if they are of one filter. Those without an identity are taken only with allow_legacy.
+    """
     check = _checker("VAggregate")
+    parts = [contributions] if isinstance(contributions, Contributions) else list(contributions)
     check(_clip_ok(src), "constant 32f clips required")
     check(0 <= radius <= 16, "radius must be in [0, 16]")
     chosen = list(range(src.planes)) if planes is None else list(planes)
     check(all(0 <= c < src.planes for c in chosen) and len(set(chosen)) == len(chosen), "planes must contain unique valid plane indices")
-    check(contributions.shape == src.shape(), "clip must match src format, width, and frame count, with height=src.height*(2*radius+1)*2")
-    check(contributions.radius == radius and contributions.model in GROUP_FILTERS, "incompatible contribution identity")
+    check(bool(parts) and all(p.shape == src.shape() for p in parts), "clip must match src format, width, and frame count, with height=src.height*(2*radius+1)*2")
+    for part in parts:
+        check(part.identity is not None or bool(allow_legacy), "missing or invalid contribution identity")
+        if part.identity is None:
+            check(part.radius == radius, "incompatible contribution identity")
+        else:
+            model = part.identity.model
+            known = 1 <= model <= len(GROUP_FILTERS) and part.identity == Identity.of(MODELS[model - 1], radius)
+            check(known and part.radius == radius, "incompatible contribution identity")
+    check(len({p.identity for p in parts}) == 1, "mixed contribution models")
     _admit("VAggregate", src, 2 * radius + 1, memory_limit_mb)
-    return replace(src, pixels=framewise.aggregate(contributions.rows.where(F.col("channel").isin(chosen)), src.pixels))
+    rows = parts[0].rows
+    for part in parts[1:]:
+        rows = rows.unionByName(part.rows)
+    made = None if parts[0].identity is None else replace(parts[0].identity, fat_version=None, fat_radius=None, fat_layout=None)
+    return replace(src, pixels=framewise.aggregate(rows.where(F.col("channel").isin(chosen)), src.pixels), identity=made)
+
+
+def properties(made: Clip | Contributions) -> DataFrame:
+    """(n and the identity's fields), a row for each frame; of contributions a row for each centre, with fat_center."""
+    told = made.identity.__dict__ if made.identity else {f: None for f in Identity.__dataclass_fields__}
+    frames = made.rows.select(F.col("center").alias("n")).distinct().withColumn("fat_center", F.col("n")) if isinstance(made, Contributions) else made.pixels.select(F.col("n").cast("long").alias("n")).distinct()
+    return frames.select("*", *[F.lit(v).cast("int").alias(f) for f, v in told.items()])
+
+
+def twsc_diagnostics(clip: Clip, sigma: float | Sequence[float] = 3.0, **shape) -> DataFrame:  # noqa: ANN003
+    """(n, groups, max_iter_groups, direct_groups, residual): of each frame, filtered by itself, what the solver says of the last round's groups."""
+    given = tuple(_floats(sigma, clip.planes))
+
+    def work(win, centre, place=None):  # noqa: ANN001, ANN202
+        told: list = []
+        N.twsc(win, centre, sigma=given, place=place, told=told, **shape)
+        rounds, residual, direct = (np.concatenate([getattr(t, f) for t in told] or [np.zeros(0)]) for f in ("rounds", "residual", "direct"))
+        return pd.DataFrame([(len(rounds), int((rounds >= shape.get("admm_iter", 10)).sum()), int(direct.sum()), float(residual.max(initial=0)))], columns=["groups", "max_iter_groups", "direct_groups", "residual"])
+
+    return framewise.statistics(clip.pixels, work, "groups long, max_iter_groups long, direct_groups long, residual double").drop("channel")
+
+
+def da3d_diagnostics(clip: Clip, ref: Clip, sigma: float = 3.0) -> DataFrame:
+    """(n, patches, guide_only): of each grey frame the patches of all tiles, and those that took the guide's samples."""
+    both = clip.pixels.where("channel = 0").unionByName(ref.pixels.where("channel = 0").withColumn("channel", F.lit(1)))
+
+    def work(win, centre, place=None):  # noqa: ANN001, ANN202
+        told: list = []
+        N.da3d(win[:, :1], centre, win[:, 1:], sigma, place, told)
+        return pd.DataFrame([(sum(p for p, _ in told), sum(g for _, g in told))], columns=["patches", "guide_only"])
+
+    return framewise.statistics(both, work, "patches long, guide_only long").drop("channel")
+
+
+def _representable(name: str, value: object) -> None:
+    """Whole numbers fit 32 bits, others are finite single floats; the first that doesn't is named."""
+    for k, v in enumerate(value if isinstance(value, (list, tuple)) else [value]):
+        if isinstance(v, int) and not isinstance(v, bool) and not -(2**31) <= v < 2**31:
+            raise InvalidInput(f"parameter {name}[{k}] is not representable as a finite int")
+        if isinstance(v, float) and not (math.isfinite(v) and abs(v) <= LARGE_FLOAT):
+            raise InvalidInput(f"parameter {name}[{k}] is not representable as a finite float")
+
+
+def _guarded(f: Callable) -> Callable:
+    """f, whose numbers are checked before anything else."""
+
+    @wraps(f)
+    def call(*args, **named):  # noqa: ANN002, ANN003, ANN202
+        for name, value in signature(f).bind(*args, **named).arguments.items():
+            if isinstance(value, (int, float, list, tuple)):
+                _representable(name, value)
+        return f(*args, **named)
+
+    return call
 
 
+bm3d, nlm, pnlm, wnnm, mcwnnm, ncsr, lssc, twsc, nlh, bm4d, da3d, vaggregate = map(_guarded, (bm3d, nlm, pnlm, wnnm, mcwnnm, ncsr, lssc, twsc, nlh, bm4d, da3d, vaggregate))
 FILTERS = {f.__name__: f for f in (bm3d, nlm, pnlm, wnnm, mcwnnm, ncsr, lssc, twsc, nlh, bm4d, da3d, vaggregate)}
 
 

@@ -89,6 +89,11 @@ def reach(work: str, **a) -> int | None:  # noqa: ANN003
     return None
 
 
+def _finite(*stacks: np.ndarray | None) -> None:
+    if any(v is not None and not np.isfinite(v).all() for v in stacks):
+        raise K.NumericalFailure("samples must be finite")
+
+
 def _copied(win: np.ndarray, centre: int, sigmas: np.ndarray, parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The contributions, with identity slices for the channels whose sigma is 0."""
     keep = (sigmas > 0)[None, :, None, None]
@@ -164,7 +169,7 @@ def noise(plane: np.ndarray, guide: np.ndarray, place: Place | None = None, core
         total += float(np.sqrt((gap**2).mean(3)).sum()) / (m * (q - 1))
         groups += len(v)
     if not math.isfinite(total):
-        raise ArithmeticError("the blind noise estimate is not finite")
+        raise K.NumericalFailure("the blind noise estimate is not finite")
     return total, groups
 
 
@@ -184,6 +189,7 @@ def twsc(win, centre, rclip=None, sigma=3.0, block_size=8, block_step=None, grou
     told, a list, gets of the last round's groups what their solver says.
     """
     step, lo, place = block_step or min(8, block_size), search_window // 2, place or Place.whole(win)
+    _finite(win, rclip)
     s = blind(win, rclip, False) if estimate_sigma else np.tile(per_channel(sigma, win.shape[1]), (len(win), 1))
     used = np.flatnonzero((s > 0).all(0))
     more = dict(block_size=block_size, block_step=step, group_size=group_size, search_window=search_window, radius=radius, ps_num=ps_num, ps_range=ps_range, lambda2=lambda2, iters=iters, delta=delta, admm_iter=admm_iter, rho=rho, mu=mu, tol=tol, place=place, told=told)
@@ -252,6 +258,7 @@ def nlh(win, centre, rclip=None, sigma=None, block_size=None, block_step=None, g
 
 def nlh_planes(planes, centre, rclip=None, sigma=None, block_size=None, block_step=None, group_size=16, search_window=(24, 16), q=None, radius=0, ps_num=2, ps_range=4, basic_iters=3, lambda_basic=0.6, hard_strength=1.0, wiener_iters=2, wiener_sigma_scale=0.32, place=None):  # noqa: ANN001, ANN201
     """nlh of planes (frames, 1, h, w), each of its own size: luma, brought to a smaller plane's size by means over areas, finds the groups of all."""
+    _finite(*planes, *(rclip or ()))
     shapes = [p.shape[2:] for p in planes]
     places = place or [Place.whole(p) for p in planes]
     guides = lambda luma: [luma if shape == shapes[0] else reduced(luma, *shape) for shape in shapes]

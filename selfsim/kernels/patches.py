@@ -28,6 +28,10 @@ IN_CACHE = 1 << 15
 SOLVED_AT_ONCE = 1 << 18
 
 
+class NumericalFailure(ArithmeticError):
+    """Samples or sums that aren't finite, where a filter needs them so."""
+
+
 @dataclass(frozen=True)
 class Place:
     """A window of a plane of height by width pixels: its first row and column."""

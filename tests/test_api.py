@@ -133,3 +133,48 @@ def test_memory_limit_and_identity(spark):
     with pytest.raises(api.InvalidInput, match="unique valid plane"):
         api.vaggregate(parts, src, 1, planes=[0, 0])
     assert api.capabilities(spark).count() == 12
+    with pytest.raises(api.InvalidInput, match="VAggregate: missing or invalid contribution identity"):
+        api.vaggregate(replace(parts, identity=None), src, 1)
+    assert values(api.vaggregate(replace(parts, identity=None), src, 1, allow_legacy=1)).shape == (3, 1, 20, 24)
+    with pytest.raises(api.InvalidInput, match="mixed contribution models"):
+        api.vaggregate([parts, api.ncsr(src, radius=1)], src, 1)
+    for wrong in ({"model": 7}, {"model_version": 1}, {"noise_profile": 1}, {"fat_version": 1}, {"fat_layout": 0}):
+        with pytest.raises(api.InvalidInput, match="incompatible contribution identity"):
+            api.vaggregate(replace(parts, identity=replace(parts.identity, **wrong)), src, 1)
+    rows = api.properties(parts).orderBy("n").collect()
+    assert [(r.n, r.fat_center, r.model, r.model_version, r.noise_profile, r.fat_version, r.fat_radius, r.fat_layout) for r in rows] == [(n, n, 2, 2, 0, 2, 1, 1) for n in range(3)]
+    assert {(r.model, r.model_version, r.noise_profile, r.fat_version) for r in api.properties(api.bm3d(src)).collect()} == {(1, 3, 1, None)}
+
+
+@pytest.mark.parametrize(("args", "text"), [({"sigma": float("nan")}, "parameter sigma[0] is not representable as a finite float"), ({"sigma": [3.0, 1e39]}, "parameter sigma[1] is not representable as a finite float"), ({"radius": 2**31}, "parameter radius[0] is not representable as a finite int")])
+def test_numbers_that_do_not_fit(spark, args, text):
+    with pytest.raises(api.InvalidInput) as caught:
+        api.bm3d(make(spark, frames=1), **args)
+    assert str(caught.value) == text
+
+
+def test_diagnostics(spark):
+    src = make(spark, frames=2)
+    rows = api.twsc_diagnostics(src, 12.0, search_window=8).orderBy("n").collect()
+    assert [r.n for r in rows] == [0, 1] and all(r.groups == 9 and r.max_iter_groups <= r.groups and r.direct_groups == 0 and r.residual < 1e-6 for r in rows)
+    told = api.da3d_diagnostics(src, api.bm3d(src, sigma=12.0), 12.0).collect()
+    assert len(told) == 2 and all(0 < r.patches and r.guide_only <= r.patches for r in told)
+
+
+def test_nlh_on_subsampled_chroma(spark):
+    full = make(spark, "YUV", 1)
+    px = full.pixels.where("channel = 0 OR (y < 10 AND x < 12)")
+    src = api.Clip.of(px, "YUV", (1, 1))
+    out = api.nlh(src, sigma=12.0, search_window=8, basic_iters=1)
+    got = {(r.channel, r.y, r.x) for r in out.pixels.collect()}
+    assert got == {(r.channel, r.y, r.x) for r in px.collect()} and out.identity.model_version == 7
+
+
+def test_samples_that_are_not_finite():
+    win = np.full((1, 1, 16, 16), 0.5)
+    win[0, 0, 3, 3] = np.nan
+    for f in (N.twsc, N.nlh):
+        with pytest.raises(api.NumericalFailure):
+            f(win, 0, sigma=5.0)
+    out = N.lssc(win, 0, 5.0)
+    assert np.isnan(out[0]).any() and np.isfinite((out[0] / out[1])[0, 0, 12:, 12:]).all()
