@@ -56,3 +56,12 @@ def tent(i: Column, p: int) -> Column:
 
 def pnlm_weight(distance: Column, p: int, s: float) -> Column:
     return F.exp(-F.greatest(distance / (p * p) - 2 * s * s, F.lit(0.0)) / (4 * s * s))
+
+
+def fast_exp(x: Column) -> Column:
+    """exp read off a single float's bit pattern, 12102203 x + 127 * 2^23 without its fraction; zero where that isn't positive."""
+    t = F.lit(12102203.0).cast("float") * x.cast("float")
+    bits = F.when(t > F.lit(-1065353216.0).cast("float"), t.cast("long") + 1065353216).otherwise(F.lit(0))
+    mantissa = bits % 8388608
+    # below 2^23 the bits are those of a subnormal number
+    return F.when(bits >= 8388608, F.pow(F.lit(2.0), F.floor(bits / 8388608) - 127) * (1 + mantissa / 8388608.0)).otherwise(F.pow(F.lit(2.0), F.lit(-126)) * mantissa / 8388608.0)

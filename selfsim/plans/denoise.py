@@ -57,6 +57,8 @@ _SHAPE = {"h": HEIGHT, "w": WIDTH}
 _filter("bm3d", partial(N.bm3d, sigma=8.0), sql=oracles.bm3d_sql(GREY_SQL, [8.0], **_SHAPE))
 _filter("bm3d_final", partial(N.bm3d, sigma=8.0, final=1), sql=oracles.bm3d_sql(GREY_SQL, [8.0], final=True, **_SHAPE))
 _filter("bm3d_chroma", partial(N.bm3d, sigma=(8.0, 10.0, 12.0)), colour, sql=oracles.bm3d_sql(COLOUR_SQL, [8.0, 10.0, 12.0], **_SHAPE))
+# K5: windows of nine blocks for groups of 16, which are padded with zeros; blocks of 4 every 3 samples
+_filter("bm3d_padded", partial(N.bm3d, sigma=8.0, block_size=4, block_step=3, bm_range=1, group_size=16), sql=oracles.bm3d_sql(GREY_SQL, [8.0], b=4, step=3, rng=1, k=16, **_SHAPE))
 _filter("bm3d_temporal", partial(N.bm3d, sigma=8.0, radius=1), radius=1, sql=oracles.bm3d_sql(GREY_SQL, [8.0], radius=1, **_SHAPE))
 _filter("wnnm", partial(N.wnnm, sigma=8.0, residual=1))
 _filter("wnnm_temporal", partial(N.wnnm, sigma=8.0, radius=1), radius=1)
@@ -65,7 +67,7 @@ _filter("ncsr", partial(N.ncsr, sigma=8.0))
 _filter("twsc", partial(N.twsc, sigma=8.0, search_window=24), colour)
 _filter("twsc_split", partial(N.twsc, sigma=8.0, search_window=24, cfast=1), colour)
 _filter("nlh_blind", partial(N.nlh, sigma=None, search_window=(16, 8), rgb=True), colour)
-_filter("nlh", partial(N.nlh, sigma=8.0, search_window=(16, 8)))
+_filter("nlh", partial(N.nlh, sigma=8.0, search_window=(16, 8)), sql=oracles.nlh_sql(GREY_SQL, 8.0, HEIGHT, WIDTH, N.nlh_shape(HEIGHT, WIDTH), (16, 8)))
 _filter("pnlm", partial(N.pnlm, sigma=8.0), radius=1, sql=oracles.pnlm_sql(GREY_SQL, 8.0, **_SHAPE))
 _filter("lssc", partial(N.lssc, sigma=8.0))
 _filter("bm4d", partial(N.bm4d, sigma=8.0), run=framewise.volumes, sql=oracles.bm4d_sql(GREY_SQL, 8.0, HEIGHT, WIDTH, N.CUBES, {c: np.kaiser(c, N.KAISER).tolist() for c, *_ in N.CUBES}))

@@ -101,12 +101,12 @@ def rows(out: str) -> str:
     return f" SELECT CAST(n AS BIGINT) AS n, CAST(ch AS BIGINT) AS channel, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(v, 6) + 0.0 AS v FROM {out}"
 
 
-def bm3d_sql(source: str, sigmas: Sequence[float], h: int, w: int, final: bool = False, radius: int = 0) -> str:
-    """The rows of the filter with its default shape; source ends in z(n, ch, y, x, v). sigmas in 8-bit units."""
-    own = [0.75 * s / 255 for s in sigmas]
-    parts = [basis_sql("dct8", dct(8)), basis_sql("haar8", haar(8)), *bm3d_stage("a", "z", None, own, h, w, radius=0 if final else radius)]
+def bm3d_sql(source: str, sigmas: Sequence[float], h: int, w: int, final: bool = False, radius: int = 0, b: int = 8, step: int = 8, rng: int = 9, k: int = 8) -> str:
+    """The rows of the filter; source ends in z(n, ch, y, x, v). sigmas in 8-bit units."""
+    own, shape = [0.75 * s / 255 for s in sigmas], {"b": b, "step": step, "rng": rng, "k": k}
+    parts = [basis_sql(f"dct{b}", dct(b)), basis_sql(f"haar{k}", haar(k)), *bm3d_stage("a", "z", None, own, h, w, radius=0 if final else radius, **shape)]
     if final:
-        parts += bm3d_stage("b", "z", "a_out", own, h, w, radius=radius)
+        parts += bm3d_stage("b", "z", "a_out", own, h, w, radius=radius, **shape)
     return once(source, parts) + rows("b_out" if final else "a_out")
 
 
@@ -189,3 +189,54 @@ def noise_sql(source: str, h: int, w: int) -> str:
         "f AS (SELECT n, ref, avg(sqrt(dist / k)) AS s FROM e WHERE q BETWEEN 1 AND 3 GROUP BY ALL)",
     ]
     return once(source, parts) + " SELECT CAST(n AS BIGINT) AS n, count(*) AS n_groups, round(avg(s), 6) AS sigma, round(avg(s) / 1.3923023108614498, 6) AS unguided FROM f GROUP BY n"
+
+
+def nlh_stage(tag: str, values: str, guide: str, reference: str | None, sigma: float, h: int, w: int, b: int, step: int, window: int, k: int, q: int, scale: float = 0.32, rounds: int = 2) -> list[str]:
+    """tag_out(n, ch, y, x, v): a stage of the pixel-row filter; with a reference the Wiener stage. sigma as a fraction of full scale; groups have k blocks, a power of two."""
+    lo = window // 2
+    parts = [refs_sql(f"{tag}_r", guide, h, w, b, step), blocks_sql(f"{tag}_g", guide, h, w, b), *match_sql(f"{tag}_m", f"{tag}_r", f"{tag}_g", b, lo, window - lo - 1, k)]
+    at = f"z.n = m.t AND z.y = m.y + i.range // {b} AND z.x = m.x + i.range % {b}"
+    took = lambda name, planes: f"{tag}_{name} AS (SELECT m.n, ref, m.k, i.range AS r, z.v FROM {tag}_m m, range({b * b}) i, {planes} z WHERE {at})"
+    gap = "list_sum(list_transform(range(1, len(a.p) + 1), lambda t: (a.p[t] - b.p[t]) * (a.p[t] - b.p[t])))"
+    parts += [
+        took("gr", guide),
+        f"{tag}_l AS (SELECT n, ref, r, list(v ORDER BY k) AS p FROM {tag}_gr GROUP BY ALL)",
+        f"{tag}_d AS (SELECT a.n, a.ref, a.r, b.r AS j, {gap} AS dist FROM {tag}_l a JOIN {tag}_l b USING (n, ref))",
+        f"{tag}_q AS (SELECT n, ref, r, j, a FROM (SELECT *, row_number() OVER (PARTITION BY n, ref, r ORDER BY CASE WHEN r = j THEN 0 ELSE 1 END, dist, j) - 1 AS a FROM {tag}_d) WHERE a < {q})",
+    ]
+
+    def forward(name: str, planes: str) -> list[str]:
+        """name_t(n, ref, r, c, j, v): the coefficients of each row's matrix of its q nearest rows."""
+        return [
+            took(name, planes),
+            f"{tag}_{name}_k AS (SELECT n, ref, r, t.k AS j, sum(t.b * s.v) AS v FROM {tag}_{name} s JOIN hk t ON t.i = s.k GROUP BY ALL)",
+            f"{tag}_{name}_t AS (SELECT o.n, o.ref, o.r, t.k AS c, s.j, sum(t.b * s.v) AS v FROM {tag}_q o JOIN {tag}_{name}_k s ON s.n = o.n AND s.ref = o.ref AND s.r = o.j JOIN hq t ON t.i = o.a GROUP BY ALL)",
+        ]
+
+    parts += forward("s", values)
+    if reference is None:
+        parts.append(f"{tag}_z AS (SELECT n, ref, r, c, j, CASE WHEN abs(v) < {2.025 * sigma!r} OR c >= {max(0, q - 2)} AND j >= 1 THEN 0.0 ELSE v END AS v FROM {tag}_s_t)")
+    else:
+        parts += forward("b", reference)
+        parts.append(f"{tag}_z AS (SELECT s.n, s.ref, s.r, s.c, s.j, s.v * pow(b.v * b.v / greatest(b.v * b.v + {(scale * sigma) ** 2!r}, 1e-300), {rounds}) AS v FROM {tag}_s_t s JOIN {tag}_b_t b USING (n, ref, r, c, j))")
+    parts += [
+        f"{tag}_u AS (SELECT n, ref, r, t.i AS a, s.j, sum(t.b * s.v) AS v FROM {tag}_z s JOIN hq t ON t.k = s.c GROUP BY ALL)",
+        f"{tag}_e AS (SELECT o.n, o.ref, o.j AS r, u.j, sum(u.v) AS v FROM {tag}_u u JOIN {tag}_q o ON o.n = u.n AND o.ref = u.ref AND o.r = u.r AND o.a = u.a GROUP BY ALL)",
+        f"{tag}_y AS (SELECT n, ref, r, t.i AS k, sum(t.b * e.v) AS v FROM {tag}_e e JOIN hk t ON t.k = e.j GROUP BY ALL)",
+        f"{tag}_c AS (SELECT n, ref, j AS r, count(*) AS many FROM {tag}_q GROUP BY ALL)",
+        f"{tag}_a AS (SELECT m.t AS n, m.y + y.r // {b} AS y, m.x + y.r % {b} AS x, sum(y.v) AS num, sum(many) AS den FROM {tag}_y y JOIN {tag}_c USING (n, ref, r) JOIN {tag}_m m USING (n, ref, k) GROUP BY ALL)",
+        f"{tag}_out AS (SELECT z.n, z.ch, z.y, z.x, CASE WHEN den > 0 THEN num / den ELSE z.v END AS v FROM z LEFT JOIN {tag}_a a USING (n, y, x))",
+    ]
+    return parts
+
+
+def nlh_sql(source: str, sigma: float, h: int, w: int, stages: Sequence[tuple[int, int, int]], windows: tuple[int, int], k: int = 16, iters: int = 3, mix: float = 0.6) -> str:
+    """The rows of the filter on a grey clip; stages are (block, step, rows)."""
+    s, (hard, last) = sigma / 255, stages
+    parts, basic = [basis_sql("hk", haar(k)), basis_sql("hq", haar(hard[2]))], "z"
+    for i in range(iters):
+        parts.append(f"mix{i} AS (SELECT z.n, z.ch, z.y, z.x, CAST({mix} AS DOUBLE) * p.v + CAST({1 - mix!r} AS DOUBLE) * z.v AS v FROM z JOIN {basic} p USING (n, ch, y, x))")
+        parts += nlh_stage(f"h{i}", f"mix{i}", f"mix{i}", None, s, h, w, *hard[:2], windows[0], k, hard[2])
+        basic = f"h{i}_out"
+    parts += nlh_stage("f", "z", basic, basic, s, h, w, *last[:2], windows[1], k, last[2])
+    return once(source, parts) + rows("f_out")

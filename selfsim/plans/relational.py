@@ -230,6 +230,12 @@ def scalar_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("vec_id", "i", *[r(S.nlm_weight(u, k)).alias(n) for k, n in enumerate(("welsch", "bisquare1", "bisquare2", "bisquare8"))], (r(S.soft(v, F.lit(0.05))) + 0.0).alias("soft"), r(S.relax(v, u, 0.1)).alias("relaxed"), r(S.wiener(v, 0.2)).alias("gain"), S.fixed_point(v).alias("fixed"), r(S.tent(F.col("i") % 8, 8)).alias("tent"), r(S.pnlm_weight(u, 8, 0.1)).alias("pnlm"))
 
 
+@query("fast_exp", PATCH_SQL + ", t AS (SELECT vec_id, i, CAST(12102203 AS FLOAT) * CAST(-400 * v * v AS FLOAT) AS t FROM pt), b AS (SELECT vec_id, i, CASE WHEN t > CAST(-1065353216 AS FLOAT) THEN CAST(trunc(t) AS BIGINT) + 1065353216 ELSE 0 END AS b FROM t) SELECT vec_id, i, round(CASE WHEN b > 0 THEN pow(2.0, b // 8388608 - 127) * (1 + b % 8388608 / 8388608.0) ELSE 0 END, 9) AS e FROM b")
+def fast_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W18."""
+    return embedding_patches(spark, sf_dir).select("vec_id", "i", F.round(S.fast_exp(-400 * F.col("v") * F.col("v")), 9).alias("e"))
+
+
 @query("sv_shrink_prefix", PATCH_SQL + ", s AS (SELECT vec_id, i, sum(v * v) OVER (PARTITION BY vec_id ORDER BY i DESC) AS s FROM pt), p AS (SELECT *, min(CASE WHEN s * s > 0.25 THEN 1 ELSE 0 END) OVER (PARTITION BY vec_id ORDER BY i) AS ok FROM s) SELECT vec_id, i, round(CASE WHEN ok = 1 THEN (s + sqrt(greatest(s * s - 0.25, 0))) / 2 ELSE 0 END, 6) AS s FROM p")
 def sv_shrink_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descending values shrink while their square exceeds C; the rest are zero from the first failure on."""

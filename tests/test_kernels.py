@@ -5,6 +5,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from selfsim.filters import numeric as N
 from selfsim.kernels import patches as K
@@ -207,3 +208,11 @@ def test_luma_at_chroma_size():
     out = N.nlh_planes(planes, 0, sigma=(8.0, 8.0, 0.0), search_window=8, basic_iters=1)
     assert [n.shape for n, _ in out] == [p.shape for p in planes] and np.allclose(K.divide(*out[2], planes[2]), planes[2])
     assert all(np.isfinite(n).all() for n, _ in out) and not np.allclose(K.divide(*out[1], planes[1]), planes[1])
+
+
+def test_fast_exp_of_columns_and_arrays(spark):
+    from selfsim.functions.scalars import fast_exp
+
+    x = np.r_[-np.linspace(0, 90, 500), 0.0, -1e9]
+    got = [r.e for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(fast_exp(F.col("x")).alias("e")).collect()]
+    assert np.allclose(got, N.fast_exp(x), rtol=1e-12, atol=0) and abs(N.fast_exp(np.array([-1.0]))[0] / np.exp(-1) - 1) < 0.07
