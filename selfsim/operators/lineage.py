@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the folder that spark.checkpoint.dir names; a folder of its own only where the setting is missing, as in tests."""
+    """df, checkpointed in the folder that spark.checkpoint.dir names. A local session without it takes a folder of its own; a cluster must name one."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        there = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not there and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(there or tempfile.mkdtemp(prefix="selfsim-"))
     return df.checkpoint()

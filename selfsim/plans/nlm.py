@@ -1,4 +1,4 @@
-"""Pixel-wise means as a relational plan: every offset an equi-join, with the SQL that gives the same rows.
+"""Pixel-wise means over tiles, and as a relational plan (every offset an equi-join), with the SQL that gives the same rows.
 
 Of two opposite offsets one weight map is made. A pixel reads it at its own place, and the
 mirrored neighbour's weight at its place minus the offset, clamped to the plane; near the
@@ -7,11 +7,15 @@ border the two differ. Frames beyond the ends repeat.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from selfsim.filters import numeric as N
 from selfsim.filters.numeric import half
 from selfsim.functions import scalars as S
+from selfsim.operators import framewise
 from selfsim.operators.grid import clamped
 from selfsim.plans.registry import query
 from selfsim.plans.relational import box
@@ -76,13 +80,23 @@ def grey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_clip(spark, sf_dir).select("n", "y", "x", (F.col("c") / SCALE).alias("s0"))
 
 
+def tiled(px: DataFrame, channels: str, a: int, s: int, h: float, wmode: int, d: int) -> DataFrame:
+    """The columns of ``plan`` from shifted arrays over tiles: a pixel is shuffled as one sample, not once for each offset."""
+    names = planes_of(channels)
+    work = partial(N.nlm, d=d, a=a, s=s, h=h, channels=channels, wmode=wmode)
+    samples = px.select("n", "y", "x", F.posexplode(F.array(*names)).alias("channel", "v"))
+    out = framewise.apply(samples, work, d, tiling=framewise.Tiling(N.reach("nlm", **work.keywords)))
+    each = [F.round(F.max(F.when(F.col("channel") == k, F.col("v"))), 6).alias(c) for k, c in enumerate(names)]
+    return out.groupBy(F.col("n").cast("int").alias("n"), "y", "x").agg(*each)
+
+
 def _mirrored(name: str, channels: str, a: int, s: int, h: float, wmode: int, d: int) -> None:
     count = len(planes_of(channels))
     grey_clip = channels == "Y"
 
     @query(name, sql(GREY_SQL if grey_clip else colour_sql(count, 1048576.0), channels, a, s, h, wmode, d))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return plan(grey(spark, sf_dir) if grey_clip else colour(events_clip(spark, sf_dir), count, 1048576.0), channels, a, s, h, wmode, d)
+        return tiled(grey(spark, sf_dir) if grey_clip else colour(events_clip(spark, sf_dir), count, 1048576.0), channels, a, s, h, wmode, d)
 
 
 for _args in (("nlm_mirrored", "Y", 2, 1, 60.0, 0, 0), ("nlm_mirrored_temporal", "Y", 1, 1, 60.0, 0, 1), ("nlm_uv", "UV", 2, 1, 8.0, 0, 0), ("nlm_yuv", "YUV", 2, 1, 8.0, 2, 0), ("nlm_rgb", "RGB", 2, 1, 8.0, 0, 0)):
