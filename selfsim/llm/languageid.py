@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from selfsim.llm.common import pieces_of, small_batches, stored, texts_of
 
-#: Labelled rows of each language in the training sample.
-PER_LANGUAGE = 100
+#: Labelled rows of each language in the training sample, and the languages that are learned, those with most labelled rows.
+PER_LANGUAGE, MOST_LANGUAGES = 100, 256
 WINDOW, CONTEXT = 512, 32
 #: Bytes of the windows that training reads.
 LESSON = 64
@@ -221,15 +221,17 @@ def lowest_ids(usable: DataFrame, per_language: int, salts: int = 16) -> DataFra
     return pick(pick(salted, "lang", "salt").distinct(), "lang")
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
     """Trains on rows with a text, a lang and an id outside the held-out fold.
 
-    Of each language the per_language ids that hash lowest are taken, so the sample
+    Of each of the most_languages commonest languages (ties by name) the per_language ids that hash lowest are taken, so the sample
     is the same however the table is stored; their texts are read whole.
     Of an id that repeats in a language, the smallest text counts. Without such a row the model knows no language.
     """
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and text is not null and lang is not null").where(~held_out())
-    ids = stored(lowest_ids(usable, per_language))
+    common = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    # at most per_language rows of most_languages languages
+    ids = stored(lowest_ids(usable.join(F.broadcast(common), "lang", "left_semi"), per_language))
     rows = usable.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.lang, r.text))
     return train([r.text for r in rows], [r.lang for r in rows])

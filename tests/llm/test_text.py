@@ -241,6 +241,16 @@ def test_chat_reads_back_controls(spark):
     assert chat.digests(turns.limit(0)).count() == 0
 
 
+def test_chat_on_odd_tables(spark):
+    """Null conversations are one of their own, equal turns stay, columns of clashing names don't matter, a long text is whole."""
+    long = "word <|end|> " * 20_000
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (3, 0, "assistant", long), (4, 1, "user", ""), (4, 1, "user", "")]
+    turns = spark.createDataFrame([(*r, "f", "c", "x") for r in rows], "conv_id long, turn long, role string, text string, formatted string, chunk string, content string")
+    got = {r.conv_id: r for r in chat.digests(turns).collect()}
+    assert set(got) == {None, 3, 4} and got[None].n_turns == 2 and got[4].n_turns == 2 and got[4].loss_chars == 0
+    assert got[3].loss_chars == len(long) and got[3].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+
+
 def test_chat_parts(spark):
     parts = [{"type": "text", "text": "see "}, {"type": "image", "ref": "i.png", "width": 56, "height": 30}, {"type": "audio", "ref": "a.wav", "duration_ms": 161}, {"type": "document", "ref": "d.pdf", "bytes": 9}]
     turns = spark.createDataFrame([(1, 0, "user", [{k: p.get(k) for k in ("type", "text", "ref", "width", "height", "duration_ms", "bytes")} for p in parts])], f"conv_id long, turn long, role string, content array<{chat.PART}>")
@@ -559,6 +569,12 @@ def test_no_indexed_rule_loses_a_match(url):
             assert all(own & set(s) for s in urls.literal_tokens(pattern)), pattern
 
 
+def test_learned_languages_are_the_commonest(spark):
+    rows = [(k, ("the thing " if k % 3 else "que leur ") * 5, "en" if k % 3 else "fr") for k in range(60)] + [(100 + k, "xyz abc", f"odd{k}") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert languageid.fit(docs, most_languages=2).languages == ["en", "fr"]
+
+
 def test_training_ids_are_the_lowest_of_each_language(spark):
     rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "en").otherwise("fr").alias("lang"))
     want = sorted(r.doc_id for lang in ("en", "fr") for r in rows.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(20).collect())
