@@ -128,11 +128,17 @@ def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def leaf_labels(fp: np.ndarray, home: np.ndarray, radius: int, block: int = 1 << 20, least: int = 192) -> np.ndarray:
-    """Classes under links of at most radius bits with one end at home: for each row the smallest row of its class."""
-    labels = np.arange(len(fp))
+    """Classes under links of at most radius bits with one end at home: for each row the smallest row of its class.
+
+    Rows that are known to be of one class aren't compared with each other, so that a dense
+    group of near copies costs little more than finding that it is one.
+    """
+    labels, pairs, waiting = np.arange(len(fp)), [], 0
     stack = [(np.flatnonzero(home), np.arange(len(fp)))]
     while stack:
         own, ask = stack.pop()
+        if len(own) and (labels[own] == labels[own[0]]).all():
+            ask = ask[labels[ask] != labels[own[0]]]
         if not len(own) or not len(ask):
             continue
         if len(own) > least:
@@ -148,9 +154,11 @@ def leaf_labels(fp: np.ndarray, home: np.ndarray, radius: int, block: int = 1 <<
             some = ask[k : k + step]
             i, j = np.nonzero(np.bitwise_count(fp[some][:, None] ^ fp[own][None, :]) <= radius)
             different = labels[some[i]] != labels[own[j]]
-            if different.any():
-                labels = join_labels(labels, some[i[different]], own[j[different]])
-    return labels
+            pairs.append((some[i[different]], own[j[different]]))
+            waiting += int(different.sum())
+            if waiting > max(1024, len(fp) // 8):
+                labels, pairs, waiting = join_labels(labels, *map(np.concatenate, zip(*pairs, strict=True))), [], 0
+    return join_labels(labels, *map(np.concatenate, zip(*pairs, strict=True))) if pairs else labels
 
 
 def masks_of(blocks: int) -> list[np.uint64]:
