@@ -182,6 +182,8 @@ class Tokenizer:
         self.joined: dict[tuple[str, str], bool] = {}
         if self.bpe:
             self.compile_pairs()
+        # pieces that no merge gives stand in the lexicon only as single characters' way out
+        self.usable = {p: w for p, w in self.weight.items() if p not in self.dead}
         self.most, self.words, self.parts = cache, {}, {}
 
     def normalise(self, text: str) -> str:
@@ -246,7 +248,7 @@ class Tokenizer:
 
         In sorted order a text goes on from the weights of the prefix that it shares with the one before.
         """
-        weight, ends, dead, bpe, joined = self.weight, self.ends, self.dead, self.bpe, self.joined
+        usable, ends, bpe, joined, least, longest, ids = self.usable, self.ends, self.bpe, self.joined, self.least, self.longest, self.ids
         n = max(map(len, texts), default=0) + 1
         cost, back, last, before = [0.0] * n, [0] * n, [""] * n, ""
         for text in texts:
@@ -255,20 +257,21 @@ class Tokenizer:
                 if x != y:
                     break
                 j += 1
-            before = text
-            while j < len(text):
+            before, size = text, len(text)
+            while j < size:
                 j += 1
-                best = math.inf
-                for i in range(j - 1, max(-1, j - 1 - self.longest), -1):
+                best, i, low = math.inf, j, j - longest if j > longest else 0
+                while i > low:
+                    i -= 1
                     piece = text[i:j]
                     if piece not in ends:
                         break
-                    w = weight.get(piece)
-                    if w is None or piece in dead:
+                    w = usable.get(piece)
+                    if w is None:
                         continue
                     if bpe:
-                        a = last[i]
-                        if a and i:
+                        # an arc of the lexicon goes on only if the pair acceptor has one for it and the piece before
+                        if i and (a := last[i]):
                             fits = joined.get((a, piece))
                             if fits is None:
                                 fits = joined[a, piece] = self.compatible(a, piece)
@@ -279,29 +282,28 @@ class Tokenizer:
                         w += cost[i]
                     if w < best:
                         best, back[j], last[j] = w, i, piece
-                        if bpe and w < self.least:
+                        if bpe and w < least:
                             break
-                if cost[j - 1] + self.least < best and text[j - 1] not in weight:
-                    best, back[j], last[j] = cost[j - 1] + self.least, j - 1, ""
+                if cost[j - 1] + least < best and text[j - 1] not in usable:
+                    best, back[j], last[j] = cost[j - 1] + least, j - 1, ""
                 cost[j] = best
-            out, k = [], len(text)
+            out, k = [], size
             while k:
                 out.append(last[k] or text[k - 1])
                 k = back[k]
-            ids = self.ids
-            yield [ids[p] for p in reversed(out)] if all(p in ids for p in out) else [x for p in reversed(out) for x in ([ids[p]] if p in ids else self.fallback(p))]
+            out.reverse()
+            try:
+                yield [ids[p] for p in out]
+            except KeyError:
+                yield [x for p in out for x in ([ids[p]] if p in ids else self.fallback(p))]
         if len(joined) > self.most:
             joined.clear()
 
     def cuts(self, text: str) -> list[str]:
         """An escaped text in parts, cut where no piece spans two characters."""
-        out, at, pairs = [], 0, self.pairs
-        for k in range(1, len(text)):
-            if text[k - 1 : k + 1] not in pairs:
-                out.append(text[at:k])
-                at = k
-        out.append(text[at:])
-        return out
+        pairs = self.pairs
+        at = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in pairs]
+        return [text[a:b] for a, b in zip([0, *at], [*at, len(text)], strict=True)] if at else [text]
 
     def escaped(self, texts: list[str]) -> list[list[int]]:
         """Piece ids of escaped texts: those not met lately are cut, and their new parts solved in sorted order."""
@@ -309,7 +311,8 @@ class Tokenizer:
         new = sorted({p for parts in fresh.values() for p in parts if p not in self.parts})
         solved = dict(zip(new, self.shortest(new), strict=True))
         known = self.parts
-        made = {t: [x for p in parts for x in (solved.get(p) or known[p])] for t, parts in fresh.items()}
+        piece_ids = lambda p: solved.get(p) or known[p]
+        made = {t: piece_ids(parts[0]) if len(parts) == 1 else [x for p in parts for x in piece_ids(p)] for t, parts in fresh.items()}
         out = [made.get(t) or self.words[t] for t in texts]
         for store, fill in ((self.words, made), (self.parts, solved)):
             if len(store) + len(fill) > self.most:
@@ -364,7 +367,7 @@ class Tokenizer:
         empty = np.concatenate([[0], np.cumsum(pc.equal(coded.dictionary, "").to_numpy(zero_copy_only=False)[codes])]) if len(codes) else np.zeros(1, np.int64)
         own = self.escaped([MARK + w for w in words])
         bounds = np.cumsum([0, *map(len, own)])
-        flat = np.fromiter((x for ids in own for x in ids), np.int32, int(bounds[-1]))
+        flat = np.fromiter(itertools.chain.from_iterable(own), np.int32, int(bounds[-1]))
         odd = np.flatnonzero(empty[offsets[1:]] > empty[offsets[:-1]])
         at, ends = gather(bounds, codes)
         out, lens = flat[at], np.diff(ends[offsets])
