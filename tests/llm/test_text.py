@@ -84,6 +84,68 @@ def test_whole_texts_as_templates(spark):
     assert got[2].license is None and (got[3].license, got[3].dice, got[3].first_word) == ("own", 1.0, 0)
 
 
+def every_window(text, templates, least=licenses.DICE):
+    """(license, dice, first_word, n_matches) by a look at every window of every template's length."""
+    pairs = lambda t: list(zip(w := re.findall("[a-z0-9]+", t.lower()), w[1:]))
+    got, there = [], pairs(text)
+    for k, (name, t) in enumerate(templates):
+        size, own = len(pairs(t)), set(pairs(t))
+        windows = [(i, set(there[i : i + size])) for i in range(len(there))] if own else []
+        best = max(((2.0 * len(x & own) / (len(x) + len(own)), there[i] in own, -i) for i, x in windows), default=(0.0, False, 0))
+        got += [(best[0], -k, -best[2], name)] if best[0] >= least else []
+    return (max(got)[3], max(got)[0], max(got)[2], len(got)) if got else (None, None, -1, 0)
+
+
+def alike(r, want):
+    return (r.license, r.first_word, r.n_matches) == (want[0], want[2], want[3]) and (r.dice is None) == (want[1] is None) and abs((r.dice or 0) - (want[1] or 0)) < 1e-6
+
+
+def test_a_copy_is_found_at_every_place(spark):
+    """Stray phrases of a template in front of its copy don't move the windows past the copy's start; a window may begin before the template's first bigram."""
+    own = [f"w{k}" for k in range(101)]
+    least = own[:85] + ["zz"] * 30
+    rows = [(k, "x y " * 5 + "".join(f"w{j} w{j + 1} x " for j in range(40, 40 + k)) + " ".join(own if k < 7 else least)) for k in range(14)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), (("own", " ".join(own)),)).collect()}
+    assert [(got[k].license, got[k].dice, got[k].first_word) for k in range(7)] == [("own", 1.0, 10 + 3 * k) for k in range(7)]
+    assert all(alike(got[k], every_window(t, (("own", " ".join(own)),))) for k, t in rows)
+    text, short = "q q a b c q q z y x", (("own", "a b c d e f g"),)
+    few = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), short, 0.35).first()
+    assert alike(few, every_window(text, short, 0.35)) and (few.first_word, few.dice) == (0, 0.363636)
+
+
+@pytest.mark.parametrize("letters", [2, 3, 6, 40])
+def test_windows_equal_a_look_at_each(spark, letters):
+    rng = np.random.default_rng(letters)
+    words = lambda n: " ".join(f"v{k}" for k in rng.integers(0, letters, n))
+    templates = tuple((f"t{k}", words(n)) for k, n in enumerate((1, 2, 5, 5, 12, 40, 90)))
+    rows = [(k, words(n)) for k, n in enumerate(rng.integers(0, 200, 40))]
+    for k in range(40, 80):
+        own = np.array(templates[rng.integers(2, 7)][1].split())
+        own[rng.random(own.size) < 0.08] = "v0"
+        rows.append((k, f"{words(rng.integers(0, 40))} {' '.join(own[: rng.integers(1, 90)])} {' '.join(own)} {words(rng.integers(0, 40))}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (licenses.DICE, 0.4):
+        got = {r.doc_id: r for r in licenses.scan(docs, templates, least).collect()}
+        assert [k for k, t in rows if not alike(got[k], every_window(t, templates, least))] == []
+
+
+def test_licence_windows_as_sql(spark):
+    """Notices with changed words, behind stray parts of themselves: the same rows from the query's plan, its SQL and a look at every window."""
+    rng = np.random.default_rng(5)
+    rows = [(-1, None), (-2, ""), (-3, "Released"), (-4, "Released under")]
+    for k in range(120):
+        own = np.array(licenses.TEMPLATES[k % len(licenses.TEMPLATES)][1].split())
+        at, n = rng.integers(0, own.size), rng.integers(1, 9)
+        changed = np.where(rng.random(own.size) < rng.choice([0, 0.05, 0.1]), "changed", own)
+        rows.append((k, f"so it is {' '.join(own[at : at + n])} and on {' '.join(changed)} the end the end of it"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    got = sorted(map(tuple, licenses.scan(docs).collect()), key=lambda r: r[0])
+    assert got == sorted(con.sql(licenses.SQL).fetchall(), key=lambda r: r[0])
+    assert all(alike(r, every_window(t or "", licenses.TEMPLATES)) for r, (_, t) in zip(sorted(licenses.scan(docs).collect(), key=lambda r: r.doc_id), sorted(rows, key=lambda r: r[0]), strict=True))
+
+
 def test_tokens_equal_the_library(spark, odd):
     model = queries.model_file()
     lib = sentencepiece.SentencePieceProcessor(model_proto=model)
